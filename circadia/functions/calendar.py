@@ -24,12 +24,11 @@ def as_date(as_of=None) -> Column:
 def date_of_key(key: Column) -> Column:
     """Calendar key to date; a key that names no day gives null.
 
-    Integer arithmetic only, so it stays inside generated code on every row of a fact scan.
+    Spelled as an ISO date and cast: far cheaper per row than parsing with a pattern, and short,
+    so that it stays cheap where the optimizer copies it into several expressions.
     """
-    year, month, day = F.floor(key / 10000), F.floor(key / 100) % 100, key % 100
-    year, month, day = (c.cast("int") for c in (year, month, day))
-    first = F.when(year.between(1, 9999) & month.between(1, 12), F.make_date(year, month, F.lit(1)))
-    return F.when(day.between(1, 31) & (day <= F.dayofmonth(F.last_day(first))), F.date_add(first, day - 1))
+    spelled = F.overlay(F.overlay(key.cast("string"), F.lit("-"), 7, 0), F.lit("-"), 5, 0)
+    return F.when(key.between(10000101, 99991231), spelled.try_cast("date"))
 
 
 def key_of_date(date: Column) -> Column:

@@ -62,13 +62,16 @@ def round_to_step(secs: Column, step: int = 2) -> Column:
     return (F.rint(secs / step) * step).cast("int")
 
 
+def _band_of(hour: int) -> str:
+    for name, first, last in TIME_BANDS:
+        if first <= hour <= last or (first > last and (hour >= first or hour <= last)):
+            return name
+    raise ValueError(hour)
+
+
 def time_band(hour: Column) -> Column:
     """Part of the day an hour falls in."""
-    band = F.lit(None).cast("string")
-    for name, first, last in reversed(TIME_BANDS):
-        hit = hour.between(first, last) if first <= last else (hour >= first) | (hour <= last)
-        band = F.when(hit, F.lit(name)).otherwise(band)
-    return band
+    return F.get(F.array(*[F.lit(_band_of(h)) for h in range(24)]), hour)
 
 
 def band_ordinal(name: Column) -> Column:

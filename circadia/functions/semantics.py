@@ -18,7 +18,7 @@ def not_in(value: Column, members: Iterable) -> Column:
 
 def if_else(condition: Column, yes, no) -> Column:
     """Two-way choice in which an unknown condition gives an unknown answer."""
-    return F.when(condition.isNull(), F.lit(None)).when(condition, yes).otherwise(no)
+    return F.when(condition, yes).when(~condition, no)
 
 
 def count_distinct(value: Column, count_null: bool = True) -> Column:

@@ -7,9 +7,12 @@ random start found them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,6 +21,9 @@ from .sampling import split
 
 _FEATURES = "_features"
 
+# Fixed value: iteration limit of the fits.
+MAX_ITER = 10
+
 
 def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol=_FEATURES).transform(df)
@@ -54,33 +60,61 @@ class Fit:
         return spark.createDataFrame([(i + 1, *c) for i, c in enumerate(self.centers)], schema)
 
 
-def _single(df: DataFrame, columns: Sequence[str]) -> Fit:
+@contextmanager
+def _held(df: DataFrame, *columns: str) -> Iterator[DataFrame]:
+    """The columns, kept in memory and on disk while several passes go over them."""
+    rows = df.select(*columns).persist()
+    try:
+        rows.count()
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+def _single(features: DataFrame) -> Fit:
     """The one-cluster solution, which the fitting routine does not accept."""
-    means = [F.avg(c) for c in columns]
+    columns = features.columns
     spread = sum((F.var_pop(c) for c in columns), F.lit(0.0)) * F.count("*")
-    row = df.agg(*means, spread).first()
-    return Fit(list(columns), None, [0], [list(map(float, row[:-1]))], float(row[-1]))
+    row = features.agg(*[F.avg(c) for c in columns], spread).first()
+    return Fit(columns, None, [0], [list(map(float, row[:-1]))], float(row[-1]))
 
 
-def fit(df: DataFrame, columns: Sequence[str], k: int, seed: int = 62, max_iter: int = 20) -> Fit:
-    """k centres; fewer if the data has fewer distinct points."""
+def _fit(features: DataFrame, k: int, seed: int, max_iter: int = MAX_ITER) -> Fit:
+    columns = features.columns
     if k == 1:
-        return _single(df, columns)
-    ready = assemble(df.select(*columns), columns).select(_FEATURES)
+        return _single(features)
     estimator = KMeans(featuresCol=_FEATURES, k=k, seed=seed, maxIter=max_iter)
-    model = estimator.fit(ready)
+    model = estimator.fit(assemble(features, columns).select(_FEATURES))
     centers = [[float(x) for x in c] for c in model.clusterCenters()]
     order = sorted(range(len(centers)), key=lambda i: centers[i])
-    return Fit(list(columns), model, order, [centers[i] for i in order], float(model.summary.trainingCost))
+    return Fit(columns, model, order, [centers[i] for i in order], float(model.summary.trainingCost))
+
+
+def fit(df: DataFrame, columns: Sequence[str], k: int, seed: int = 62, max_iter: int = MAX_ITER) -> Fit:
+    """k centres; fewer if the data has fewer distinct points."""
+    with _held(df, *columns) as features:
+        return _fit(features, k, seed, max_iter)
+
+
+def _side_by_side(spark: SparkSession, work: Callable, items: Iterable, parallelism: int) -> list:
+    """Independent fits submitted from a few threads, so small jobs share the cluster."""
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), list(items))
+
+
+def fit_each(
+    df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 62, parallelism: int = 4
+) -> list[Fit]:
+    """One fit per k over the same held rows."""
+    with _held(df, *columns) as features:
+        return _side_by_side(df.sparkSession, lambda k: _fit(features, k, seed), ks, parallelism)
 
 
-def elbow(df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 62) -> DataFrame:
+def elbow(
+    df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 62, parallelism: int = 4
+) -> DataFrame:
     """Total within-cluster sum of squares for each k."""
-    features = df.select(*columns).persist()
-    try:
-        rows = [(int(k), fit(features, columns, k, seed).wss) for k in ks]
-    finally:
-        features.unpersist()
+    rows = [(int(k), found.wss) for k, found in zip(ks, fit_each(df, columns, ks, seed, parallelism))]
     return df.sparkSession.createDataFrame(rows, "centroids int, wss double")
 
 
@@ -89,25 +123,26 @@ def gain_cutoff(rows: int, columns: int) -> float:
     return min(0.02 + 10.0 / rows + 2.5 / columns**2, 0.8)
 
 
+def _estimate(features: DataFrame, k_max: int, seed: int, cutoff: float | None) -> Fit:
+    if cutoff is None:
+        cutoff = gain_cutoff(max(features.count(), 1), len(features.columns))
+    best = _single(features)
+    for k in range(2, k_max + 1):
+        if best.wss <= 0:
+            break
+        candidate = _fit(features, k, seed)
+        if 1 - candidate.wss / best.wss <= cutoff:
+            break
+        best = candidate
+    return best
+
+
 def estimate_k(
     df: DataFrame, columns: Sequence[str], k_max: int, seed: int = 62, cutoff: float | None = None
 ) -> Fit:
     """Add clusters while each one lowers the sum of squares enough."""
-    features = df.select(*columns).persist()
-    try:
-        if cutoff is None:
-            cutoff = gain_cutoff(max(features.count(), 1), len(columns))
-        best = _single(features, columns)
-        for k in range(2, k_max + 1):
-            if best.wss <= 0:
-                break
-            candidate = fit(features, columns, k, seed)
-            if 1 - candidate.wss / best.wss <= cutoff:
-                break
-            best = candidate
-    finally:
-        features.unpersist()
-    return best
+    with _held(df, *columns) as features:
+        return _estimate(features, k_max, seed, cutoff)
 
 
 def stability(
@@ -118,26 +153,19 @@ def stability(
     k_max: int = 3,
     ratio: float = 0.75,
     seed: int = 62,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Centres found on repeated random parts of the rows."""
-    spark, tables = df.sparkSession, []
-    rows = df.select(*keys, *columns).persist()
-    try:
-        for r in range(1, replicates + 1):
-            part, _ = split(rows, keys, ratio, seed + r)
-            found = estimate_k(part, columns, k_max, seed + r)
-            tables.append(found.table(spark).withColumn("replicate", F.lit(r)))
-    finally:
-        rows.unpersist()
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out.select("replicate", "centroid", *columns)
+    with _held(df, *keys, *columns) as rows:
 
+        def replicate(r: int) -> list[tuple]:
+            part, _ = split(rows, keys, ratio, seed + r)
+            found = _estimate(part.select(*columns), k_max, seed + r, None)
+            return [(r, i, *c) for i, c in enumerate(found.centers, start=1)]
 
-def squared_distance(columns: Sequence[str], other: str = "_c_"):
-    """Squared distance between a row and the centre columns beside it."""
-    return sum(((F.col(c) - F.col(f"{other}{c}")) ** 2 for c in columns), F.lit(0.0))
+        parts = _side_by_side(df.sparkSession, replicate, range(1, replicates + 1), parallelism)
+    schema = "replicate int, centroid int, " + ", ".join(f"`{c}` double" for c in columns)
+    return df.sparkSession.createDataFrame([row for part in parts for row in part], schema)
 
 
 def nearest(df: DataFrame, columns: Sequence[str], centers: Sequence[Sequence[float]], name: str = "cluster") -> DataFrame:

@@ -13,24 +13,35 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def _values(columns: Sequence[str]) -> Column:
+    return F.array(*[F.col(c).cast("string") for c in columns])
+
+
+def _mode_rows(modes: Sequence[tuple]) -> Column:
+    return F.array(*[F.array(*[F.lit(v).cast("string") for v in m]) for m in modes])
+
+
+def _nearest(values: Column, modes: Column) -> Column:
+    """(distance, number) of the nearest mode, the first one on a tie."""
+    def measured(mode: Column, at: Column) -> Column:
+        misses = F.zip_with(values, mode, lambda a, b: F.when(a.eqNullSafe(b), 0).otherwise(1))
+        distance = F.aggregate(misses, F.lit(0), lambda total, miss: total + miss)
+        return F.struct(distance.alias("d"), (at + 1).alias("cluster"))
+
+    return F.array_min(F.transform(modes, measured))
+
+
 @dataclass
 class Modes:
-    """Fitted modes, one tuple of category values per cluster."""
+    """Fitted modes, one tuple of category values (as text) per cluster."""
 
     columns: list[str]
     modes: list[tuple]
     within: list[int]
 
-    def distances(self) -> Column:
-        return F.array(*[
-            sum((F.when(F.col(c).eqNullSafe(F.lit(v)), 0).otherwise(1) for c, v in zip(self.columns, m)), F.lit(0))
-            for m in self.modes
-        ])
-
     def assign(self, df: DataFrame, name: str = "cluster") -> DataFrame:
         """Number of the nearest mode; the first one on a tie."""
-        d = self.distances()
-        return df.withColumn(name, F.array_position(d, F.array_min(d)).cast("int"))
+        return df.withColumn(name, _nearest(_values(self.columns), _mode_rows(self.modes))["cluster"])
 
     def named(self, df: DataFrame, cluster: str = "cluster", name: str = "segment") -> DataFrame:
         """Name each cluster by its mode's values."""
@@ -42,58 +53,75 @@ def profiles(df: DataFrame, columns: Sequence[str], weight: str = "n") -> DataFr
     return df.groupBy(*columns).agg(F.count("*").alias(weight))
 
 
-def _start(table: DataFrame, columns: Sequence[str], k: int) -> list[tuple]:
+def _starts(table: DataFrame, columns: Sequence[str], k: int) -> list[tuple]:
     """The k most frequent profiles, ties in column order."""
-    rows = table.orderBy(F.col("n").desc(), *[F.col(c).asc_nulls_last() for c in columns]).limit(k).collect()
-    return [tuple(r[c] for c in columns) for r in rows]
-
-
-def _update(table: DataFrame, state: Modes) -> list[tuple]:
-    """Most frequent value per cluster and column (the smallest on a tie)."""
-    columns = state.columns
-    tagged = state.assign(table, "_cluster")
-    long = tagged.select("_cluster", "n", F.posexplode(F.array(*columns)).alias("_at", "_value"))
-    votes = long.groupBy("_cluster", "_at", "_value").agg(F.sum("n").alias("_votes"))
+    rows = table.orderBy(F.col("n").desc(), *[F.col(c).asc_nulls_last() for c in columns]).limit(k)
+    return [tuple(r[0]) for r in rows.select(_values(columns)).collect()]
+
+
+def _tagged(table: DataFrame, states: dict[int, Modes]) -> DataFrame:
+    """Each profile once per solution, with its cluster and distance there."""
+    columns = next(iter(states.values())).columns
+    solutions = F.array(*[
+        F.struct(F.lit(k).alias("k"), _mode_rows(s.modes).alias("modes")) for k, s in states.items()
+    ])
+    rows = table.select("n", _values(columns).alias("_values")).select("*", F.explode(solutions).alias("_s"))
+    near = rows.select("n", "_values", F.col("_s.k").alias("_k"), _nearest(F.col("_values"), F.col("_s.modes")).alias("_near"))
+    return near.select("n", "_values", "_k", F.col("_near.cluster").alias("_cluster"), F.col("_near.d").alias("_d"))
+
+
+def _updates(table: DataFrame, states: dict[int, Modes]) -> dict[int, list[tuple]]:
+    """Most frequent value per cluster and column (the smallest on a tie), for each solution."""
+    long = _tagged(table, states).select("_k", "_cluster", "n", F.posexplode("_values").alias("_at", "_value"))
+    cell = ["_k", "_cluster", "_at"]
+    votes = long.groupBy(*cell, "_value").agg(F.sum("n").alias("_votes"))
     winner = F.min_by("_value", F.struct(-F.col("_votes"), F.col("_value").isNull(), F.col("_value")))
-    found = {(r[0], r[1]): r[2] for r in votes.groupBy("_cluster", "_at").agg(winner).collect()}
-    return [
-        tuple(found.get((i + 1, j), old) for j, old in enumerate(m)) for i, m in enumerate(state.modes)
-    ]
-
+    found = {tuple(r)[:3]: r[3] for r in votes.groupBy(*cell).agg(winner).collect()}
+    return {
+        k: [tuple(found.get((k, i, j), old) for j, old in enumerate(m)) for i, m in enumerate(s.modes, start=1)]
+        for k, s in states.items()
+    }
 
-def _within(table: DataFrame, state: Modes) -> list[int]:
-    tagged = state.assign(table, "_cluster").withColumn("_d", F.array_min(state.distances()))
-    sums = {r[0]: r[1] for r in tagged.groupBy("_cluster").agg(F.sum(F.col("_d") * F.col("n"))).collect()}
-    return [int(sums.get(i + 1, 0)) for i in range(len(state.modes))]
 
+def fit_all(df: DataFrame, columns: Sequence[str], ks: Sequence[int], max_iter: int = 25) -> dict[int, Modes]:
+    """Modes for several k at once, each starting from the k most frequent profiles.
 
-def fit_profiles(table: DataFrame, columns: Sequence[str], k: int, max_iter: int = 25) -> Modes:
-    """Modes of a profile table (category columns and their count ``n``)."""
-    state = Modes(list(columns), _start(table, columns, k), [])
-    for _ in range(max_iter):
-        modes = _update(table, state)
-        if modes == state.modes:
-            break
-        state.modes = modes
-    state.within = _within(table, state)
-    return state
-
-
-def fit(df: DataFrame, columns: Sequence[str], k: int, max_iter: int = 25) -> Modes:
-    """k modes, starting from the k most frequent profiles; fewer if there are fewer profiles."""
+    All solutions share every pass over the profiles. A solution has fewer modes than asked for
+    if there are fewer profiles.
+    """
     table = profiles(df, columns).persist()
     try:
-        return fit_profiles(table, columns, k, max_iter)
+        first = _starts(table, columns, max(ks))
+        done: dict[int, Modes] = {}
+        open_: dict[int, Modes] = {k: Modes(list(columns), first[:k], []) for k in ks if first}
+        for _ in range(max_iter):
+            if not open_:
+                break
+            for k, modes in _updates(table, open_).items():
+                if modes == open_[k].modes:
+                    done[k] = open_.pop(k)
+                else:
+                    open_[k].modes = modes
+        done.update(open_)
+        if done:
+            spread = _tagged(table, done).groupBy("_k", "_cluster").agg(F.sum(F.col("_d") * F.col("n")))
+            sums = {(r[0], r[1]): int(r[2]) for r in spread.collect()}
+            for k, state in done.items():
+                state.within = [sums.get((k, i), 0) for i in range(1, len(state.modes) + 1)]
     finally:
         table.unpersist()
+    return {k: done[k] for k in ks if k in done}
+
+
+def fit(df: DataFrame, columns: Sequence[str], k: int, max_iter: int = 25) -> Modes:
+    found = fit_all(df, columns, [k], max_iter)
+    if not found:
+        raise ValueError("no rows to cluster")
+    return found[k]
 
 
 def elbow(df: DataFrame, columns: Sequence[str], ks: Sequence[int], max_iter: int = 25) -> DataFrame:
     """Mean within-cluster difference for each number of modes."""
-    table = profiles(df, columns).persist()
-    try:
-        fits = [(k, fit_profiles(table, columns, k, max_iter)) for k in ks]
-    finally:
-        table.unpersist()
-    rows = [(int(k), sum(f.within) / len(f.within)) for k, f in fits]
+    fits = fit_all(df, columns, list(ks), max_iter)
+    rows = [(int(k), sum(f.within) / len(f.within)) for k, f in fits.items()]
     return df.sparkSession.createDataFrame(rows, "modes int, mean_within double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import WEEKDAY_LABELS, day_class, weekday_label
 from ..functions.clock import BAND_NAMES, at, band_ordinal, clock_text, hour_of, round_to_step, time_band
@@ -14,7 +14,7 @@ from ..operators import kmeans, kmodes
 from ..operators.grid import columns_starting, pivot_many, pivot_values, to_long
 from ..operators.joins import null_safe_join, semi_on_keys
 from ..operators.peaks import customer_centers
-from ..operators.ranking import number_within, quantile_bucket, share_of_group, sorted_rows
+from ..operators.ranking import number_within, quantile_bucket, sorted_rows
 from ..operators.sampling import sample_keys
 from ..operators.scaling import standardise
 from ..operators.stats import histogram, median_and_sd
@@ -36,13 +36,17 @@ def workday_shares(events: DataFrame, part: Column, name: str, min_events: int =
     """Share of a customer's workday events per part of the day.
 
     The activity gate counts all events, the shares only those not on a weekend (an unknown
-    weekday is not a weekend). Both come from one count per customer, part and kind of day.
+    weekday is not a weekend). Both totals come from one count per customer, part and kind of day.
     """
-    kind = not_in(F.col("week_day"), WEEKEND).alias("workday")
-    counts = events.groupBy(KEY, part.alias(name), kind).agg(F.count("*").alias("n")).repartition(KEY)
-    active = counts.groupBy(KEY).agg(F.sum("n").alias("_all")).where(F.col("_all") >= min_events)
-    gated = counts.where("workday").join(active.select(KEY), KEY, "left_semi")
-    return share_of_group(gated, [KEY], "n", "prop_n", total="sum_n").select(KEY, name, "n", "sum_n", "prop_n")
+    workday = not_in(F.col("week_day"), WEEKEND).alias("workday")
+    counts = events.groupBy(KEY, part.alias(name), workday).agg(F.count("*").alias("n"))
+    own = Window.partitionBy(KEY)
+    totals = counts.withColumns({
+        "_all": F.sum("n").over(own),
+        "sum_n": F.sum(F.when(F.col("workday"), F.col("n"))).over(own),
+    })
+    gated = totals.where(F.col("workday") & (F.col("_all") >= min_events))
+    return gated.select(KEY, name, "n", "sum_n", (F.col("n") / F.col("sum_n")).alias("prop_n"))
 
 
 def hour_share_features(events: DataFrame, min_events: int = 20) -> DataFrame:
@@ -72,12 +76,7 @@ def hour_segments(features: DataFrame, k_max: int = 10, seed: int = 62) -> DataF
 def band_segments(features: DataFrame, small: int = 3, large: int = 6, seed: int = 62) -> DataFrame:
     """Customers with a coarse and a fine band segment."""
     scaled, columns = _scaled(features, BAND_NAMES)
-    ready = scaled.persist()
-    try:
-        coarse = kmeans.fit(ready, columns, small, seed)
-        fine = kmeans.fit(ready, columns, large, seed)
-    finally:
-        ready.unpersist()
+    coarse, fine = kmeans.fit_each(scaled, columns, [small, large], seed)
     out = fine.assign(coarse.assign(scaled, "segment1"), "segment2")
     return out.select(*features.columns, "segment1", "segment2")
 
@@ -139,7 +138,9 @@ def peak_table(centers: DataFrame, events: DataFrame, k: int = 3) -> DataFrame:
 
     Every customer of the events is listed, also without peaks.
     """
-    graded = quantile_bucket(centers, "wss", 5, [KEY, "centroid"], "wss_bucket")
+    # Ranked to six places: equal spreads that differ in the last bit are ties, settled by key.
+    ranked = centers.withColumn("wss", F.round("wss", 6))
+    graded = quantile_bucket(ranked, "wss", 5, [KEY, "centroid"], "wss_bucket")
     cells = graded.select(
         KEY, "centroid", round_to_step(F.col("secs"), 2).alias("time"), F.col("wss_bucket").alias("wss")
     )

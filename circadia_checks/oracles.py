@@ -334,7 +334,7 @@ FULL JOIN (SELECT customer_key, count(*) AS n_weekend FROM cust WHERE weekday >=
 FULL JOIN (SELECT customer_key, streaming_benefit FROM member) USING (customer_key)""", "cust", "member")
 
 VIEWS["binned"] = """
-SELECT customer_key, secs, CAST(greatest((CAST(secs - lo AS BIGINT) * 24 + w - 1) // w - 1, 0) AS INT) AS bin
+SELECT customer_key, secs, CAST(CASE WHEN secs IS NULL THEN NULL ELSE greatest((CAST(secs - lo AS BIGINT) * 24 + w - 1) // w - 1, 0) END AS INT) AS bin
 FROM cust, (SELECT min(secs) AS lo, max(secs) - min(secs) AS w FROM cust)"""
 _NEEDS["binned"] = ["cust"]
 oracle("jon13_bin_range", "SELECT bin, min(secs) AS m1, max(secs) AS m2, CAST(min(secs)//3600 AS INT) AS hour1 FROM binned GROUP BY bin", "binned")
@@ -667,11 +667,12 @@ def _centres(cutoff: float, standardise: bool) -> list[tuple[str, str]]:
 
 
 for _name, _cutoff, _std in (("udf1_customer_centers", 0.8, True), ("udf1_customer_centers_fine", 0.55, False)):
-    oracle(_name, "SELECT customer_key, centroid, round(secs,6) AS secs, round(wss,6) AS wss, size FROM centres", "cust", extra=_centres(_cutoff, _std))
+    _wss = "round(wss,6)" if _std else "round(wss)"
+    oracle(_name, f"SELECT customer_key, centroid, round(secs,6) AS secs, {_wss} AS wss, size FROM centres", "cust", extra=_centres(_cutoff, _std))
 
 _PEAKS = [
     ("graded", """SELECT customer_key, centroid, CAST(round_even(secs / 2, 0) * 2 AS INT) AS t,
-  CAST(ntile(5) OVER (ORDER BY wss, customer_key, centroid) AS INT) AS w FROM centres"""),
+  CAST(ntile(5) OVER (ORDER BY round(wss,6), customer_key, centroid) AS INT) AS w FROM centres"""),
     ("peak_rows", "SELECT customer_key, " + ", ".join(
         f"max(t) FILTER (centroid = {i}) AS time_{i}, max(w) FILTER (centroid = {i}) AS wss_{i}" for i in (1, 2, 3)) + " FROM graded GROUP BY 1"),
     ("peaks", """SELECT customer_key, day_mode, time_1, wss_1, time_2, wss_2, time_3, wss_3
@@ -714,7 +715,7 @@ def _modes(k: int) -> list[tuple[str, str]]:
         steps.append((f"near{i}", f"""SELECT p.*, m.cluster, {distance} AS d FROM counted p, modes{i} m
   QUALIFY row_number() OVER (PARTITION BY {', '.join('p.' + c for c in _PROFILE)} ORDER BY {distance}, m.cluster) = 1"""))
         picks = " ".join(
-            f"LEFT JOIN (SELECT cluster, {c} AS v FROM near{i} GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY sum(n) DESC, {c} NULLS LAST) = 1) j{j} ON j{j}.cluster = m.cluster"
+            f"LEFT JOIN (SELECT cluster, {c} AS v FROM near{i} GROUP BY cluster, {c} QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY sum(n) DESC, {c} NULLS LAST) = 1) j{j} ON j{j}.cluster = m.cluster"
             for j, c in enumerate(_PROFILE)
         )
         kept = ", ".join(f"CASE WHEN j{j}.cluster IS NULL THEN m.{c} ELSE j{j}.v END AS {c}" for j, c in enumerate(_PROFILE))
@@ -727,3 +728,15 @@ def _modes(k: int) -> list[tuple[str, str]]:
 
 _SAME = " AND ".join(f"p.{c} IS NOT DISTINCT FROM f.{c}" for c in _PROFILE)
 oracle("profile_segments", f"SELECT p.*, f.cluster, f.segment FROM profile p JOIN final f ON {_SAME}", "profile", extra=_modes(3))
+
+# One row per number of modes: the mean over clusters of the summed distances.
+_ELBOW = 5
+_parts, _extra = [], []
+for _k in range(1, _ELBOW + 1):
+    _steps = _modes(_k)
+    for _n, _text in _steps[1:] if _extra else _steps:
+        for _table in ("modes", "near"):
+            _text = _text.replace(f" {_table}", f" e{_k}_{_table}")
+        _extra.append((_n if _n == "counted" else f"e{_k}_{_n}", _text))
+    _parts.append(f"SELECT {_k} AS modes, round(sum(d * n) / {_k}.0, 6) AS mean_within FROM e{_k}_final")
+oracle("ml9_modes_elbow", " UNION ALL ".join(_parts), "profile", extra=_extra)
