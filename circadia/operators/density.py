@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .stats import histogram, summarise
+from ..session import spread
 
 # Task code travels with the plan, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -71,7 +72,7 @@ def density(
     keys = list(keys)
     hist = histogram(df.where(F.col(value).isNotNull()), keys, value)
     pairs = F.collect_list(F.struct(F.col(value).alias("s"), F.col("n").alias("n")))
-    groups = summarise(hist, keys, value, "n", pairs.alias("_pairs"))
+    groups = summarise(spread(hist, *keys) if keys else hist, keys, value, "n", pairs.alias("_pairs"))
     groups = groups.withColumn(
         "bandwidth", rule_of_thumb_bandwidth(F.col("n_rows"), F.col("sd"), F.col("iqr"), F.col("low"))
     )

@@ -14,14 +14,26 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import spread
+
 # Task code travels with the plan, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+_DENSE = 512
+
+
 def interval_cost(sums: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Weighted sum of squares of the sorted values i to j-1 around their mean."""
     n, s, q = sums[:, j] - sums[:, i]
-    return np.maximum(q - s * s / np.maximum(n, 1e-300), 0.0)
+    return np.maximum(q - s * s / np.maximum(n, 1.0), 0.0)
+
+
+def _all_costs(sums: np.ndarray) -> np.ndarray:
+    """Cost of every interval of a short row of values, infinite where it is empty."""
+    ends = np.arange(sums.shape[1])
+    start, stop = ends[:, None], ends[None, :]
+    return np.where(start < stop, interval_cost(sums, start, stop), np.inf)
 
 
 def best_last_cut(previous: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,9 +48,8 @@ def best_last_cut(previous: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, n
     while len(spans):
         first, last, low, high = spans.T
         mid = (first + last) // 2
-        stop = np.minimum(high, mid - 1)
-        widths = np.maximum(stop - low + 1, 1)
-        starts = np.concatenate([[0], np.cumsum(widths)[:-1]])
+        widths = np.minimum(high, mid - 1) - low + 1
+        starts = np.cumsum(widths) - widths
         i = np.arange(widths.sum()) - np.repeat(starts - low, widths)
         values = previous[i] + interval_cost(sums, i, np.repeat(mid, widths))
         least = np.minimum.reduceat(values, starts)
@@ -65,8 +76,13 @@ def optimal_intervals(values: np.ndarray, weights: np.ndarray, k_max: int) -> li
     ends = np.arange(end + 1)
     costs = [interval_cost(sums, np.zeros_like(ends), ends)]
     cuts: list[np.ndarray] = []
+    table = _all_costs(sums) if end <= _DENSE else None
     for _ in range(1, min(k_max, end)):
-        cost, cut = best_last_cut(costs[-1], sums)
+        if table is None:
+            cost, cut = best_last_cut(costs[-1], sums)
+        else:
+            options = costs[-1][:, None] + table
+            cost, cut = options.min(axis=0), options.argmin(axis=0)
         costs.append(cost)
         cuts.append(cut)
     found = []
@@ -124,7 +140,8 @@ def customer_centers(
     pair = F.when(F.col(secs).isNotNull(), F.struct(F.col(secs).alias("s"), F.col("n").alias("n")))
     # A missing second is one more value for the gate, but no point to cluster.
     customers = (
-        counted.groupBy(*keys)
+        spread(counted, *keys)
+        .groupBy(*keys)
         .agg(F.collect_list(pair).alias("_pairs"), F.count("*").alias("_values"))
         .where((F.col("_values") >= min_distinct) & (F.size("_pairs") > 0))
         .select(*keys, F.col("_pairs.s").alias("_s"), F.col("_pairs.n").alias("_n"))

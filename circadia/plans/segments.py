@@ -18,6 +18,7 @@ from ..operators.ranking import number_within, quantile_bucket, sorted_rows
 from ..operators.sampling import sample_keys
 from ..operators.scaling import standardise
 from ..operators.stats import histogram, median_and_sd
+from ..session import cut_lineage
 
 KEY = "customer_key"
 HOUR_COLUMNS = [f"h{h}" for h in range(24)]
@@ -162,7 +163,8 @@ def customer_peaks(
 ) -> DataFrame:
     """Up to three daily reading times per customer."""
     centers = customer_centers(events, [KEY], "secs", k, min_distinct, cutoff, standardise_wss)
-    return peak_table(centers, events, k)
+    # Ranking reads the centres several times; they are fitted once.
+    return peak_table(cut_lineage(centers), events, k)
 
 
 def habit_type(peaks: DataFrame) -> DataFrame:
