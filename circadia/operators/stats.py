@@ -109,25 +109,23 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
     three times as wide as the sketch's error bound, and a miss raises rather than passes.
     """
     v = F.col(value)
-    known = df.where(v.isNotNull())
+    known = df.where(v.isNotNull()).select(*keys, value)
     margin = 3.0 / accuracy
     sketch = F.percentile_approx(value, [0.5 - margin, 0.5 + margin], accuracy)
     bracket = known.groupBy(*keys).agg(F.count("*").alias("_n"), sketch.alias("_b"))
     bracket = bracket.select(*keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    # Equal values meet before the join, so no value can be hot within a group.
-    tallies = known.groupBy(*keys, value).agg(F.count("*").alias("_w"))
-    placed = null_safe_join(tallies, bracket, keys)
-    below = placed.groupBy(*keys).agg(F.sum(F.when(v < F.col("_lo"), F.col("_w")).otherwise(0)).alias("_below"))
-    inside = null_safe_join(placed.where(v.between(F.col("_lo"), F.col("_hi"))), below, keys)
-    upto = Window.partitionBy(*keys).orderBy(value)
-    last = F.col("_below") + F.sum("_w").over(upto)
-    ranked = inside.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_w") + 1)
-    low_rank, high_rank = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    at = lambda rank: F.max(F.when((F.col("_first") <= rank) & (rank <= F.col("_last")), v))
-    middle = ranked.groupBy(*keys).agg(at(low_rank).alias("_a"), at(high_rank).alias("_z"))
+    # Everything below the bracket becomes one counted row per group, before any shuffle.
+    placed = null_safe_join(known, bracket, keys).where(v <= F.col("_hi"))
+    inside = F.when(v >= F.col("_lo"), v).alias("_v")
+    tallies = placed.groupBy(*keys, "_n", inside).agg(F.count("*").alias("_w"))
+    upto = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
+    ranked = tallies.withColumn("_last", F.sum("_w").over(upto))
+    first = F.col("_last") - F.col("_w") + 1
+    at = lambda rank: F.max(F.when((first <= rank) & (rank <= F.col("_last")), F.col("_v")))
+    low, high = at(F.floor((F.col("_n") + 1) / 2)), at(F.floor(F.col("_n") / 2) + 1)
+    middle = ranked.groupBy(*keys).agg(low.alias("_a"), high.alias("_z"))
     found = F.col("_a").isNotNull() & F.col("_z").isNotNull()
     median = F.when(found, (F.col("_a") + F.col("_z")) / 2).otherwise(
         F.raise_error(F.lit("median outside its bracket")).cast("double")
     )
-    groups = null_safe_join(bracket.select(*keys), middle, keys, "left")
-    return groups.select(*keys, median.alias(name))
+    return middle.select(*keys, median.alias(name))

@@ -6,14 +6,14 @@ a customer brings at most 7 x 24 (or 7 x 86,400) rows, however many events there
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.calendar import weekday_label, weekend_flag
+from ..functions.calendar import WEEKDAY_LABELS, weekday_label, weekend_flag
 from ..functions.semantics import null_last
 from ..operators.grid import pivot_values
 from ..operators.joins import full_join_all, null_safe_join
-from ..operators.ranking import first_row_per_key, top_with_ties
-from ..operators.stats import histogram, keeps, known_or_null, median_and_sd, weighted_quantile, weighted_sd
+from ..operators.ranking import top_with_ties
+from ..operators.stats import histogram, keeps, known_or_null, weighted_quantile, weighted_sd
 
 KEY = "customer_key"
 
@@ -65,21 +65,45 @@ def median_time(events: DataFrame, unknown: str = "skip") -> DataFrame:
     return seconds.groupBy(KEY).agg(median.alias("median_secs"))
 
 
+def _most_frequent(sums: dict[str, Column]) -> Column:
+    """Name with the largest sum; the first in order on a tie, the unnamed one last."""
+    options = [
+        F.struct(-total, F.lit(name is None).alias("unnamed"), F.lit(name).alias("name"))
+        for name, total in sums.items()
+    ]
+    return F.array_min(F.array(*options))["name"]
+
+
 def habit_profile(events: DataFrame) -> DataFrame:
     """One row per customer with all five habits.
 
-    Ties are settled in each table before the join (alphabetical day, earliest hour), which
-    gives the same row as settling them after it, without the products of tied rows.
+    Ties are settled within each habit (alphabetical day, earliest hour), which gives the row
+    that settling them after joining the tied tables would give. The four counted habits come
+    from one aggregate over the customer's week, only the median reads the events again.
     """
     counts = week_counts(events)
-    parts = [
-        first_row_per_key(modal_weekday(counts), [KEY]),
-        first_row_per_key(modal_hour(counts), [KEY]),
-        first_row_per_key(modal_slot(counts), [KEY]),
-        weekend_ratio(counts),
-        median_time(events),
-    ]
-    return full_join_all(parts, [KEY])
+    n, weekday, hour = F.col("n"), F.col("weekday"), F.col("hour")
+    label = weekday_label(weekday, "short")
+    total = lambda hit: F.sum(F.when(hit, n).otherwise(0))
+    names = {f"_d{i}": name for i, name in enumerate(WEEKDAY_LABELS["short"], start=1)}
+    day_sums = {f"_d{i}": total(weekday == i) for i in range(1, 8)} | {"_d": total(weekday.isNull())}
+    hour_sums = {f"_h{i}": total(hour == i) for i in range(24)} | {"_h": total(hour.isNull())}
+    slot = F.min_by(F.struct(label.alias("day"), hour.alias("hour")), F.struct(-n, null_last(label, hour)))
+    sums = counts.groupBy(KEY).agg(
+        *[s.alias(c) for c, s in (day_sums | hour_sums).items()], F.sum("n").alias("_all"), slot.alias("_slot")
+    )
+    days = {names.get(c): F.col(c) for c in day_sums}
+    hours = {int(c[2:]) if c[2:] else None: F.col(c) for c in hour_sums}
+    weekend = F.col("_d6") + F.col("_d7")
+    counted = sums.select(
+        KEY,
+        _most_frequent(days).alias("weekday_name"),
+        _most_frequent(hours).cast("int").alias("hour"),
+        F.col("_slot.day").alias("day_combined"),
+        F.col("_slot.hour").alias("hour_combined"),
+        F.try_divide(weekend.cast("double"), (F.col("_all") - F.col("_d")).cast("double")).alias("weekend_ratio"),
+    )
+    return full_join_all([counted, median_time(events)], [KEY])
 
 
 def typical_slot(events: DataFrame, unknown: str = "skip") -> DataFrame:
@@ -111,10 +135,13 @@ def weekday_start_time(events: DataFrame, margin: int = 5 * 60, unknown: str = "
     second, so the seven huge groups are never sorted; the events meet a table of eight rows.
     """
     counts = histogram(events, ["weekday"], "secs")
-    limits = median_and_sd(counts, ["weekday"], "secs", unknown=unknown)
     secs, median, sd = F.col("secs"), F.col("median"), F.col("sd")
-    kept = null_safe_join(counts, limits, ["weekday"]).where(keeps(secs, median, sd, "not_beyond"))
-    days = kept.groupBy("weekday").agg(
+    day = Window.partitionBy("weekday")
+    limits = {
+        "median": known_or_null(weighted_quantile("secs", "n", 0.5).over(day), secs, unknown, day),
+        "sd": known_or_null(weighted_sd(secs, F.col("n"), day), secs, unknown, day),
+    }
+    days = counts.withColumns(limits).where(keeps(secs, median, sd, "not_beyond")).groupBy("weekday").agg(
         F.first("median").alias("median"),
         F.first("sd").alias("sd"),
         (F.min("secs") - margin).alias("start_secs"),

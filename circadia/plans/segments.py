@@ -146,12 +146,10 @@ def peak_table(centers: DataFrame, events: DataFrame, k: int = 3) -> DataFrame:
         KEY, "centroid", round_to_step(F.col("secs"), 2).alias("time"), F.col("wss_bucket").alias("wss")
     )
     wide = pivot_many(cells, [KEY], "centroid", range(1, k + 1), ["time", "wss"])
-    days = modal_weekdays(events)
-    # The weekday belongs to customers with peaks only; the others are added with nothing but a key.
-    with_day = null_safe_join(wide, days, [KEY], "left")
+    # The weekdays list everyone; the weekday itself is shown for customers with peaks only.
+    listed = null_safe_join(wide.withColumn("_peaks", F.lit(True)), modal_weekdays(events), [KEY], "full")
     columns = [f"{v}_{i}" for i in range(1, k + 1) for v in ("time", "wss")]
-    everyone = events.select(KEY).distinct()
-    return null_safe_join(with_day.select(KEY, "day_mode", *columns), everyone, [KEY], "full")
+    return listed.select(KEY, F.when(F.col("_peaks"), F.col("day_mode")).alias("day_mode"), *columns)
 
 
 def customer_peaks(
@@ -218,28 +216,43 @@ def content_counts(fact: DataFrame, products: DataFrame, genres: DataFrame) -> D
     return joined.groupBy(KEY, "type", "genre_level1").agg(F.sum("n").alias("n"))
 
 
-def _preference(counts: DataFrame, by: str, over: str, under: str, ratio: str, label: str, yes: str, no: str) -> DataFrame:
-    """Ratio of two categories per customer and which one leads; an absent one counts 0.1."""
-    sums = counts.groupBy(KEY, by).agg(F.sum("n").cast("double").alias("n"))
-    wide = pivot_values(sums, [KEY], by, [over, under], "n")
-    a, b = (fill_null(F.col(f"`{c}`"), 0.1) for c in (over, under))
-    return wide.select(KEY, (a / b).alias(ratio), if_else(a >= b, F.lit(yes), F.lit(no)).alias(label))
+def _lean(by: str, category: str) -> Column:
+    """Events of one category; a category without any counts 0.1."""
+    return fill_null(F.sum(F.when(F.col(by) == category, F.col("n"))).cast("double"), 0.1)
+
+
+def preferences(counts: DataFrame) -> DataFrame:
+    """Audiobooks against e-books and fiction against non-fiction, in one pass per customer."""
+    sums = counts.groupBy(KEY).agg(
+        _lean("type", "Lydbøger").alias("audio"),
+        _lean("type", "E-bøger").alias("ebook"),
+        _lean("genre_level1", "Skønlitteratur").alias("fiction"),
+        _lean("genre_level1", "Fagbøger").alias("fact"),
+    )
+    audio, ebook, fiction, fact = (F.col(c) for c in ("audio", "ebook", "fiction", "fact"))
+    return sums.select(
+        KEY,
+        (audio / ebook).alias("lyd_ratio"),
+        if_else(audio >= ebook, F.lit("Lyd"), F.lit("E-bog")).alias("format"),
+        (fiction / fact).alias("fiction_ratio"),
+        if_else(fiction >= fact, F.lit("Skøn"), F.lit("Fag")).alias("litt_pref"),
+    )
 
 
 def format_preference(counts: DataFrame) -> DataFrame:
     """Audiobooks against e-books."""
-    return _preference(counts, "type", "Lydbøger", "E-bøger", "lyd_ratio", "format", "Lyd", "E-bog")
+    return preferences(counts).select(KEY, "lyd_ratio", "format")
 
 
 def genre_preference(counts: DataFrame) -> DataFrame:
     """Fiction against non-fiction."""
-    return _preference(counts, "genre_level1", "Skønlitteratur", "Fagbøger", "fiction_ratio", "litt_pref", "Skøn", "Fag")
+    return preferences(counts).select(KEY, "fiction_ratio", "litt_pref")
 
 
-def customer_profiles(habits: DataFrame, formats: DataFrame, genres: DataFrame) -> DataFrame:
+def customer_profiles(habits: DataFrame, preferred: DataFrame) -> DataFrame:
     """Habit, format and genre of customers that have all three and a known habit."""
-    joined = null_safe_join(null_safe_join(habits, formats, [KEY]), genres, [KEY])
-    return joined.select(KEY, *PROFILE).where(F.col("time_type") != "None")
+    known = habits.where(F.col("time_type") != "None")
+    return null_safe_join(known, preferred, [KEY]).select(KEY, *PROFILE)
 
 
 def profile_segments(profiles: DataFrame, k: int = 3) -> DataFrame:

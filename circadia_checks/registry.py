@@ -72,9 +72,8 @@ def content(v: Views) -> DataFrame:
 
 
 def profiles(v: Views) -> DataFrame:
-    counts = content(v)
     habits_ = segments.habit_type(v.habit_peaks())
-    return segments.customer_profiles(habits_, segments.format_preference(counts), segments.genre_preference(counts))
+    return segments.customer_profiles(habits_, segments.preferences(content(v)))
 
 
 def bands(v: Views) -> DataFrame:
