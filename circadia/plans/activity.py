@@ -11,13 +11,17 @@ from ..functions.semantics import count_distinct
 from ..functions.text import log_intensity
 from ..operators.grid import densify
 from ..operators.ranking import share_of_group, sorted_rows
-from .events import HOURS, WEEK_GRID, customer_events, with_week
+from .events import HOURS, WEEK_GRID, customer_events
 
 
 def _counts(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def _summed(counts: DataFrame, *keys: str) -> DataFrame:
+    return counts.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
 def weekday_hour_share(fact, time_of_day, as_of=None, days: int = 45, labels: str = "danish") -> DataFrame:
     """Hour profile of each weekday, in percent of the weekday's events."""
     counts = _counts(customer_events(fact, time_of_day, as_of, days), "weekday", "hour")
@@ -57,39 +61,38 @@ def _only(fact: DataFrame, customers: Iterable[int] | None) -> DataFrame:
     return fact if customers is None else fact.where(F.col("customer_key").isin(list(customers)))
 
 
-def category_weekday_hour_heatmap(themed_events: DataFrame, keep_emptied: bool = True) -> DataFrame:
+def category_weekday_hour_heatmap(themed_week: DataFrame, keep_emptied: bool = True) -> DataFrame:
     """Weekday and hour counts per category group, all cells present.
 
     Rows with a null in day, time or group are left out. A group that loses all its rows this
     way keeps a grid of zeros unless ``keep_emptied`` is off.
     """
-    base = with_week(themed_events).select("date_key", "secs", "category_group", "weekday", "hour")
-    counts = _counts(base.dropna("any"), "category_group", "weekday", "hour")
+    known = themed_week.select("category_group", "weekday", "hour", "n").dropna("any")
     groups = None
     if keep_emptied:
-        groups = themed_events.where(F.col("category_group").isNotNull()).select("category_group")
-    return densify(counts, ["category_group"], WEEK_GRID, "n", domain=groups)
+        groups = themed_week.where(F.col("category_group").isNotNull()).select("category_group")
+    return densify(_summed(known, "category_group", "weekday", "hour"), ["category_group"], WEEK_GRID, "n", domain=groups)
 
 
-def single_category_heatmap(themed_events: DataFrame, group: str) -> DataFrame:
+def single_category_heatmap(themed_week: DataFrame, group: str) -> DataFrame:
     """Observed weekday and hour cells of one category group."""
-    chosen = with_week(themed_events).where(F.col("category_group") == group)
-    return _counts(chosen, "category_group", "weekday", "hour")
+    chosen = themed_week.where(F.col("category_group") == group)
+    return _summed(chosen, "category_group", "weekday", "hour")
 
 
-def category_frequencies(themed_events: DataFrame, column: str) -> DataFrame:
+def category_frequencies(themed_week: DataFrame, column: str) -> DataFrame:
     """How often each value occurs, most frequent first."""
-    return sorted_rows(_counts(themed_events, column), "-n", column)
+    return sorted_rows(_summed(themed_week, column), "-n", column)
 
 
 def all_category_frequencies(
-    themed_events: DataFrame,
+    themed_week: DataFrame,
     columns: Sequence[str] = ("level1_danish", "name_english", "category_group", "category"),
 ) -> DataFrame:
     """Frequencies of several columns in one table, in one pass over the events."""
-    combined = _counts(themed_events, *columns)
-    long = combined.select("n", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])))
-    return long.groupBy("column", "value").agg(F.sum("n").alias("n"))
+    combined = _summed(themed_week, *columns)
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]
+    return _summed(combined.select("n", F.inline(F.array(*cells))), "column", "value")
 
 
 def product_time_profile(themed_events: DataFrame, product: int) -> DataFrame:

@@ -97,6 +97,15 @@ def themed(
     )
 
 
-def with_week(themed_events: DataFrame) -> DataFrame:
-    weekday = iso_weekday(date_of_key(F.col("date_key")))
-    return themed_events.withColumn("weekday", weekday).withColumn("hour", hour_of(F.col("secs")))
+def themed_week(
+    fact: DataFrame, bridge: DataFrame, categories: DataFrame, time_of_day: DataFrame, as_of=None, days: int = 7
+) -> DataFrame:
+    """How often (``n``) each category is read per product, weekday and hour.
+
+    The same rows as :func:`themed`, counted per product before categories join, so neither a
+    bestseller nor the unknown product carries its events through the fan-out.
+    """
+    events = timed(recent(fact, as_of, days), time_of_day, ("product_key",))
+    counted = events.groupBy("product_key", "weekday", "hour").agg(F.count("*").alias("n"))
+    named = bridge.join(categories, "thema_category_key", "left")
+    return counted.join(named, "product_key", "left").drop("product_key")

@@ -53,6 +53,10 @@ def themed(v: Views) -> DataFrame:
     return ev.themed(v.reader_fact(), v.product_theme_bridge(), v.theme_category(), v.time_of_day(), AS_OF)
 
 
+def themed_week(v: Views) -> DataFrame:
+    return ev.themed_week(v.reader_fact(), v.product_theme_bridge(), v.theme_category(), v.time_of_day(), AS_OF)
+
+
 def clean(v: Views) -> DataFrame:
     return usage.clean_durations(v.read_duration_fact(), AS_OF)
 
@@ -761,17 +765,17 @@ def customer_hour_heatmap(v):
 
 @query
 def category_weekday_hour_heatmap(v):
-    return activity.category_weekday_hour_heatmap(themed(v))
+    return activity.category_weekday_hour_heatmap(themed_week(v))
 
 
 @query
 def fiction_heatmap(v):
-    return activity.single_category_heatmap(themed(v), "Skønlitteratur")
+    return activity.single_category_heatmap(themed_week(v), "Skønlitteratur")
 
 
 @query
 def nonfiction_heatmap(v):
-    return activity.single_category_heatmap(themed(v), "Faglitteratur")
+    return activity.single_category_heatmap(themed_week(v), "Faglitteratur")
 
 
 @query
@@ -781,12 +785,12 @@ def theme_events(v):
 
 @query
 def category_frequencies(v):
-    return activity.all_category_frequencies(themed(v))
+    return activity.all_category_frequencies(themed_week(v))
 
 
 @query
 def level1_frequencies(v):
-    return activity.category_frequencies(themed(v), "level1_danish")
+    return activity.category_frequencies(themed_week(v), "level1_danish")
 
 
 @query
