@@ -30,7 +30,10 @@ def count_distinct(value: Column, count_null: bool = True) -> Column:
 
 
 def mode(value: Column) -> Column:
-    """Most frequent value; the smallest one if several are equally frequent."""
+    """Most frequent value; the smallest one if several are equally frequent.
+
+    Keeps a count per value while it runs: meant for values of a small domain, such as weekdays.
+    """
     return F.mode(value, deterministic=True)
 
 

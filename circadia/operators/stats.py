@@ -92,10 +92,21 @@ def keeps(value: Column, median: Column, sd: Column, rule: str, width: float = 2
 
 
 def drop_outliers(
-    df: DataFrame, keys: Sequence[str], value: str, rule: str, width: float = 2.0, unknown: str = "skip"
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    rule: str,
+    width: float = 2.0,
+    unknown: str = "skip",
+    few_groups: bool = False,
 ) -> DataFrame:
-    """Rows that pass the outlier rule of their group; statistics are over the whole group."""
+    """Rows that pass the outlier rule of their group; statistics are over the whole group.
+
+    Say ``few_groups`` only for keys of a small fixed domain, such as weekdays: their statistics
+    are then sent to the rows, which need no shuffle.
+    """
     stats = median_and_sd(histogram(df, keys, value), keys, value, unknown=unknown)
+    stats = F.broadcast(stats) if few_groups else stats
     joined = null_safe_join(df, stats, keys)
     kept = joined.where(keeps(F.col(value), F.col("median"), F.col("sd"), rule, width))
     return kept.select(*df.columns)

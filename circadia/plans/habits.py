@@ -150,8 +150,9 @@ def weekday_start_time(events: DataFrame, margin: int = 5 * 60, unknown: str = "
     week = Window.partitionBy(F.lit(0))
     best = F.min_by("weekday", F.struct(-F.col("day_n"), null_last(F.col("weekday")))).over(week)
     days = days.withColumn("is_modal_day", F.col("weekday").eqNullSafe(best)).drop("day_n")
+    # At most eight rows, seven weekdays and unknown: the hint spares the events a shuffle.
     return (
-        null_safe_join(events, days, ["weekday"])
+        null_safe_join(events, F.broadcast(days), ["weekday"])
         .where(keeps(secs, median, sd, "not_beyond"))
         .select(KEY, "weekday", "secs", "start_secs", "is_modal_day")
     )

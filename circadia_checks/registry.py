@@ -236,7 +236,7 @@ def flt7_drop_null(v):
 
 @query
 def flt8_outliers_by_weekday(v):
-    return stats.drop_outliers(customer_events(v), ["weekday"], "secs", "not_beyond")
+    return stats.drop_outliers(customer_events(v), ["weekday"], "secs", "not_beyond", few_groups=True)
 
 
 @query
