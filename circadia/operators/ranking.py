@@ -107,11 +107,13 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
 
 
 def flag_gaps(df: DataFrame, keys: Sequence[str], position: str, name: str = "gap") -> DataFrame:
-    """'1' where a position follows its predecessor directly, 'gap' where not, null at the start.
+    """'1' where a position follows the one before it directly, 'gap' where not, null at the start.
 
-    One row per key and position: collapse repeats first, which bounds the group.
+    Rows of equal position share their predecessor, the largest smaller position. Collapse
+    repeats first, so that the positions bound the group.
     """
-    before = F.lag(position).over(Window.partitionBy(*keys).orderBy(position))
+    earlier = Window.partitionBy(*keys).orderBy(position).rangeBetween(Window.unboundedPreceding, -1)
+    before = F.max(position).over(earlier)
     flag = F.when(before.isNull(), F.lit(None).cast("string"))
     return df.withColumn(name, flag.when(F.col(position) != before + 1, "gap").otherwise("1"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.grid import expand_repeats, pivot_presence, pivot_values
 from ..operators.ranking import flag_gaps
@@ -57,14 +57,10 @@ def gap_flags(reads: DataFrame) -> DataFrame:
     The order is per customer and title, also when a title has several isbn. ``gap`` is the flag
     of the first read of a bucket; reading it again is a gap every time.
     """
-    by_title = _positions(reads)
-    steps = by_title.groupBy("customer_key", "title", "bucket_no").agg(F.min("isbn13").alias("isbn13"))
-    flagged = flag_gaps(steps, ["customer_key", "title"], "bucket_no")
-    first = F.when(F.col("isbn13") == F.col("_first_isbn"), F.col("gap")).otherwise("gap")
-    return (
-        by_title.join(flagged.withColumnRenamed("isbn13", "_first_isbn"), ["customer_key", "title", "bucket_no"])
-        .select(*IDS, "bucket_no", first.alias("gap"), "n")
-    )
+    flagged = flag_gaps(_positions(reads), ["customer_key", "title"], "bucket_no")
+    first_isbn = F.min("isbn13").over(Window.partitionBy("customer_key", "title", "bucket_no"))
+    gap = F.when(F.col("isbn13").eqNullSafe(first_isbn), F.col("gap")).otherwise("gap")
+    return flagged.select(*IDS, "bucket_no", gap.alias("gap"), "n")
 
 
 def bucket_gaps(reads: DataFrame, buckets: Sequence[int] = BUCKETS) -> DataFrame:

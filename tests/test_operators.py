@@ -93,6 +93,15 @@ def test_gap_flags_by_hand(spark, rows):
     assert rows(completion.bucket_matrix(reads, [1, 2, 3]), "`1`", "`2`", "`3`") == [(1, 1, 0)]
 
 
+def test_gap_order_is_by_title_across_isbn(spark, rows):
+    reads = spark.createDataFrame(
+        [("t", "i", 1, 1, 1), ("t", "j", 1, 1, 1), ("t", "j", 1, 2, 1), ("t", None, 2, 5, 1)],
+        "title string, isbn13 string, customer_key long, bucket_no int, n long",
+    )
+    got = rows(completion.gap_flags(reads), "customer_key", "isbn13", "bucket_no", "gap")
+    assert got == [(1, "i", 1, None), (1, "j", 1, "gap"), (1, "j", 2, "1"), (2, None, 5, None)]
+
+
 def test_the_matrix_has_a_hundred_buckets_by_default(spark):
     reads = spark.createDataFrame([("t", "i", 1, 100, 1)], "title string, isbn13 string, customer_key long, bucket_no int, n long")
     row = completion.bucket_matrix(reads).first()
