@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, wavelet
+from . import packing, warc, wavelet
 from .storage import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,28 @@ def op9_wavelet_tokens(spark: SparkSession, folder: str) -> DataFrame:
     manifest = wavelet.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"))
     read = wavelet.read_shards(manifest)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op8_warc_zstd(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = warc.write_archives(read_documents(spark, folder, "pages"))
+    read = warc.read_archives(manifest)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op8_warc_zstd"] = """
+with pages_ as (
+    select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex from pages
+), last as (
+    select hex, max(page_id) as response from pages_ group by hex
+)
+select
+    page_id,
+    strlen(body) as payload_bytes,
+    list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 +
+        ((cast('0x' || substr(hex, cast(1 + 10 * (i // 8) as int), 10) as bigint) >> cast(35 - 5 * (i % 8) as int)) & 31)
+        as int), 1)), 'string_agg', '') as payload_digest,
+    case when page_id is not distinct from response then 'response' else 'revisit' end as record_type,
+    case when page_id is not distinct from response then null else response end as refers_to
+from pages_ join last using (hex)
+"""
