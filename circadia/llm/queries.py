@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, warc, wavelet
+from . import packing, urls, warc, wavelet
 from .storage import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,97 @@ select
     case when page_id is not distinct from response then null else response end as refers_to
 from pages_ join last using (hex)
 """
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Pages with a day of fetching in 2024, which follows from their number."""
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")).alias("day"))
+
+
+def page_lists(pages: DataFrame) -> DataFrame:
+    """Dated list entries over the pages' own hosts: spam hosts, adult domains, allowed sections.
+
+    What is listed and when follows from a hash of the pattern, so SQL can make the same lists.
+    """
+    number = lambda c: F.conv(F.substring(F.md5(c), 1, 6), 16, 10).cast("int")
+    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), c)
+    section = F.regexp_extract(urls.place("url"), r"^[^/]+/[^/]+", 0)
+    patterns = pages.select(urls.host("url").alias("host"), section.alias("section")).distinct()
+    patterns = patterns.where("host is not null")
+    hosts = patterns.select(F.col("host").alias("pattern")).distinct().withColumn("h", number("pattern"))
+    domains = patterns.select(F.regexp_extract("host", r"^[^.]+\.([^.]+\..+)$", 1).alias("pattern")).distinct()
+    domains = domains.where("pattern <> ''").withColumn("h", number("pattern"))
+    sections = patterns.select(F.col("section").alias("pattern")).distinct().where("pattern <> ''")
+    sections = sections.withColumn("h", number("pattern"))
+    entry = lambda rows, name, allows, at, action: rows.select(
+        F.lit(name).alias("list"), F.lit(allows).alias("allows"), "pattern", day(at).alias("day"), F.lit(action).alias("action")
+    )
+    h = F.col("h")
+    parts = [
+        entry(hosts.where("h % 4 = 0"), "spam", False, h % 200, "add"),
+        entry(hosts.where("h % 12 = 0"), "spam", False, h % 200 + 40, "remove"),
+        entry(hosts.where("h % 24 = 0"), "spam", False, h % 200 + 90, "add"),
+        entry(domains.where("h % 5 = 1"), "adult", False, h % 365, "add"),
+        entry(sections.where("h % 3 = 0"), "sections", True, h % 300, "add"),
+        entry(sections.where("h % 6 = 0"), "sections", True, h % 300 + 60, "remove"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query
+def op6_url_lists_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_documents(spark, folder, "pages").select("page_id", "url")
+    return urls.as_of(page_captures(pages), urls.intervals(page_lists(pages)))
+
+
+ORACLES["op6_url_lists_as_of"] = r"""
+with parsed as (
+    select page_id, url, date '2024-01-01' + cast(page_id % 366 as int) as day,
+        nullif(regexp_replace(lower(regexp_replace(regexp_replace(
+            regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '\.$', ''), '') as host,
+        regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/+$', '') as path
+    from pages
+), hosts as (
+    select pattern, cast('0x' || substr(md5(pattern), 1, 6) as int) as h
+    from (select distinct host as pattern from parsed where host is not null)
+), domains as (
+    select pattern, cast('0x' || substr(md5(pattern), 1, 6) as int) as h
+    from (select distinct regexp_extract(host, '^[^.]+\.([^.]+\..+)$', 1) as pattern from parsed where host is not null)
+    where pattern <> ''
+), sections as (
+    select pattern, cast('0x' || substr(md5(pattern), 1, 6) as int) as h
+    from (select distinct regexp_extract(host || path, '^[^/]+/[^/]+') as pattern from parsed where host is not null)
+    where pattern <> ''
+), entries as (
+    select 'spam' as list, false as allows, pattern, date '2024-01-01' + h % 200 as day, 0 as off from hosts where h % 4 = 0
+    union all select 'spam', false, pattern, date '2024-01-01' + (h % 200 + 40), 1 from hosts where h % 12 = 0
+    union all select 'spam', false, pattern, date '2024-01-01' + (h % 200 + 90), 0 from hosts where h % 24 = 0
+    union all select 'adult', false, pattern, date '2024-01-01' + h % 365, 0 from domains where h % 5 = 1
+    union all select 'sections', true, pattern, date '2024-01-01' + h % 300, 0 from sections where h % 3 = 0
+    union all select 'sections', true, pattern, date '2024-01-01' + (h % 300 + 60), 1 from sections where h % 6 = 0
+), latest as (
+    -- as of each capture: the last entry of every list and pattern that covers it
+    select p.page_id, p.url, p.day, e.list, e.allows, e.pattern,
+        arg_max(e.off, (e.day, e.off)) as off,
+        max(e.day) filter (where e.off = 1) as removed
+    from parsed p join entries e
+        on e.day <= p.day
+        and (p.host = e.pattern
+            or (suffix(p.host, '.' || e.pattern) and not regexp_matches(p.host, '^[0-9.]+$|^\['))
+            or p.host || p.path = e.pattern or starts_with(p.host || p.path, e.pattern || '/'))
+    group by all
+), active as (
+    select l.*, (select min(e.day) from entries e where e.list = l.list and e.pattern = l.pattern and e.off = 0
+        and e.day <= l.day and (l.removed is null or e.day > l.removed)) as since
+    from latest l where off = 0
+), ranked as (
+    select *, row_number() over (partition by page_id, url, day order by length(pattern) desc, allows desc, list desc, pattern desc, since desc) as place
+    from active
+)
+select p.page_id, p.url, p.day, case when r.allows then 'allow' when not r.allows then 'block' end as verdict,
+    r.list, r.pattern, r.since
+from parsed p left join ranked r on r.place = 1 and p.page_id = r.page_id and p.url = r.url and p.day = r.day
+"""
