@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, urls, warc, wavelet
+from . import packing, quality, urls, warc, wavelet
 from .storage import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,3 +150,11 @@ select p.page_id, p.url, p.day, case when r.allows then 'allow' when not r.allow
     r.list, r.pattern, r.since
 from parsed p left join ranked r on r.place = 1 and p.page_id = r.page_id and p.url = r.url and p.day = r.day
 """
+
+
+@query
+def op2_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality.judged(read_documents(spark, folder), ["doc_id"])
+    return rows.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
