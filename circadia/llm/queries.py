@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, quality, urls, warc, wavelet
+from . import decontam, packing, quality, urls, warc, wavelet
 from .storage import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +158,8 @@ def op2_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
     )
+
+
+@query
+def op10_pigeonhole_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.matches(read_documents(spark, folder), read_documents(spark, folder, "benchmark"))
