@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, packing, quality, urls, warc, wavelet
+from . import decontam, jaccard, packing, quality, urls, warc, wavelet
 from .storage import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,8 @@ def op2_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_pigeonhole_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.matches(read_documents(spark, folder), read_documents(spark, folder, "benchmark"))
+
+
+@query
+def op5_partition_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.linked(read_documents(spark, folder))
