@@ -96,7 +96,7 @@ class WaveletMatrix:
         for level in range(depth):
             ones = (order & order.dtype.type(1 << (depth - 1 - level))) != 0
             planes.append(np.packbits(ones))
-            order = np.concatenate([order[~ones], order[ones]])
+            order = order.take(np.concatenate([np.flatnonzero(~ones), np.flatnonzero(ones)]))
         return cls(planes, len(ids))
 
     def decode(self) -> np.ndarray:
@@ -107,8 +107,8 @@ class WaveletMatrix:
             ones = np.unpackbits(self.raw[level], count=self.size).view(bool)
             zeros = self.size - int(np.count_nonzero(ones))
             above = np.empty(self.size, kind)
-            above[~ones] = order[:zeros]
-            above[ones] = order[zeros:] | kind(1 << (self.depth - 1 - level))
+            above[np.flatnonzero(~ones)] = order[:zeros]
+            above[np.flatnonzero(ones)] = order[zeros:] | kind(1 << (self.depth - 1 - level))
             order = above
         return order
 
