@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, jaccard, packing, quality, urls, warc, wavelet
+from . import decontam, jaccard, lines, packing, quality, urls, warc, wavelet
 from .storage import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +168,12 @@ def op10_pigeonhole_decontamination(spark: SparkSession, folder: str) -> DataFra
 @query
 def op5_partition_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.linked(read_documents(spark, folder))
+
+
+@query
+def op4_segment_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = lines.deduplicated(read_documents(spark, folder))
+    kept = F.col("kept_text")
+    return rows.select(
+        "row.doc_id", "n_lines", "n_near", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256")
+    )
