@@ -38,7 +38,8 @@ MIN_LENGTH = 20
 BLOCK_CHARS = 1 << 20
 #: Bits of the filter of candidate lines that is sent to all tasks; of this size whatever the data.
 FILTER_BITS = 1 << 23
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 class Lines:
@@ -84,18 +85,17 @@ def signatures(points: np.ndarray, starts: np.ndarray, edits: int = EDITS, min_l
     rows, pieces = np.arange(len(length)), edits + 1
     with np.errstate(over="ignore"):
         longest = int(length.max()) if len(length) else 0
-        power = np.ones(longest + 2, np.uint64)
-        power[1:] = _BASE
-        power = np.cumprod(power)  # powers of the base, by length
+        power, lift = np.ones(longest + 1, np.uint64), np.ones(longest + 1, np.uint64)
+        power[1:], lift[1:] = _BASE, _INVERSE
+        power, lift = np.cumprod(power), np.cumprod(lift)
         # running hashes: each line is short against the powers, so all lines share one running sum
         place = np.arange(len(points)) - np.repeat(start, length)
         terms = mixed(points.astype(np.uint64)) * power[place]
         running = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
 
         def hashed(of: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-            # brought to a common power, so that equal substrings at different places agree
-            lift = power[longest - at]
-            return (running[start[of] + at + size] - running[start[of] + at]) * lift
+            # brought back to the first power, so that equal substrings at different places agree
+            return (running[start[of] + at + size] - running[start[of] + at]) * lift[at]
 
         out, owner = [], []
         for shorter in range(edits + 1):
