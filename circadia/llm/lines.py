@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .blocks import in_blocks
 from .components import components, local_roots
+from .filters import bit_filter, in_filter
 from .jaccard import one_per_partition
 from .storage import held, width
 from .text import WHITE, binary_column, mixed, ranges, slices, utf8
@@ -36,8 +37,6 @@ EDITS = 2
 MIN_LENGTH = 20
 #: Code points in a block of a cluster.
 BLOCK_CHARS = 1 << 20
-#: Bits of the filter of candidate lines that is sent to all tasks; of this size whatever the data.
-FILTER_BITS = 1 << 23
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -276,27 +275,14 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(distinct[other]), pa.array(distinct[root[other]])], names=["a", "b"])
 
 
-def bit_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of the ids' low bits: a fixed number of words, put together before the driver sees them."""
-    word = F.shiftright(F.col(column).bitwiseAND(bits - 1), 5)
-    bit = F.expr(f"shiftleft(1L, cast({column} & 31 as int))")
-    rows = ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toLocalIterator()
-    out = np.zeros(bits // 32, np.uint32)
-    for row in rows:
-        out[row["word"]] = row["bits"]
-    return out
-
-
 def _candidate_texts(docs: DataFrame, filter_: np.ndarray, min_length: int) -> DataFrame:
     """k1, k2 and code points of the lines whose key passes the filter, once per task."""
     sent = docs.sparkSession.sparkContext.broadcast(filter_)
-    bits = len(filter_) * 32
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             found = Lines(part.column(0), min_length)
-            low = found.keys["k1"] & (bits - 1)
-            passes = np.flatnonzero((sent.value[low >> 5] >> (low & 31).astype(np.uint32)) & np.uint32(1))
+            passes = np.flatnonzero(in_filter(sent.value, found.keys["k1"]))
             _, first = np.unique(found.keys[passes], return_index=True)
             rows = passes[first]
             points, starts = found.code_points(rows)

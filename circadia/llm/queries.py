@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, jaccard, lines, packing, quality, urls, warc, wavelet
+from . import decontam, jaccard, lines, packing, quality, repeats, urls, warc, wavelet
 from .storage import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,3 +177,13 @@ def op4_segment_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "row.doc_id", "n_lines", "n_near", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256")
     )
+
+
+@query
+def op7_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    rows = repeats.removed(read_documents(spark, folder), keep="none")
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return rows.select(
+        "row.doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
