@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, jaccard, lines, packing, quality, repeats, urls, warc, wavelet
+from . import decontam, jaccard, lines, lm, packing, quality, repeats, urls, warc, wavelet
 from .storage import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,3 +187,8 @@ def op7_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
         "row.doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op3_elias_fano_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scored(read_documents(spark, folder), lm.seventh())
