@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .blocks import in_blocks
 from .components import components, local_roots
 from .storage import held, picked, width
 from .text import binary_column, each, mixed, slices, words
@@ -211,7 +212,15 @@ def banded(values: np.ndarray, starts: np.ndarray) -> Iterator[tuple[BandSets, n
 
 # ---- the join ------------------------------------------------------------------------------------
 
-NARROW = "doc_id long, n_shingles long, k1 long, k2 long, weak array<int>"
+NARROW = "doc_id long, text_key binary, n_shingles long, k1 long, k2 long, weak array<int>"
+
+
+def _identity(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a checksum of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_key")
+    )
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -226,12 +235,12 @@ def described(docs: DataFrame) -> DataFrame:
                 for row in rows[sets.weak]:
                     weak[row].append(sets.band)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), pa.array(np.diff(starts)), pa.array(one), pa.array(two),
+                [part.column(0), part.column(2), pa.array(np.diff(starts)), pa.array(one), pa.array(two),
                  pa.array(weak, pa.list_(pa.int32()))],
-                names=["doc_id", "n_shingles", "k1", "k2", "weak"],
+                names=["doc_id", "text_key", "n_shingles", "k1", "k2", "weak"],
             )
 
-    return picked(docs, doc_id="doc_id", text="text").mapInArrow(describe, NARROW)
+    return _identity(docs).mapInArrow(describe, NARROW)
 
 
 def one_per_partition(spark: SparkSession, parts: int) -> np.ndarray:
@@ -408,8 +417,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.join(wanted, again).drop("_k1", "_k2", "_wanted")
 
 
-def linked(docs: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (documents linked to, copies included) of every document."""
+def _labelled(docs: DataFrame, block: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component (a set's key), component_id and n_links of every document."""
     spark = docs.sparkSession
     rows = held(described(docs), "jaccard-sets")
     weak = frozenset(r[0] for r in rows.select(F.explode("weak").alias("w")).distinct().collect())  # a few bands
@@ -422,25 +431,8 @@ def linked(docs: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
     candidates = held(packed.mapInArrow(_stars, "a long, b long"), "jaccard-candidates")
     clusters = components(candidates)
     wanted = classes.join(clusters.withColumnRenamed("node", "k1"), "k1")
-    totals = clusters.withColumnRenamed("node", "k1").join(classes, "k1").groupBy("component").agg(F.sum("n_shingles").alias("_all"))
-    wanted = held(wanted.join(totals, "component"), "jaccard-wanted")
-    # a large cluster's blocks meet in pairs; small clusters share tasks of about a block
-    blocks = F.ceil(F.col("_all") / F.lit(block)).cast("int")
-    total = wanted.where(blocks == 1).agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    shared = max(1, -(-total // block), min(parts, 1 + total // (1 << 16)))
-    mine = F.pmod(F.xxhash64("k2", "k1"), blocks).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), blocks - 1),
-        lambda i: F.struct(F.least(i, mine).alias("i"), F.greatest(i, mine).alias("j")),
-    )
-    dealt = _sets_of(docs, wanted).withColumn("_blocks", blocks).withColumn("_mine", mine)
-    dealt = dealt.withColumn("_pair", F.explode(pairs))
-    task = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(shared))).otherwise(F.col("component"))
-    side = F.when(F.col("_pair.i") == F.col("_pair.j"), 2).otherwise((F.col("_mine") == F.col("_pair.j")).cast("int"))
-    dealt = dealt.select(
-        task.alias("task"), (F.col("_blocks") > 1).alias("large"), F.col("_pair.i").alias("i"), F.col("_pair.j").alias("j"),
-        "k1", "k2", "copies", "shingles", side.cast("long").alias("side"),
-    )
+    wanted = held(wanted, "jaccard-wanted")
+    dealt = in_blocks(_sets_of(docs, wanted), "component", "n_shingles", ["k2", "k1"], block)
     verified = held(
         dealt.groupBy("task", "large", "i", "j").applyInArrow(_verify, "a binary, b binary, links long"), "jaccard-links"
     )
@@ -451,11 +443,43 @@ def linked(docs: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
     labels = labels.withColumn("component", F.coalesce("component", "a"))
     smallest = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = labels.join(smallest, "component").select(
-        "k1", "k2", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        "k1", "k2", "component", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     out = rows.join(labels, ["k1", "k2"], "left")
     alone = F.col("n_shingles") == 0
     return out.select(
-        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "doc_id", "text_key", "n_shingles", "component",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+
+
+def linked(docs: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (documents linked to, copies included) of every document."""
+    return _labelled(docs, block).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """``docs`` with one document of each component: the smallest doc_id (null last), then text checksum.
+
+    Documents with empty sets all stay. Of rows that are equal in doc_id and text one stays.
+    """
+    rows = held(_labelled(docs, block), "jaccard-labels")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    full = rows.where("n_shingles > 0").withColumn("_place", place)
+    heads = full.groupBy("component").agg(F.min("_place").alias("_head"))
+    gone = full.join(heads, "component").where("_place <> _head").select(
+        F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")
+    )
+    repeated = full.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(
+        F.col("doc_id").alias("_again"), F.col("text_key").alias("_again_key")
+    )
+    key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                        F.col("doc_id").cast("long").alias("_id"), key.alias("_key"))
+    kept = whole.join(gone.distinct(), F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
+    if repeated.limit(1).count():
+        again = F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_key") == F.col("_again_key"))
+        once = kept.join(repeated, again, "left_semi").dropDuplicates(["_id", "_key"])
+        kept = kept.join(repeated, again, "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

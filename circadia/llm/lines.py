@@ -383,3 +383,19 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENG
     ).schema
     schema["kept_text"].nullable = True
     return chosen.mapInArrow(rewrite, schema)
+
+
+def filtered(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENGTH) -> DataFrame:
+    """``docs`` with the texts that are left; a document whose words have all gone with its lines goes, too."""
+    rows = deduplicated(docs, edits, min_length)
+    worded = "[^\\x20\\x09-\\x0D]"
+    stays = F.col("kept_text").rlike(worded) | (F.col("n_removed") == 0)
+    columns = []
+    for field in docs.schema:
+        column = F.col(f"row.`{field.name}`")
+        if field.name == "text":
+            column = F.col("kept_text").cast(field.dataType)
+        elif field.name == "n_chars":
+            column = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(field.dataType)).otherwise(column)
+        columns.append(column.alias(field.name))
+    return rows.where(stays | F.col("kept_text").isNull()).select(*columns)
