@@ -277,7 +277,7 @@ def _suffix_spans(keep: str):
         new = np.ones(len(hit), bool)
         new[1:] = (hit[1:] != hit[:-1] + 1) | (region[hit[1:]] != region[hit[:-1]])
         head = np.flatnonzero(new)
-        last = np.append(head[1:], len(hit)) - 1
+        last = np.append(head[1:], len(hit))[: len(head)] - 1
         of = region[hit[head]]
         begin = table.column("start").to_numpy()[of] + starts[hit[head]] - places[of]
         end = begin + (hit[last] - hit[head]) + LENGTH
