@@ -18,6 +18,7 @@ are not read, or carried unread by ``clean``.
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -146,12 +147,15 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
         yield sorted((r for r in rows if r[1]), key=lambda r: (r[0] is not None, r))
 
 
-def _matcher(sent, error_rate: float, known: dict = {}):  # noqa: B006 - one automaton per worker and block
-    key = (sent.id if hasattr(sent, "id") else id(sent), error_rate)
-    if key not in known:
-        known.clear()
-        known[key] = Matcher(sent.value, error_rate)
-    return known[key]
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, sent, error_rate: float) -> Matcher:
+    """The automaton of a block, made once per worker; ``name`` is the block's own in all jobs."""
+    if name not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[name] = Matcher(sent.value, error_rate)
+    return _MATCHERS[name]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
@@ -161,8 +165,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
     for block in blocks(benchmark):
         sent = spark.sparkContext.broadcast(block)
 
-        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(sent, error_rate)
+        def find(batches: Iterator[pa.RecordBatch], sent=sent, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(name, sent, error_rate)
             for part in slices(batches, "text"):
                 rows = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
@@ -186,8 +190,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE)
         sent = spark.sparkContext.broadcast(block)
         at = docs.columns.index("text")
 
-        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(sent, error_rate)
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(name, sent, error_rate)
             for part in slices(batches, "text"):
                 good = [next(matcher.matches(normal(t)), None) is None for t in part.column(at).to_pylist()]
                 if any(good):

@@ -149,9 +149,9 @@ UNIT = 1024
 VECTOR = (
     # mean word length on a log scale, drawn towards five by twenty words
     ("log2((word_chars + 100) / (n_words + 20))", 0.06),
-    ("log2(1 + 100 * n_symbols / n_words)", 0.5),
+    ("log2(1 + 100 * n_symbols / greatest(n_words, 1))", 0.5),
     ("log2(1 + n_dup_lines)", 0.7),
-    ("sqrt(n_repeat_words / n_words)", 0.15),
+    ("sqrt(n_repeat_words / greatest(n_words, 1))", 0.15),
 )
 DIMENSIONS = len(VECTOR)
 MIN_ROWS = 50
