@@ -51,8 +51,9 @@ def second_of(secs: Column) -> Column:
 
 
 def clock_text(secs: Column) -> Column:
-    """Seconds to 'HH:MM:SS'."""
+    """Seconds to 'HH:MM:SS'; what would round to the next day is the day's last second."""
     whole = F.rint(secs).cast("int")
+    whole = F.when((secs < 86400) & (whole == 86400), F.lit(86399)).otherwise(whole)
     text = F.format_string("%02d:%02d:%02d", hour_of(whole), minute_of(whole), second_of(whole))
     return F.when(secs.isNotNull(), text)
 

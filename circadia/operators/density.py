@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .stats import histogram, summarise
+from .stats import histogram, summarise, whole_numbers
 from ..session import spread
 
 # Task code travels with the plan, so executors need no copy of the package.
@@ -59,6 +59,7 @@ def density(
     shared: bool = False,
     points: int = GRID_POINTS,
     min_rows: int = 2,
+    weight: str | None = None,
 ) -> DataFrame:
     """Density of ``value`` (integer seconds) on ``points`` grid points per group.
 
@@ -66,11 +67,14 @@ def density(
     ``shared`` form (ridge plots): one bandwidth, the mean over groups, and one grid for all
     groups that reaches three bandwidths beyond the data.
 
-    Events are counted per second before anything is gathered, so the row a group becomes has at
+    ``weight`` names a column of counts; without it each row counts once. The value must be of an
+    integer type. Events are counted per second before anything is gathered, so the row a group becomes has at
     most 86,400 entries, and the work per group is bounded by those times the grid.
     """
     keys = list(keys)
-    hist = histogram(df.where(F.col(value).isNotNull()), keys, value)
+    whole_numbers(df, value)
+    known = df.where(F.col(value).isNotNull())
+    hist = histogram(known, keys, value) if weight is None else known.groupBy(*keys, value).agg(F.sum(weight).alias("n"))
     pairs = F.collect_list(F.struct(F.col(value).alias("s"), F.col("n").alias("n")))
     groups = summarise(spread(hist, *keys) if keys else hist, keys, value, "n", pairs.alias("_pairs"))
     groups = groups.withColumn(

@@ -63,8 +63,16 @@ def densify(
     return full.drop("_at")
 
 
+def within_names(df: DataFrame, name: str, names: Sequence) -> DataFrame:
+    """``df`` itself; reading a row whose ``name`` is not among ``names`` raises instead of losing it."""
+    known = F.col(name).isNull() | F.col(name).isin(list(names))
+    problem = F.raise_error(F.concat(F.lit(f"{name} outside its list: "), F.col(name).cast("string")))
+    return df.withColumn(name, F.when(known, F.col(name)).otherwise(problem.cast(df.schema[name].dataType)))
+
+
 def pivot_presence(df: DataFrame, ids: Sequence[str], name: str, names: Sequence) -> DataFrame:
-    """One 0/1 column per value of ``name``: does the id have that value?"""
+    """One 0/1 column per value of ``name``: does the id have that value? A value outside ``names`` raises."""
+    df = within_names(df, name, names)
     wide = df.groupBy(*ids).pivot(name, list(names)).agg(F.max(F.lit(1)))
     return wide.fillna(0, subset=[str(n) for n in names])
 
@@ -128,6 +136,7 @@ def expand_repeats(
     Runs stay counts until the end: no list of occurrences is ever collected, and long runs are
     laid out in blocks that spread over tasks.
     """
+    df = within_names(df, name, names)
     packed = F.struct(F.col(first).alias("a"), F.col(repeat).alias("b"), F.col(times).cast("long").alias("n"))
     wide = df.groupBy(*ids).pivot(name, list(names)).agg(F.first(packed))
     cells = [F.col(f"`{n}`") for n in names]

@@ -21,8 +21,8 @@ from .sampling import split
 
 _FEATURES = "_features"
 
-# Fixed value: iteration limit of the fits.
-MAX_ITER = 10
+#: Rounds after which a fit that still moves raises.
+MAX_ITER = 300
 
 
 def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -62,8 +62,8 @@ class Fit:
 
 @contextmanager
 def _held(df: DataFrame, *columns: str) -> Iterator[DataFrame]:
-    """The columns, kept in memory and on disk while several passes go over them."""
-    rows = df.select(*columns).persist()
+    """The rows without a null in ``columns``, kept in memory and on disk while several passes go over them."""
+    rows = df.select(*columns).dropna("any").persist()
     try:
         rows.count()
         yield rows
@@ -76,6 +76,8 @@ def _single(features: DataFrame) -> Fit:
     columns = features.columns
     spread = sum((F.var_pop(c) for c in columns), F.lit(0.0)) * F.count("*")
     row = features.agg(*[F.avg(c) for c in columns], spread).first()
+    if row[-1] is None:
+        raise ValueError("no rows to cluster")
     return Fit(columns, None, [0], [list(map(float, row[:-1]))], float(row[-1]))
 
 
@@ -85,6 +87,8 @@ def _fit(features: DataFrame, k: int, seed: int, max_iter: int = MAX_ITER) -> Fi
         return _single(features)
     estimator = KMeans(featuresCol=_FEATURES, k=k, seed=seed, maxIter=max_iter)
     model = estimator.fit(assemble(features, columns).select(_FEATURES))
+    if model.summary.numIter >= max_iter:
+        raise RuntimeError(f"{k} centres still move after {max_iter} rounds")
     centers = [[float(x) for x in c] for c in model.clusterCenters()]
     order = sorted(range(len(centers)), key=lambda i: centers[i])
     return Fit(columns, model, order, [centers[i] for i in order], float(model.summary.trainingCost))
@@ -103,18 +107,18 @@ def _side_by_side(spark: SparkSession, work: Callable, items: Iterable, parallel
 
 
 def fit_each(
-    df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 62, parallelism: int = 4
+    df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 62, parallelism: int = 4, max_iter: int = MAX_ITER
 ) -> list[Fit]:
     """One fit per k over the same held rows."""
     with _held(df, *columns) as features:
-        return _side_by_side(df.sparkSession, lambda k: _fit(features, k, seed), ks, parallelism)
+        return _side_by_side(df.sparkSession, lambda k: _fit(features, k, seed, max_iter), ks, parallelism)
 
 
 def elbow(
-    df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 62, parallelism: int = 4
+    df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 62, parallelism: int = 4, max_iter: int = MAX_ITER
 ) -> DataFrame:
     """Total within-cluster sum of squares for each k."""
-    rows = [(int(k), found.wss) for k, found in zip(ks, fit_each(df, columns, ks, seed, parallelism))]
+    rows = [(int(k), found.wss) for k, found in zip(ks, fit_each(df, columns, ks, seed, parallelism, max_iter))]
     return df.sparkSession.createDataFrame(rows, "centroids int, wss double")
 
 
@@ -123,14 +127,14 @@ def gain_cutoff(rows: int, columns: int) -> float:
     return min(0.02 + 10.0 / rows + 2.5 / columns**2, 0.8)
 
 
-def _estimate(features: DataFrame, k_max: int, seed: int, cutoff: float | None) -> Fit:
+def _estimate(features: DataFrame, k_max: int, seed: int, cutoff: float | None, max_iter: int = MAX_ITER) -> Fit:
     if cutoff is None:
         cutoff = gain_cutoff(max(features.count(), 1), len(features.columns))
     best = _single(features)
     for k in range(2, k_max + 1):
         if best.wss <= 0:
             break
-        candidate = _fit(features, k, seed)
+        candidate = _fit(features, k, seed, max_iter)
         if 1 - candidate.wss / best.wss <= cutoff:
             break
         best = candidate
@@ -138,11 +142,11 @@ def _estimate(features: DataFrame, k_max: int, seed: int, cutoff: float | None)
 
 
 def estimate_k(
-    df: DataFrame, columns: Sequence[str], k_max: int, seed: int = 62, cutoff: float | None = None
+    df: DataFrame, columns: Sequence[str], k_max: int, seed: int = 62, cutoff: float | None = None, max_iter: int = MAX_ITER
 ) -> Fit:
     """Add clusters while each one lowers the sum of squares enough."""
     with _held(df, *columns) as features:
-        return _estimate(features, k_max, seed, cutoff)
+        return _estimate(features, k_max, seed, cutoff, max_iter)
 
 
 def stability(
@@ -154,13 +158,14 @@ def stability(
     ratio: float = 0.75,
     seed: int = 62,
     parallelism: int = 4,
+    max_iter: int = MAX_ITER,
 ) -> DataFrame:
     """Centres found on repeated random parts of the rows."""
     with _held(df, *keys, *columns) as rows:
 
         def replicate(r: int) -> list[tuple]:
             part, _ = split(rows, keys, ratio, seed + r)
-            found = _estimate(part.select(*columns), k_max, seed + r, None)
+            found = _estimate(part.select(*columns), k_max, seed + r, None, max_iter)
             return [(r, i, *c) for i, c in enumerate(found.centers, start=1)]
 
         parts = _side_by_side(df.sparkSession, replicate, range(1, replicates + 1), parallelism)

@@ -49,6 +49,10 @@ class Modes:
         return df.withColumn(name, F.get(F.array(*[F.lit(x) for x in labels]), F.col(cluster) - 1))
 
 
+#: Rounds after which modes that still change raise.
+MAX_ITER = 300
+
+
 def profiles(df: DataFrame, columns: Sequence[str], weight: str = "n") -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias(weight))
 
@@ -83,7 +87,7 @@ def _updates(table: DataFrame, states: dict[int, Modes]) -> dict[int, list[tuple
     }
 
 
-def fit_all(df: DataFrame, columns: Sequence[str], ks: Sequence[int], max_iter: int = 25) -> dict[int, Modes]:
+def fit_all(df: DataFrame, columns: Sequence[str], ks: Sequence[int], max_iter: int = MAX_ITER) -> dict[int, Modes]:
     """Modes for several k at once, each starting from the k most frequent profiles.
 
     All solutions share every pass over the profiles. A solution has fewer modes than asked for
@@ -102,7 +106,8 @@ def fit_all(df: DataFrame, columns: Sequence[str], ks: Sequence[int], max_iter:
                     done[k] = open_.pop(k)
                 else:
                     open_[k].modes = modes
-        done.update(open_)
+        if open_:
+            raise RuntimeError(f"modes for k = {sorted(open_)} still change after {max_iter} rounds")
         if done:
             spread = _tagged(table, done).groupBy("_k", "_cluster").agg(F.sum(F.col("_d") * F.col("n")))
             sums = {(r[0], r[1]): int(r[2]) for r in spread.collect()}
@@ -113,14 +118,14 @@ def fit_all(df: DataFrame, columns: Sequence[str], ks: Sequence[int], max_iter:
     return {k: done[k] for k in ks if k in done}
 
 
-def fit(df: DataFrame, columns: Sequence[str], k: int, max_iter: int = 25) -> Modes:
+def fit(df: DataFrame, columns: Sequence[str], k: int, max_iter: int = MAX_ITER) -> Modes:
     found = fit_all(df, columns, [k], max_iter)
     if not found:
         raise ValueError("no rows to cluster")
     return found[k]
 
 
-def elbow(df: DataFrame, columns: Sequence[str], ks: Sequence[int], max_iter: int = 25) -> DataFrame:
+def elbow(df: DataFrame, columns: Sequence[str], ks: Sequence[int], max_iter: int = MAX_ITER) -> DataFrame:
     """Mean within-cluster difference for each number of modes."""
     fits = fit_all(df, columns, list(ks), max_iter)
     rows = [(int(k), sum(f.within) / len(f.within)) for k, f in fits.items()]

@@ -44,7 +44,8 @@ def sorted_rows(df: DataFrame, *order: str) -> DataFrame:
 def first_row_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
     """One whole row per key: the smallest in column order, nulls last.
 
-    An aggregate with map-side combine, so a key with very many rows costs nothing extra.
+    Spark sorts each task's rows by key for this aggregate and keeps one per key before the shuffle, so
+    a key with very many rows is one row per task there.
     """
     rest = [c for c in df.columns if c not in keys]
     order = list(order or rest)

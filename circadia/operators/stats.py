@@ -8,10 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..session import cut_lineage
 from .joins import null_safe_join
 
+#: Groups whose statistics may be sent to all tasks.
+FEW = 1000
+
+
+def whole_numbers(df: DataFrame, value: str) -> None:
+    """Raises unless the column is of an integer type: only then are a group's distinct values few."""
+    kind = df.schema[value].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{value} must be of an integer type, not {kind.simpleString()}")
+
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, weight: str = "n") -> DataFrame:
     """Rows per key and value."""
@@ -102,41 +113,54 @@ def drop_outliers(
 ) -> DataFrame:
     """Rows that pass the outlier rule of their group; statistics are over the whole group.
 
-    Say ``few_groups`` only for keys of a small fixed domain, such as weekdays: their statistics
-    are then sent to the rows, which need no shuffle.
+    ``few_groups`` is for keys of a small domain, such as weekdays: if there are at most ``FEW`` groups,
+    their statistics are sent to the rows, which need no shuffle; else rows and statistics are joined.
     """
     stats = median_and_sd(histogram(df, keys, value), keys, value, unknown=unknown)
-    stats = F.broadcast(stats) if few_groups else stats
+    if few_groups and df.select(*keys).distinct().limit(FEW + 1).count() <= FEW:
+        stats = F.broadcast(stats)
     joined = null_safe_join(df, stats, keys)
     kept = joined.where(keeps(F.col(value), F.col("median"), F.col("sd"), rule, width))
     return kept.select(*df.columns)
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", accuracy: int = 10000) -> DataFrame:
-    """Exact median per group when a group may have any number of distinct values.
+def modal(df: DataFrame, keys: Sequence[str], value: str, name: str = "mode") -> DataFrame:
+    """Most frequent known value per group, the smallest on a tie; null where none is known.
 
-    A quantile sketch of fixed size brackets the middle ranks; only the rows inside the bracket
-    (a few per ten thousand) are ordered, and what lies below is merely counted. The bracket is
-    three times as wide as the sketch's error bound, and a miss raises rather than passes.
+    Rows are counted per key and value first, so what is compared is one row per value.
     """
-    v = F.col(value)
-    known = df.where(v.isNotNull()).select(*keys, value)
-    margin = 3.0 / accuracy
-    sketch = F.percentile_approx(value, [0.5 - margin, 0.5 + margin], accuracy)
-    bracket = known.groupBy(*keys).agg(F.count("*").alias("_n"), sketch.alias("_b"))
-    bracket = bracket.select(*keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    # Everything below the bracket becomes one counted row per group, before any shuffle.
-    placed = null_safe_join(known, bracket, keys).where(v <= F.col("_hi"))
-    inside = F.when(v >= F.col("_lo"), v).alias("_v")
-    tallies = placed.groupBy(*keys, "_n", inside).agg(F.count("*").alias("_w"))
-    upto = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    ranked = tallies.withColumn("_last", F.sum("_w").over(upto))
-    first = F.col("_last") - F.col("_w") + 1
-    at = lambda rank: F.max(F.when((first <= rank) & (rank <= F.col("_last")), F.col("_v")))
-    low, high = at(F.floor((F.col("_n") + 1) / 2)), at(F.floor(F.col("_n") / 2) + 1)
-    middle = ranked.groupBy(*keys).agg(low.alias("_a"), high.alias("_z"))
-    found = F.col("_a").isNotNull() & F.col("_z").isNotNull()
-    median = F.when(found, (F.col("_a") + F.col("_z")) / 2).otherwise(
-        F.raise_error(F.lit("median outside its bracket")).cast("double")
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    rank = F.when(F.col(value).isNotNull(), F.struct(-F.col("_n"), F.col(value)))
+    return counts.groupBy(*keys).agg(F.min_by(value, rank).alias(name))
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """Exact median per group, as a double, for any orderable type and any number of distinct values.
+
+    Rows are counted per key and value and put in order by key and value in ranges, so a key with very
+    many values is several ranges. A value's rank is the count before it in its range plus what the key
+    has in earlier ranges, of which there is one total per range. The one or two middle values are then
+    picked. A group whose values are all null has a null median.
+    """
+    counted = df.groupBy(*keys, value).agg(F.count("*").alias("_rows"))
+    counted = counted.withColumn("_n", F.when(F.col(value).isNull(), 0).otherwise(F.col("_rows")))
+    ranged = counted.repartitionByRange(*keys, value).sortWithinPartitions(*keys, value)
+    placed = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
+    totals = placed.groupBy("_range", *keys).agg(F.sum("_n").alias("_here"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_range",
+        *keys,
+        F.coalesce(F.sum("_here").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_here").over(Window.partitionBy(*keys)).alias("_all"),
     )
+    upto = Window.partitionBy("_range", *keys).orderBy(F.col(value).asc_nulls_first())
+    ranked = null_safe_join(placed, offsets, ["_range", *keys])
+    ranked = ranked.withColumn("_last", F.col("_before") + F.sum("_n").over(upto))
+    at = lambda rank: F.max(
+        F.when((F.col("_last") - F.col("_n") < rank) & (rank <= F.col("_last")), F.col(value).cast("double"))
+    )
+    low, high = at(F.floor((F.col("_all") + 1) / 2)), at(F.floor(F.col("_all") / 2) + 1)
+    middle = ranked.groupBy(*keys).agg(low.alias("_a"), high.alias("_z"))
+    median = F.when(F.col("_a") == F.col("_z"), F.col("_a")).otherwise((F.col("_a") + F.col("_z")) / 2)
     return middle.select(*keys, median.alias(name))

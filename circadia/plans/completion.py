@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators.grid import expand_repeats, pivot_presence, pivot_values
+from ..operators.grid import expand_repeats, pivot_presence, pivot_values, within_names
 from ..operators.ranking import flag_gaps
 
 IDS = ["title", "isbn13", "customer_key"]
@@ -65,7 +65,7 @@ def gap_flags(reads: DataFrame) -> DataFrame:
 
 def bucket_gaps(reads: DataFrame, buckets: Sequence[int] = BUCKETS) -> DataFrame:
     """The matrix with 'gap', '1' or null (not read, or first bucket read) in each cell."""
-    return pivot_values(gap_flags(reads), IDS, "bucket_no", buckets, "gap")
+    return pivot_values(within_names(gap_flags(reads), "bucket_no", buckets), IDS, "bucket_no", buckets, "gap")
 
 
 def bucket_rows(reads: DataFrame, buckets: Sequence[int] = BUCKETS) -> DataFrame:

@@ -29,17 +29,29 @@ def start_time_peak(starts: DataFrame, points: int = 512) -> DataFrame:
     return top.select(secs.alias("peak_secs"), clock_text(secs).alias("peak_time"), peak_label(secs).alias("label"))
 
 
+def counted_by_country(countries: DataFrame, starts: DataFrame) -> DataFrame:
+    """Each listed country with its starts per second, counted (n) before they meet the countries.
+
+    A country without any stays, with nulls. The countries' side of the join has at most 86,400 rows
+    each, whatever their events.
+    """
+    counts = starts.groupBy("user_country", "secs").agg(F.count("*").alias("n"))
+    return countries.join(counts, "user_country", "left")
+
+
 def starts_by_country(countries: DataFrame, starts: DataFrame) -> DataFrame:
-    """Each listed country with its starts; a country without any stays, with nulls."""
-    return countries.join(starts, "user_country", "left")
+    """Each listed country with its starts, one row per start; a country without any stays, with nulls."""
+    counted = counted_by_country(countries, starts)
+    times = F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(1).cast("long")))
+    return counted.withColumn("_time", F.explode(times)).drop("_time", "n")
 
 
 def country_time_density(countries, starts, exclude: Sequence[str] = (), points: int = 512) -> DataFrame:
     """One curve per region on a common grid, optionally without some countries."""
-    joined = starts_by_country(countries, starts)
+    joined = counted_by_country(countries, starts)
     for country in exclude:
         joined = joined.where(F.col("user_country") != country)
-    return density(joined, "secs", ["region"], shared=True, points=points, min_rows=3)
+    return density(joined, "secs", ["region"], shared=True, points=points, min_rows=3, weight="n")
 
 
 def category_time_density(themed_events: DataFrame, prefix: str = r"Bøger\|", points: int = 512) -> DataFrame:

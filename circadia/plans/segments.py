@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import WEEKDAY_LABELS, day_class, weekday_label
 from ..functions.clock import BAND_NAMES, at, band_ordinal, clock_text, hour_of, round_to_step, time_band
-from ..functions.semantics import fill_null, if_else, mode, not_in
+from ..functions.semantics import fill_null, if_else, not_in
 from ..functions.text import joined_label
 from ..operators import kmeans, kmodes
 from ..operators.grid import columns_starting, pivot_many, pivot_values, to_long
@@ -17,7 +17,7 @@ from ..operators.peaks import customer_centers
 from ..operators.ranking import number_within, quantile_bucket, sorted_rows
 from ..operators.sampling import sample_keys
 from ..operators.scaling import standardise
-from ..operators.stats import histogram, median_and_sd
+from ..operators.stats import histogram, median_and_sd, modal
 from ..session import cut_lineage
 
 KEY = "customer_key"
@@ -131,7 +131,7 @@ def regularity_segments(features: DataFrame, k: int = 4, seed: int = 62) -> Data
 
 def modal_weekdays(events: DataFrame) -> DataFrame:
     """Most frequent weekday name per customer, alphabetical on a tie."""
-    return events.groupBy(KEY).agg(mode(F.col("week_day")).alias("day_mode"))
+    return modal(events, [KEY], "week_day", "day_mode")
 
 
 def peak_table(centers: DataFrame, events: DataFrame, k: int = 3) -> DataFrame:

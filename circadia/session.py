@@ -6,7 +6,6 @@ Iterative operators cut their lineage in the checkpoint folder the session names
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,20 +14,25 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach; a temporary one only in a local-mode session."""
+    """Folder all executors can reach; where none is set, one beside the warehouse in a local-mode session."""
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="circadia-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _remove_at_end(spark, path)
+    return path
+
+
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -37,6 +41,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
+        _remove_at_end(spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 

@@ -14,19 +14,24 @@ HABIT_PEAKS = (
 )
 BAND_SHARES = "afternoon double, early_morning double, midday double, morning double, night double"
 
+# Quotes are doubled; spaces around a value belong to it; an empty text is "", a null is NA.
+_DIALECT = {
+    "nullValue": "NA", "escape": '"', "quote": '"', "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = ",") -> DataFrame:
-    """Comma-separated file(s) with a header; NA and empty fields are null."""
-    return (
-        spark.read.schema(schema)
-        .options(header=True, sep=sep, nullValue="NA", escape='"', multiLine=False)
-        .csv(path)
-    )
+    """Comma-separated file(s) with a header; NA is null, text keeps its line breaks and outer spaces.
+
+    A text that is just NA reads back as null, and a file is one task: the writers make one per partition.
+    """
+    return spark.read.schema(schema).options(header=True, sep=sep, multiLine=True, **_DIALECT).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Comma, decimal point, null as NA; one file per partition."""
-    df.write.mode(mode).options(header=True, nullValue="NA", escape='"').csv(path)
+    df.write.mode(mode).options(header=True, **_DIALECT).csv(path)
 
 
 def write_csv_european(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -36,7 +41,7 @@ def write_csv_european(df: DataFrame, path: str, mode: str = "errorifexists") ->
         decimal_comma(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, fractional) else F.col(f"`{f.name}`")
         for f in df.schema
     ]
-    df.select(*columns).write.mode(mode).options(header=True, sep=";", nullValue="NA", escape='"').csv(path)
+    df.select(*columns).write.mode(mode).options(header=True, sep=";", **_DIALECT).csv(path)
 
 
 def read_csv_european(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -54,7 +54,7 @@ SELECT p_partkey AS product_key, CASE p_partkey%3 WHEN 0 THEN 'Fagbøger' WHEN 1
 FROM part WHERE p_partkey%11 <> 0"""
 
 VIEWS["bucket_reads"] = """
-SELECT o.o_custkey AS customer_key, p.p_type AS title, 'I-' || p.p_type AS isbn13, l.l_linenumber AS bucket_no
+SELECT o.o_custkey AS customer_key, p.p_type AS title, 'I-' || p.p_type || '-' || CAST(p.p_partkey % 3 AS VARCHAR) AS isbn13, CAST((l.l_orderkey + 17 * l.l_linenumber) % 100 + 1 AS INT) AS bucket_no
 FROM lineitem l JOIN orders o ON l.l_orderkey=o.o_orderkey JOIN part p ON p.p_partkey=l.l_partkey WHERE o.o_custkey > 0"""
 
 VIEWS["game_events"] = """
@@ -249,9 +249,8 @@ def oracle(name: str, body: str, *needs: str, extra=()) -> None:
 # ---- sources, projections, filters ---------------------------------------------------------
 
 oracle("src1_warehouse_query", """
-SELECT r.date_key, r.customer_key, t.time_of_day FROM reader_fact r LEFT JOIN time_of_day t USING (time_of_day_key)
-WHERE r.date_key >= 20231217 AND r.customer_key <> -1""", "reader_fact", "time_of_day")
-oracle("src2_event_scan", "SELECT event_name, event_timestamp, user_country FROM game_events WHERE event_name = 'gameStarted'", "game_events")
+SELECT date_key, count(*) AS n_events, count(DISTINCT customer_key) AS n_customers FROM reader_fact WHERE date_key >= 20231217 GROUP BY 1""", "reader_fact")
+oracle("src2_event_scan", "SELECT user_country, event_name, count(*) AS n, max(event_timestamp) AS latest FROM game_events GROUP BY 1, 2", "game_events")
 oracle("src3_snk1_csv_round_trip", "SELECT customer_key, secs, week_day FROM seg", "seg")
 
 _SHARE = f"""
@@ -305,10 +304,10 @@ oracle("clean_durations", "SELECT date, customer_key, product_key, msec FROM cle
 
 oracle("jon1_time_dimension", "SELECT event_id, time_of_day FROM reader_fact LEFT JOIN time_of_day USING (time_of_day_key)", "reader_fact", "time_of_day")
 oracle("jon3_bucket_joins", f"""
-SELECT o.o_custkey AS customer_key, p.p_type AS title, 'I-' || p.p_type AS isbn13, l.l_linenumber AS bucket_no, count(*) AS n
+SELECT o.o_custkey AS customer_key, p.p_type AS title, 'I-' || p.p_type || '-' || CAST(p.p_partkey % 3 AS VARCHAR) AS isbn13, CAST((l.l_orderkey + 17 * l.l_linenumber) % 100 + 1 AS INT) AS bucket_no, count(*) AS n
 FROM lineitem l JOIN orders o ON l.l_orderkey=o.o_orderkey JOIN part p ON p.p_partkey=l.l_partkey
 WHERE o.o_custkey > 0 AND {DK.format('o.o_orderdate')} > 19950226 AND o.o_orderkey % 4 <> 0 AND p.p_size % 2 = 0
-GROUP BY o.o_custkey, l.l_partkey, p.p_type, l.l_linenumber""")
+GROUP BY o.o_custkey, l.l_partkey, p.p_type, p.p_partkey, CAST((l.l_orderkey + 17 * l.l_linenumber) % 100 + 1 AS INT)""")
 oracle("jon4_digital_products", """
 SELECT r.event_id, r.product_key, p.type FROM reader_fact r JOIN product p USING (product_key) WHERE p.type_group = 'Dig'""", "reader_fact", "product")
 oracle("jon6_semi_on_keys", """
@@ -414,14 +413,14 @@ oracle("rsh4_pivot_many", "SELECT customer_key, time_1, wss_1, time_2, wss_2, ti
 oracle("rsh5_unpivot", " UNION ALL ".join(
     f"SELECT customer_key, 'time_{i}' AS name, time_{i} AS value FROM habit_peaks" for i in (1, 2, 3)), "habit_peaks")
 
-_B = range(1, 8)
+_B = range(1, 101)
 oracle("bucket_matrix", "SELECT title, isbn13, customer_key, " + ", ".join(
     f"max(CASE WHEN bucket_no = {b} THEN 1 ELSE 0 END) AS b{b}" for b in _B) + " FROM bucket_reads GROUP BY ALL", "bucket_reads")
 oracle("bucket_gaps", "SELECT title, isbn13, customer_key, " + ", ".join(
     f"max(gap) FILTER (bucket_no = {b} AND occurrence = 1) AS b{b}" for b in _B) + " FROM steps GROUP BY ALL", "steps")
 _RUNS = """
 SELECT i.title, i.isbn13, i.customer_key, r.range AS occurrence, {cells}
-FROM (SELECT title, isbn13, customer_key, max(n) AS longest, {sizes} FROM positions GROUP BY ALL) i, range(1, 1000) r WHERE r.range <= i.longest"""
+FROM (SELECT title, isbn13, customer_key, max(n) AS longest, {sizes} FROM positions GROUP BY ALL) i, range(1, (SELECT max(n) + 1 FROM positions)) r WHERE r.range <= i.longest"""
 oracle("rsh6_bucket_rows", _RUNS.format(
     sizes=", ".join(f"max(n) FILTER (bucket_no = {b}) AS n{b}" for b in _B),
     cells=", ".join(f"CASE WHEN n{b} IS NULL THEN 0 WHEN n{b} = 1 OR r.range <= n{b} THEN 1 END AS b{b}" for b in _B),
@@ -430,7 +429,27 @@ oracle("rsh6_bucket_gap_rows", "SELECT i.title, i.isbn13, i.customer_key, r.rang
     f"CASE WHEN n{b} = 1 THEN g{b}[1] ELSE g{b}[r.range] END AS b{b}" for b in _B
 ) + " FROM (SELECT title, isbn13, customer_key, max(occurrence) AS longest, " + ", ".join(
     f"max(occurrence) FILTER (bucket_no = {b}) AS n{b}, list(gap ORDER BY occurrence) FILTER (bucket_no = {b}) AS g{b}" for b in _B
-) + " FROM steps GROUP BY ALL) i, range(1, 1000) r WHERE r.range <= i.longest", "steps")
+) + " FROM steps GROUP BY ALL) i, range(1, (SELECT max(occurrence) + 1 FROM steps)) r WHERE r.range <= i.longest", "steps")
+
+# ---- samples: order and place by the checksum of seed and key -------------------------------
+
+
+def checksum(key: str) -> str:
+    return f"md5('62|' || coalesce(CAST({key} AS VARCHAR), 'NA'))"
+
+
+def position(key: str) -> str:
+    return f"CAST(CAST('0x' || substr({checksum(key)}, 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656"
+
+
+oracle("smp1_sample_keys", f"SELECT customer_key FROM (SELECT DISTINCT customer_key FROM reader_fact) ORDER BY {checksum('customer_key')}, 1 LIMIT 30", "reader_fact")
+oracle("smp2_sample_fraction", f"SELECT event_id, customer_key FROM reader_fact WHERE {position('event_id')} < 0.3", "reader_fact")
+oracle("smp3_split", f"SELECT event_id, CASE WHEN {position('event_id')} < 0.75 THEN 'train' ELSE 'rest' END AS part FROM reader_fact", "reader_fact")
+oracle("sample_events", f"""
+SELECT date_key, customer_key, weekday, secs, hour FROM (
+  SELECT DISTINCT t.date_key, t.customer_key, r.time_of_day_key, t.weekday, t.secs, t.hour FROM timed t JOIN reader_fact r USING (event_id)
+  WHERE t.date_key >= 20231217 AND t.customer_key IN (
+    SELECT customer_key FROM (SELECT DISTINCT customer_key FROM cust) ORDER BY {checksum('customer_key')}, 1 LIMIT 100))""", "reader_fact", "timed", "cust")
 
 # ---- functions -----------------------------------------------------------------------------
 
@@ -686,6 +705,9 @@ oracle("habit_type_of_events", "SELECT customer_key, weekday, time_type FROM ("
 # ---- habits, preferences, profiles ---------------------------------------------------------
 
 oracle("habit_type", "SELECT * FROM habits", "habits")
+_CHOSEN = f"(SELECT customer_key FROM habits ORDER BY {checksum('customer_key')}, 1 LIMIT 30)"
+oracle("peak_points_long", " UNION ALL ".join(
+    f"SELECT customer_key, 'time_{i}' AS name, time_{i} AS value FROM habits WHERE customer_key IN {_CHOSEN}" for i in (1, 2, 3)), "habits")
 oracle("content_counts", "SELECT customer_key, type, genre_level1, n FROM content", "content")
 oracle("format_preference", "SELECT customer_key, round(lyd_ratio,6) AS lyd_ratio, format FROM formats", "formats")
 oracle("genre_preference", "SELECT customer_key, round(fiction_ratio,6) AS fiction_ratio, litt_pref FROM genres", "genres")
@@ -730,7 +752,7 @@ _SAME = " AND ".join(f"p.{c} IS NOT DISTINCT FROM f.{c}" for c in _PROFILE)
 oracle("profile_segments", f"SELECT p.*, f.cluster, f.segment FROM profile p JOIN final f ON {_SAME}", "profile", extra=_modes(3))
 
 # One row per number of modes: the mean over clusters of the summed distances.
-_ELBOW = 5
+_ELBOW = 15
 _parts, _extra = [], []
 for _k in range(1, _ELBOW + 1):
     _steps = _modes(_k)
@@ -739,4 +761,5 @@ for _k in range(1, _ELBOW + 1):
             _text = _text.replace(f" {_table}", f" e{_k}_{_table}")
         _extra.append((_n if _n == "counted" else f"e{_k}_{_n}", _text))
     _parts.append(f"SELECT {_k} AS modes, round(sum(d * n) / {_k}.0, 6) AS mean_within FROM e{_k}_final")
-oracle("ml9_modes_elbow", " UNION ALL ".join(_parts), "profile", extra=_extra)
+for _name in ("ml9_modes_elbow", "ml9_modes_elbow_long"):
+    oracle(_name, " UNION ALL ".join(_parts), "profile", extra=_extra)

@@ -94,7 +94,7 @@ def given_centroids(v: Views) -> DataFrame:
     return bands(v).groupBy(group).agg(*[F.avg(b).alias(b) for b in clock.BAND_NAMES])
 
 
-BUCKETS = range(1, 8)
+BUCKETS = completion.BUCKETS
 CUSTOMERS = [1, 2, 3, 5, 8, 13, 21]
 DAY = 86400
 
@@ -111,11 +111,9 @@ def per_day(curves: DataFrame) -> DataFrame:
 def src1_warehouse_query(v):
     return warehouse.query(
         v.spark,
-        """SELECT r.date_key, r.customer_key, t.time_of_day
-           FROM {reader} r LEFT JOIN {clock} t ON t.time_of_day_key = r.time_of_day_key
-           WHERE r.date_key >= 20231217 AND r.customer_key <> -1""",
-        reader=v.reader_fact(),
-        clock=v.time_of_day(),
+        """SELECT date_key, count(*) AS n_events, count(DISTINCT customer_key) AS n_customers
+           FROM {facts} WHERE date_key >= 20231217 GROUP BY date_key""",
+        facts=v.reader_fact(),
     )
 
 
@@ -123,8 +121,8 @@ def src1_warehouse_query(v):
 def src2_event_scan(v):
     return warehouse.query(
         v.spark,
-        "SELECT event_name, event_timestamp, user_country FROM {events} WHERE event_name = 'gameStarted'",
-        events=v.game_events(),
+        "SELECT user_country, event_name, count(*) AS n, max(event_timestamp) AS latest FROM {log} GROUP BY ALL",
+        log=v.game_events(),
     )
 
 
@@ -396,8 +394,8 @@ def agg10_min_max(v):
 @query
 def agg11_mode(v):
     e = customer_events(v)
-    own = e.groupBy("customer_key").agg(sem.mode(F.col("weekday")).alias("mode_weekday"))
-    return own.withColumn("overall_mode", e.agg(sem.mode(F.col("weekday"))).scalar())
+    own = stats.modal(e, ["customer_key"], "weekday", "mode_weekday")
+    return own.withColumn("overall_mode", stats.modal(e, [], "weekday").scalar())
 
 
 @query
@@ -418,8 +416,9 @@ def agg16_first_row_per_key(v):
 
 @query
 def agg17_row_and_group_counts(v):
-    joined = densities.starts_by_country(v.countries(), starts(v))
-    return joined.agg(F.count("*").alias("n_rows"), F.count_distinct("region").alias("n_regions"))
+    joined = densities.counted_by_country(v.countries(), starts(v))
+    rows = F.sum(F.coalesce("n", F.lit(1).cast("long")))
+    return joined.agg(rows.alias("n_rows"), F.count_distinct("region").alias("n_regions"))
 
 
 # ---- windows, order, samples ---------------------------------------------------------------
@@ -721,7 +720,7 @@ def ml7_spread_per_cluster(v):
 
 @query
 def ml9_modes_elbow(v):
-    return segments.profile_elbow(profiles(v), k_max=5)
+    return segments.profile_elbow(profiles(v))
 
 
 @query
@@ -976,7 +975,7 @@ def regularity_segments(v):
 
 @query
 def hour_segments(v):
-    return segments.hour_segments(hours(v), k_max=5)
+    return segments.hour_segments(hours(v))
 
 
 @query
@@ -986,7 +985,17 @@ def band_segments(v):
 
 @query
 def elbow_curve(v):
-    return segments.elbow_curve(bands(v), clock.BAND_NAMES, k_max=10)
+    return segments.elbow_curve(bands(v), clock.BAND_NAMES)
+
+
+@query
+def elbow_curve_hours(v):
+    return segments.elbow_curve(hours(v), segments.HOUR_COLUMNS)
+
+
+@query
+def elbow_curve_regularity(v):
+    return segments.elbow_curve(segments.regularity_features(customer_events(v)), ["median_scaled", "sd_scaled"])
 
 
 @query

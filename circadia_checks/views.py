@@ -100,7 +100,8 @@ class Views:
         return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.col("o_custkey").alias("customer_key"),
             F.col("l_partkey").alias("product_key"),
-            F.col("l_linenumber").alias("read_bucket_key"),
+            # spread over all 100 buckets
+            ((F.col("l_orderkey") + 17 * F.col("l_linenumber")) % 100 + 1).cast("int").alias("read_bucket_key"),
             (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).cast("int").alias("date_key"),
             F.when(F.col("o_orderkey") % 4 == 0, 0).otherwise(1).alias("premium_key"),
         )
@@ -113,7 +114,8 @@ class Views:
         return self.table("part").select(
             F.col("p_partkey").alias("product_key"),
             F.col("p_type").alias("title"),
-            F.concat(F.lit("I-"), "p_type").alias("isbn13"),
+            # three isbn per title
+            F.concat(F.lit("I-"), "p_type", F.lit("-"), (F.col("p_partkey") % 3).cast("string")).alias("isbn13"),
             F.when(F.col("p_size") % 2 == 0, "E-bøger").otherwise("Lydbøger").alias("type"),
         )
 

@@ -22,15 +22,39 @@ def test_exact_median_equals_the_built_in_one(skewed):
     assert ours == theirs
 
 
-def test_exact_median_with_a_coarse_sketch_still_exact(skewed):
-    ours = {r["k"]: r["median"] for r in stats.exact_median(skewed, ["k"], "v", accuracy=50).collect()}
-    theirs = {r["k"]: r["m"] for r in skewed.groupBy("k").agg(F.median("v").alias("m")).collect()}
-    assert ours == theirs
+def test_exact_median_of_null_groups_and_values(spark, rows):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), (1, None), (2, 4.0), (2, None), (3, float("nan")), (3, 1.0), (3, float("nan"))], "k int, v double")
+    ours = {r["k"]: r["median"] for r in stats.exact_median(df, ["k"], "v").collect()}
+    assert ours.pop(3) != 0 and ours == {None: 1.5, 1: None, 2: 4.0}
 
 
-def test_exact_median_of_null_groups_and_values(spark, rows):
-    df = spark.createDataFrame([(None, 1.0), (None, 2.0), (1, None), (2, 4.0)], "k int, v double")
-    assert rows(stats.exact_median(df, ["k"], "v")) == [(None, 1.5), (2, 4.0)]
+@pytest.mark.parametrize("value", ["cast(id / 7 as decimal(38, 18))", "(1L << 60) + id * 3", "cast(id as float) / 3", "cast(id % 5 as byte)"])
+def test_exact_median_of_any_type(spark, value):
+    df = spark.range(301).selectExpr("cast(id % 3 as int) as k", f"{value} as v")
+    ours = {r["k"]: r["median"] for r in stats.exact_median(df, ["k"], "v").collect()}
+    theirs = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("v").cast("double").alias("m")).collect()}
+    assert ours == pytest.approx(theirs, rel=1e-15)
+
+
+def test_median_shuffles_no_row_on_the_group_key_alone(skewed):
+    plan = stats.exact_median(skewed, ["k"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Scan ExistingRDD" in plan  # starts from the ranged, counted rows
+
+
+def test_modal_value_is_the_smallest_of_the_most_frequent(spark, rows):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (1, None), (2, None), (3, "x"), (3, "y"), (3, "y")], "k int, v string")
+    assert rows(stats.modal(df, ["k"], "v")) == [(1, "a"), (2, None), (3, "y")]
+
+
+def test_values_outside_a_pivot_list_raise(spark):
+    df = spark.createDataFrame([(1, 1), (1, 8)], "k int, b int")
+    with pytest.raises(Exception, match="outside its list"):
+        grid.pivot_presence(df, ["k"], "b", range(1, 8)).collect()
+
+
+def test_densities_want_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        density.density(spark.createDataFrame([(1.5,)], "s double"), "s")
 
 
 def test_row_numbers_are_a_permutation_in_order(skewed):
@@ -90,7 +114,9 @@ def test_gap_flags_by_hand(spark, rows):
     assert rows(completion.bucket_gaps(reads, [1, 2, 3, 4]), "`1`", "`2`", "`3`", "`4`") == [(None, "1", None, "gap")]
     wide = rows(completion.bucket_gap_rows(reads, [1, 2, 3, 4]), "occurrence", "`1`", "`2`", "`4`")
     assert wide == [(1, None, "1", "gap"), (2, None, "gap", "gap")]
-    assert rows(completion.bucket_matrix(reads, [1, 2, 3]), "`1`", "`2`", "`3`") == [(1, 1, 0)]
+    assert rows(completion.bucket_matrix(reads, [1, 2, 3, 4]), "`1`", "`2`", "`3`", "`4`") == [(1, 1, 0, 1)]
+    with pytest.raises(Exception, match="outside its list"):
+        completion.bucket_matrix(reads, [1, 2, 3]).collect()
 
 
 def test_gap_order_is_by_title_across_isbn(spark, rows):

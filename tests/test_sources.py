@@ -18,6 +18,19 @@ def test_csv_round_trip_with_nulls_commas_and_quotes(spark, tmp_path, rows):
     assert rows(delimited.read_csv(spark, str(tmp_path / "x"), df.schema)) == rows(df)
 
 
+@pytest.mark.parametrize("european", [False, True])
+def test_text_survives(spark, tmp_path, rows, european):
+    texts = ["a\nb", "a\r\nb", " lead", "trail ", " ", "", None, 'q"uo"te', '"', ",", ";", "1,5", "\\", "\\n", "ø", "\t", "x\\"]
+    df = spark.createDataFrame([(i, t, i + 0.25) for i, t in enumerate(texts)], "k int, s string, d double")
+    path = str(tmp_path / "t")
+    if european:
+        delimited.write_csv_european(df, path)
+        assert rows(delimited.read_csv_european(spark, path, "k int, s string, d double")) == rows(df)
+    else:
+        delimited.write_csv(df, path)
+        assert rows(delimited.read_csv(spark, path, df.schema)) == rows(df)
+
+
 def test_european_file_has_semicolons_and_decimal_commas(spark, tmp_path, rows):
     df = spark.createDataFrame([("Mandag", 1, 2.5), ("Søndag", 2, None)], "day string, n int, share double")
     path = tmp_path / "eu"
