@@ -204,7 +204,10 @@ def read_file(path: str) -> bytes:
 
 
 def as_uri(path: str) -> str:
-    return path if "://" in path else f"file://{path}"
+    """The address in the form that file systems are found by: a plain path or ``file:/...`` is local."""
+    if "://" in path:
+        return path
+    return "file://" + path.removeprefix("file:")
 
 
 def make_folder(path: str) -> None:
