@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontam, jaccard, lines, lm, packing, quality, repeats, urls, warc, wavelet
-from .storage import read_documents
+from .storage import read_documents, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -16,8 +17,13 @@ ORACLES: dict[str, str] = {}
 
 
 def query(run: Query) -> Query:
-    QUERIES[run.__name__] = run
-    return run
+    @wraps(run)
+    def shipped(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return run(spark, folder)
+
+    QUERIES[run.__name__] = shipped
+    return shipped
 
 
 @query

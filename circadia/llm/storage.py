@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from circadia.session import scratch_path
 
-__all__ = ["deal", "held", "read_documents", "scratch_path", "width"]
+__all__ = ["held", "picked", "read_documents", "scratch_path", "ship", "width"]
+
+_ROOT = Path(__file__).resolve().parents[2]
 
 
 def held(df: DataFrame, label: str) -> DataFrame:
@@ -22,9 +29,20 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def deal(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` for Python work that is heavy per byte, into the session's number of partitions."""
-    return df.repartition(width(df.sparkSession), *keys)
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per session, unless their Python finds it anyway."""
+    context = spark.sparkContext
+    system = context._jvm.System
+    known = (system.getenv("PYTHONPATH") or "").split(os.pathsep) + [system.getProperty("user.dir")]
+    if str(_ROOT) in known or getattr(context, "_circadia_sent", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="circadia-code-"), "circadia_code.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        out.writestr("circadia/__init__.py", "")  # packages without this file are not found in archives
+        for file in sorted((_ROOT / "circadia").rglob("*.py")):
+            out.write(file, file.relative_to(_ROOT))
+    context.addPyFile(path)
+    context._circadia_sent = True
 
 
 def read_documents(spark: SparkSession, folder: str, table: str = "documents") -> DataFrame:

@@ -10,31 +10,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from circadia.llm import decontam, jaccard, lines, packing, quality
-from circadia.llm.storage import held, read_documents
+from circadia.llm.storage import held, read_documents, ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie far outside their language and source go."""
+    ship(spark)
     return quality.filtered(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later lines that equal an earlier one but for two edits go, in this document or another."""
+    ship(spark)
     return lines.filtered(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked shingle sets stays."""
+    ship(spark)
     return jaccard.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    ship(spark)
     return decontam.clean(docs, read_documents(spark, sf_dir, "benchmark"))
 
 
 def packing_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of what is left with its place in a sequence."""
+    ship(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
