@@ -14,9 +14,13 @@ is left with too few usable segments is found another way: its band's sets also
 smallest-hashed fifth of their shingles, of which linked sets share one, and those signatures count
 where such a weak set has them. So no link is lost and none is judged by a sketch.
 
-Sets that share a signature are candidates. They are not paired: candidates are gathered into clusters,
-and a cluster's sets meet in blocks of bounded size, where all overlaps are counted through an inverted
-index. Only what connects the verified links leaves a task.
+A signature that no other set has matches nothing. A set therefore needs to ask with its other
+signatures only as far as those that it has alone do not already count more than H, and it asks with
+the rarest of them: a set that shares some common passage and is otherwise its own asks nothing.
+
+Sets that meet where one of them asks are candidates. They are not paired: candidates are gathered into
+clusters, and a cluster's sets meet in blocks of bounded size, where all overlaps are counted through an
+inverted index. Only what connects the verified links leaves a task.
 
 Sets hold 64-bit hashes of shingles. Equal sets (128 bits of hash and the size) are one set throughout.
 
@@ -38,12 +42,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .blocks import in_blocks
 from .components import components, local_roots
+from .filters import bit_filter, in_filter
 from .storage import held, picked, width
-from .text import binary_column, each, mixed, slices, words
+from .text import binary_column, each, mixed, ranges, slices, words
 
 WINDOW = 5
 #: Shingles in a block of a cluster; a larger cluster is split, each pair of its blocks being a task.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 2 << 20
 _LEAST = 4  # smaller sets link to equal ones only
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,7 +121,8 @@ def allocation(low: int, high: int) -> tuple[int, int]:
     """(segments, how many of them with one-deletion neighbourhoods) of a band, by expected signatures.
 
     A set of n shingles puts Poisson(n / segments) into a segment. Usable segments must exceed the
-    differences by three standard deviations at both ends of the band and of what probes it from above.
+    differences by three standard deviations at both ends of the band and of what probes it from above,
+    and by a few more (``h // 16 + 2``), so that sets with a few shared signatures need not ask.
     """
     ends = [(n, int(differences(n, high))) for n in (low, high, high * 5 // 4)]
     top = max(h for _, h in ends)
@@ -130,7 +136,7 @@ def allocation(low: int, high: int) -> tuple[int, int]:
                 full, two = 1 - math.exp(-x), 1 - math.exp(-x) * (1 + x)
                 units = (m - d) * full + 2 * d * two
                 spread = math.sqrt((m - d) * full * (1 - full) + 4 * d * two * (1 - two))
-                fits &= units - 3 * spread >= h + 1
+                fits &= units - 3 * spread >= h + 1 + (h // 16 + 2 if top >= 16 else 0)
             cost = (m - d) + d * (1 + (low + high) / 2 / m)
             if fits and (best is None or cost < best[0]):
                 best = cost, m, d
@@ -152,37 +158,27 @@ class BandSets:
         self.sizes = np.bincount(self.cell, minlength=len(size) * self.m).reshape(len(size), self.m)
         plain, gapped = self.sizes[:, : self.m - self.d] > 0, self.sizes[:, self.m - self.d :] > 1
         self.need = differences(size, self.high) + 1
-        self.weak = plain.sum(1) + 2 * gapped.sum(1) < self.need
-
-    def signatures(self, probing: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Segment signatures and the sets they are of; the lowest bit is 0.
+        self.spare = plain.sum(1) + 2 * gapped.sum(1) - self.need
+        self.weak = self.spare < 0
 
-        A set of the band indexes all segments; one that probes it from above uses as many as it needs,
-        the fullest of the plain ones first.
-        """
+    def signatures(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segment signatures (lowest bit 0), the sets they are of, and whether of a one-deletion segment."""
         m, d, sets = self.m, self.d, len(self.size)
         use = self.sizes > 0
-        if probing:
-            order = np.argsort(-self.sizes[:, : m - d], axis=1, kind="stable")
-            place = np.empty_like(order)
-            np.put_along_axis(place, order, np.broadcast_to(np.arange(m - d), order.shape).copy(), 1)
-            use[:, : m - d] &= place < self.need[:, None]
-            rest = np.maximum(0, self.need - use[:, : m - d].sum(1))
-            use[:, m - d :] = self.sizes[:, m - d :] > 1
-            use[:, m - d :] &= np.cumsum(use[:, m - d :], 1) <= (-(-rest // 2))[:, None]
         with np.errstate(over="ignore"):
             shown = mixed(self.values ^ np.uint64(77))
             sums = np.zeros(sets * m, np.uint64)
             np.add.at(sums, self.cell, shown)
             salt = mixed(np.arange(m).astype(np.uint64) + np.uint64(self.band * 1_000_003 + 7))
             row, part = np.nonzero(use)
-            out, owner = [mixed(mixed(sums[row * m + part]) ^ salt[part])], [row]
+            out, owner, gapped = [mixed(mixed(sums[row * m + part]) ^ salt[part])], [row], [part >= m - d]
             if d:
                 part = self.cell - self.owner * m
                 deep = (part >= m - d) & use.ravel()[self.cell] & (self.sizes.ravel()[self.cell] > 1)
                 out.append(mixed(mixed(sums[self.cell[deep]] - shown[deep]) ^ salt[part[deep]]))
                 owner.append(self.owner[deep])
-        return np.concatenate(out) & ~np.uint64(1), np.concatenate(owner)
+                gapped.append(np.ones(int(deep.sum()), bool))
+        return np.concatenate(out) & ~np.uint64(1), np.concatenate(owner), np.concatenate(gapped)
 
     def prefixes(self) -> tuple[np.ndarray, np.ndarray]:
         """The smallest-hashed shingles, of which two linked sets share one; the lowest bit is 1."""
@@ -212,7 +208,7 @@ def banded(values: np.ndarray, starts: np.ndarray) -> Iterator[tuple[BandSets, n
 
 # ---- the join ------------------------------------------------------------------------------------
 
-NARROW = "doc_id long, text_key binary, n_shingles long, k1 long, k2 long, weak array<int>"
+NARROW = "doc_id long, text_key binary, n_shingles long, k1 long, k2 long, spare_own int, spare_below int, weak array<int>"
 
 
 def _identity(docs: DataFrame) -> DataFrame:
@@ -224,20 +220,23 @@ def _identity(docs: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Size and 128-bit key of every document's set, and the bands in which the set is weak."""
+    """Size and 128-bit key of every document's set, how many usable segments it can spare in its own band
+    and the one below, and the bands in which it is weak."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             values, starts = shingle_sets(part.column(1))
             one, two = keys(values, starts)
             weak: list[list[int]] = [[] for _ in range(part.num_rows)]
-            for sets, rows, _ in banded(values, starts):
+            spare = np.zeros((2, part.num_rows), np.int32)
+            for sets, rows, own in banded(values, starts):
+                spare[0 if own else 1, rows] = sets.spare
                 for row in rows[sets.weak]:
                     weak[row].append(sets.band)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(np.diff(starts)), pa.array(one), pa.array(two),
-                 pa.array(weak, pa.list_(pa.int32()))],
-                names=["doc_id", "text_key", "n_shingles", "k1", "k2", "weak"],
+                 pa.array(spare[0]), pa.array(spare[1]), pa.array(weak, pa.list_(pa.int32()))],
+                names=["doc_id", "text_key", "n_shingles", "k1", "k2", "spare_own", "spare_below", "weak"],
             )
 
     return _identity(docs).mapInArrow(describe, NARROW)
@@ -250,8 +249,49 @@ def one_per_partition(spark: SparkSession, parts: int) -> np.ndarray:
     return np.array(sorted(r["n"] for r in found), np.int32)
 
 
+#: What is known of a signature: of a weak set's prefix, asking in the band below, of a one-deletion segment.
+MARK, BELOW, GAPPED = 1, 2, 4
+ENTRIES = "bucket int, kind string, ids binary, sigs binary, counts binary, flags binary"
+_NAMES = ["bucket", "kind", "ids", "sigs", "counts", "flags"]
+
+
+def _entry_rows(numbers: np.ndarray, bucket: np.ndarray, kind: str, ids, sigs, counts, flags) -> pa.RecordBatch:
+    """Entries as one row per bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    line = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(line, len(order))
+    columns = [binary_column(c[order], ends * c.dtype.itemsize) for c in (ids, sigs, counts, flags)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(numbers[bucket[line]], pa.int32()), pa.array([kind] * len(line)), *columns], names=_NAMES
+    )
+
+
+def _entries(batches: Iterator[pa.RecordBatch], kind: str, others: list | None = None):
+    """The entries of this kind, put together; rows of other kinds go to ``others``."""
+    kinds = (np.int64, np.uint64, np.uint32, np.uint8)
+    parts: list[list[np.ndarray]] = [[np.empty(0, k)] for k in kinds]
+    for batch in batches:
+        rows = [batch.column(i).to_pylist() for i in range(1, 6)]
+        for is_kind, *raw in zip(*rows):
+            if is_kind == kind:
+                for out, x, k in zip(parts, raw, kinds):
+                    out.append(np.frombuffer(x, k))
+            else:
+                others.append(raw)
+    return [np.concatenate(p) for p in parts]
+
+
+def _by_signature(sig: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    return ((sig >> np.uint64(32)) % np.uint64(len(numbers))).astype(np.int64)
+
+
+def _by_set(ids: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    return (mixed(ids.view(np.uint64)) % np.uint64(len(numbers))).astype(np.int64)
+
+
 def _packed_signatures(docs: DataFrame, weak_bands: frozenset[int], numbers: np.ndarray) -> DataFrame:
-    """Signatures by bucket, packed: per slice and bucket the sets' ids, how many signatures each has, and these.
+    """Signatures by bucket, packed: runs of a set and flags (``ids``, ``counts``, ``flags``) with their ``sigs``.
 
     A set that a task has already written is not written again, so copies cost little.
     """
@@ -268,77 +308,139 @@ def _packed_signatures(docs: DataFrame, weak_bands: frozenset[int], numbers: np.
                 written.add(name)
             if len(written) > 1 << 20:
                 written.clear()
-            sigs, owners = [], []
+            sigs, owners, flags = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
             for sets, rows, own in banded(values, starts):
-                found, owner = sets.signatures(probing=not own)
+                found, owner, gapped = sets.signatures()
                 sigs.append(found)
                 owners.append(rows[owner])
+                flags.append((GAPPED * gapped + (0 if own else BELOW)).astype(np.uint8))
                 if sets.band in weak_bands:
                     found, owner = sets.prefixes()
                     useful = np.ones(len(owner), bool) if own else sets.weak[owner]
                     sigs.append(found[useful])
                     owners.append(rows[owner[useful]])
-                    # a weak set's prefixes once more, without a set: their groups count
-                    marks = found[sets.weak[owner]]
-                    sigs.append(marks)
-                    owners.append(np.full(len(marks), -1))
-            if not sigs:
+                    flags.append((MARK * sets.weak[owner[useful]]).astype(np.uint8))
+            sig, owner, flag = np.concatenate(sigs), np.concatenate(owners), np.concatenate(flags)
+            keep = fresh[owner]
+            sig, owner, flag = sig[keep], owner[keep], flag[keep]
+            if not len(sig):
                 continue
-            sig, owner = np.concatenate(sigs), np.concatenate(owners)
-            keep = (owner < 0) | fresh[owner]
-            sig, owner = sig[keep], owner[keep]
-            bucket = ((sig >> np.uint64(32)) % np.uint64(len(numbers))).astype(np.int64)
-            order = np.lexsort((owner, bucket))
-            sig, owner, bucket = sig[order], owner[order], bucket[order]
-            run = np.flatnonzero(np.diff(bucket, prepend=-1) | np.diff(owner, prepend=-2)) if len(sig) else np.empty(0, int)
+            bucket = _by_signature(sig, numbers)
+            run_of = owner * 8 + flag
+            order = np.lexsort((run_of, bucket))
+            sig, owner, flag, bucket, run_of = (x[order] for x in (sig, owner, flag, bucket, run_of))
+            run = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(run_of, prepend=-1) != 0))
             count = np.diff(np.append(run, len(sig))).astype(np.uint32)
-            ids = np.where(owner[run] >= 0, one[owner[run]], 0)
-            mark = owner[run] < 0
             line = np.flatnonzero(np.diff(bucket[run], prepend=-1))
             ends = np.append(line, len(run))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(numbers[bucket[run][line]], pa.int32()),
-                    binary_column(ids, ends * 8),
-                    binary_column(count, ends * 4),
-                    binary_column(mark.astype(np.uint8), ends),
-                    binary_column(sig, np.append(run, len(sig))[ends] * 8),
-                ],
-                names=["bucket", "ids", "counts", "marks", "sigs"],
+                [pa.array(numbers[bucket[run][line]], pa.int32()), pa.array(["signed"] * len(line)),
+                 binary_column(one[owner[run]], ends * 8), binary_column(sig, np.append(run, len(sig))[ends] * 8),
+                 binary_column(count, ends * 4), binary_column(flag[run], ends)],
+                names=_NAMES,
             )
 
-    return picked(docs, text="text").mapInArrow(
-        sign, "bucket int, ids binary, counts binary, marks binary, sigs binary"
-    )
+    return picked(docs, text="text").mapInArrow(sign, ENTRIES)
+
+
+def _grouped(sig: np.ndarray) -> np.ndarray:
+    """Number of the run of equal signatures, which are in order."""
+    new = np.ones(len(sig), bool)
+    new[1:] = sig[1:] != sig[:-1]
+    return np.cumsum(new) - 1
+
+
+def _shared(numbers: np.ndarray):
+    """Of a task's signatures those that several sets have, with how many, dealt to their sets.
+
+    Prefixes count only where a weak set has them, too.
+    """
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sig, count, flag = _entries(batches, "signed")
+        if not len(sig):
+            return
+        ids, flag = np.repeat(ids, count), np.repeat(flag, count)
+        order = np.lexsort((flag, ids, sig))
+        ids, sig, flag = ids[order], sig[order], flag[order]
+        first = np.ones(len(sig), bool)
+        first[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
+        ids, sig, flag = ids[first], sig[first], flag[first]  # once per set, in its own band if there
+        group = _grouped(sig)
+        sets = np.bincount(group)
+        marked = np.zeros(len(sets), bool)
+        marked[group[(flag & MARK) > 0]] = True
+        keep = (sets[group] > 1) & (((sig & np.uint64(1)) == 0) | marked[group])
+        ids, sig, flag, times = ids[keep], sig[keep], flag[keep], sets[group[keep]].astype(np.uint32)
+        if len(sig):
+            yield _entry_rows(numbers, _by_set(ids, numbers), "shared", ids, sig, times, flag)
+
+    return shared
+
+
+def _spare_rows(classes: DataFrame, numbers: np.ndarray) -> DataFrame:
+    """What each set can spare, in the form of entries."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, own, below = (batch.column(i).to_numpy() for i in range(3))
+                yield _entry_rows(numbers, _by_set(ids, numbers), "spare", ids, own.astype(np.int64).view(np.uint64),
+                                  below.astype(np.int32).view(np.uint32), np.zeros(len(ids), np.uint8))
+
+    return classes.select("k1", "spare_own", "spare_below").mapInArrow(pack, ENTRIES)
+
+
+def _asking(numbers: np.ndarray):
+    """Of each set's shared signatures those it asks with, and those it only answers with, dealt by signature.
+
+    A set can spare segments up to a number: it skips its most frequent signatures up to that.
+    """
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others: list = []
+        ids, sig, times, flag = _entries(batches, "shared", others)
+        if not len(sig):
+            return
+        known = np.concatenate([np.frombuffer(o[0], np.int64) for o in others])
+        own = np.concatenate([np.frombuffer(o[1], np.uint64) for o in others]).view(np.int64)
+        below = np.concatenate([np.frombuffer(o[2], np.uint32) for o in others]).view(np.int32)
+        order = np.lexsort((np.minimum(own, below), known))  # of sets with one id the one that spares least
+        known, own, below = known[order], own[order], below[order]
+        new = np.append(True, known[1:] != known[:-1])
+        first = np.flatnonzero(new)
+        own, below, known = np.minimum.reduceat(own, first), np.minimum.reduceat(below, first), known[first]
+        prefix = (sig & np.uint64(1)) == 1
+        is_below = (flag & BELOW) > 0
+        weight = np.where(prefix, 0, np.where((flag & GAPPED) > 0, 2, 1))
+        order = np.lexsort((sig, -times.astype(np.int64), is_below, ids))
+        ids, sig, prefix, is_below, weight = ids[order], sig[order], prefix[order], is_below[order], weight[order]
+        at = np.searchsorted(known, ids)
+        spare = np.where(is_below, below[at], own[at])
+        group = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (is_below[1:] != is_below[:-1])))
+        running = np.cumsum(weight)
+        start = np.repeat(running[group] - weight[group], np.diff(np.append(group, len(ids))))
+        asks = prefix | (running - start > spare)
+        keep = asks | ~is_below
+        ids, sig, asks = ids[keep], sig[keep], asks[keep].astype(np.uint8)
+        if len(sig):
+            yield _entry_rows(numbers, _by_signature(sig, numbers), "asking", ids, sig, np.zeros(len(sig), np.uint32), asks)
+
+    return choose
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Within each task's buckets: every candidate set with the smallest set it hangs together with."""
-    ids, marks, sigs = [], [], []
-    for batch in batches:
-        for i in range(1, 5):
-            assert batch.column(i).null_count == 0
-        count = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32)
-        ids.append(np.repeat(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64), count))
-        marks.append(np.repeat(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8), count))
-        sigs.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64))
-    if not sigs:
+    ids, sig, _, asks = _entries(batches, "asking")
+    if not len(sig):
         return
-    one, mark, sig = np.concatenate(ids), np.concatenate(marks).astype(bool), np.concatenate(sigs)
-    del ids, marks, sigs
-    order = np.argsort(sig, kind="stable")
-    one, mark, sig = one[order], mark[order], sig[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    group = np.cumsum(new) - 1
-    # prefixes count only in groups with a mark
-    counts = (sig & np.uint64(1)) == 0
-    marked = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
-    marked[group[mark]] = True
-    keep = (counts | marked[group]) & ~mark
-    one, group = one[keep], group[keep]
-    near = np.flatnonzero((group[1:] == group[:-1]) & (one[1:] != one[:-1])) if len(one) else np.empty(0, int)
-    distinct, at = np.unique(np.concatenate([one[near], one[near + 1]]), return_inverse=True)
+    order = np.lexsort((ids, sig))
+    ids, sig, asks = ids[order], sig[order], asks[order]
+    group = _grouped(sig)
+    keep = (np.bincount(group, asks) > 0)[group]
+    ids, group = ids[keep], group[keep]
+    near = np.flatnonzero((group[1:] == group[:-1]) & (ids[1:] != ids[:-1])) if len(ids) else np.empty(0, int)
+    distinct, at = np.unique(np.concatenate([ids[near], ids[near + 1]]), return_inverse=True)
     root = local_roots(len(distinct), at[: len(near)], at[len(near) :])
     other = np.flatnonzero(root != np.arange(len(distinct)))
     yield pa.RecordBatch.from_arrays([pa.array(distinct[other]), pa.array(distinct[root[other]])], names=["a", "b"])
@@ -397,24 +499,36 @@ def _verify(table: pa.Table) -> pa.Table:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The shingles of one document for each wanted set (doc_id, k1, k2, ...)."""
-    wanted = wanted.withColumnsRenamed({"doc_id": "_wanted", "k1": "_k1", "k2": "_k2"})
-    texts = picked(docs, doc_id="doc_id", text="text").join(
-        wanted.select("_wanted").distinct(), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi"
-    )
+    """``wanted`` (k1, k2, ...) with the shingles of each set, taken from a document that has it.
+
+    A bitmap of the wanted keys spares the other documents' sets the shuffle; a task writes a set once.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "k1"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written: set[bytes] = set()
         for part in slices(batches, "text"):
-            values, starts = shingle_sets(part.column(1))
+            values, starts = shingle_sets(part.column(0))
             one, two = keys(values, starts)
+            rows = np.flatnonzero(in_filter(sent.value, one) & (np.diff(starts) > 0))
+            names = [one[r].tobytes() + two[r].tobytes() for r in rows]
+            fresh = []
+            for r, name in zip(rows.tolist(), names):
+                if name not in written:
+                    written.add(name)
+                    fresh.append(r)
+            if len(written) > 1 << 20:
+                written.clear()
+            rows = np.array(fresh, np.int64)
+            size = np.diff(starts)[rows]
+            taken = values[ranges(starts[:-1][rows], size)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), pa.array(one), pa.array(two), binary_column(values, starts * 8)],
-                names=["doc_id", "k1", "k2", "shingles"],
+                [pa.array(one[rows]), pa.array(two[rows]), binary_column(taken, np.concatenate([[0], np.cumsum(size)]) * 8)],
+                names=["k1", "k2", "shingles"],
             )
 
-    made = texts.mapInArrow(sets, "doc_id long, k1 long, k2 long, shingles binary")
-    again = (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_wanted"))
-    return made.join(wanted, again).drop("_k1", "_k2", "_wanted")
+    made = picked(docs, text="text").mapInArrow(sets, "k1 long, k2 long, shingles binary")
+    return wanted.join(made, ["k1", "k2"])
 
 
 def _labelled(docs: DataFrame, block: int) -> DataFrame:
@@ -423,14 +537,17 @@ def _labelled(docs: DataFrame, block: int) -> DataFrame:
     rows = held(described(docs), "jaccard-sets")
     weak = frozenset(r[0] for r in rows.select(F.explode("weak").alias("w")).distinct().collect())  # a few bands
     classes = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles")
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
+        F.first("spare_own").alias("spare_own"), F.first("spare_below").alias("spare_below"),
     )
     parts = width(spark)
-    packed = _packed_signatures(docs, weak, one_per_partition(spark, parts)).repartition(parts, "bucket").drop("bucket")
-    packed = packed.select(F.lit(0).alias("bucket"), "ids", "counts", "marks", "sigs")
-    candidates = held(packed.mapInArrow(_stars, "a long, b long"), "jaccard-candidates")
+    numbers = one_per_partition(spark, parts)
+    deal = lambda df: df.repartition(parts, "bucket")
+    shared = deal(_packed_signatures(docs, weak, numbers)).mapInArrow(_shared(numbers), ENTRIES)
+    asking = deal(shared.unionByName(_spare_rows(classes, numbers))).mapInArrow(_asking(numbers), ENTRIES)
+    candidates = held(deal(asking).mapInArrow(_stars, "a long, b long"), "jaccard-candidates")
     clusters = components(candidates)
-    wanted = classes.join(clusters.withColumnRenamed("node", "k1"), "k1")
+    wanted = classes.drop("spare_own", "spare_below").join(clusters.withColumnRenamed("node", "k1"), "k1")
     wanted = held(wanted, "jaccard-wanted")
     dealt = in_blocks(_sets_of(docs, wanted), "component", "n_shingles", ["k2", "k1"], block)
     verified = held(

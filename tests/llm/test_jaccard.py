@@ -104,7 +104,7 @@ def test_linked_sets_share_a_signature(seed):
         weak = {s.band for s, _, _ in jaccard.banded(values, starts) if s.weak.any()}
         mine = [set(), set()]
         for sets, rows, own in jaccard.banded(values, starts):
-            for sig, of in (sets.signatures(probing=not own), sets.prefixes() if sets.band in weak else (np.empty(0, np.uint64), np.empty(0, int))):
+            for sig, of in (sets.signatures()[:2], sets.prefixes() if sets.band in weak else (np.empty(0, np.uint64), np.empty(0, int))):
                 for x, o in zip(sig.tolist(), of.tolist()):
                     mine[rows[o]].add(x)
         assert mine[0] & mine[1], (a, b, shared)
