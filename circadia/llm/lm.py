@@ -338,9 +338,10 @@ def _messages(batches, *kinds: str):
     return found, rest
 
 
-def _sums(number: int, kind: str, texts: int, text: np.ndarray, *values: np.ndarray) -> tuple[int, str, int, bytes]:
-    """Sums per text of a slice."""
-    return 0, kind, number, _press(*[np.bincount(text, v, texts) for v in values])
+def _sums(number: int, kind: str, text: np.ndarray, *values: np.ndarray) -> tuple[int, str, int, bytes]:
+    """Sums of a slice's texts, for those that occur."""
+    touched, at = np.unique(text, return_inverse=True)
+    return 0, kind, number, _press(touched.astype(np.uint32), *[np.bincount(at, v, len(touched)) for v in values])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +366,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread.append(word)
         total += np.bincount(word, times * (out[text] == 0), len(distinct))
     for (_, number, (_, _, text, times, out)), word in zip(found, spread):
-        yield _rows([_sums(number, "base", len(out), text, times * np.log10(total[word] + 1), times * (total[word] > 0))])
+        yield _rows([_sums(number, "base", text, times * np.log10(total[word] + 1), times * (total[word] > 0))])
     seen = np.flatnonzero(total)
     top = seen[np.argsort(-total[seen], kind="stable")[:TOP_WORDS]]
     facts = _press(np.array([total.sum(), len(seen)]), distinct[top], total[top])
@@ -427,19 +428,21 @@ def _score_pairs(numbers: np.ndarray, hot: set[int]):
         facts = np.unique(first[split & trained], return_inverse=True)
         if len(facts[0]):
             yield _rows([(0, "split", 0, _press(facts[0], np.bincount(facts[1], count[split & trained]), np.bincount(facts[1]).astype(float)))])
-        at = 0
-        for _, number, (_, _, _, _, text, times, out) in found:
+        at, asked = 0, []
+        for _, number, (_, _, _, _, text, times, _) in found:
             mine = which[at : at + len(text)]
             at += len(text)
-            rows = [_sums(number, "score", len(out), text, times * (log_p[mine] + back[mine]))]
+            yield _rows([_sums(number, "score", text, times * (log_p[mine] + back[mine]))])
             ask = np.flatnonzero(~seen[mine] | split[mine])
-            bucket = ((second[mine[ask]] >> np.uint64(32)) % np.uint64(len(numbers))).astype(np.int64)
-            for b, some in _by_bucket(bucket):
-                here = mine[ask[some]]
-                rows.append((int(numbers[b]), "asked", number, _press(
-                    second[here], np.where(split[here], first[here], np.uint64(0)), seen[here].astype(np.uint8),
-                    text[ask[some]], times[ask[some]], np.array([len(out)]))))
-            yield _rows(rows)
+            asked.append((mine[ask], np.full(len(ask), number), text[ask], times[ask]))
+        # what all slices ask of one shard goes there together
+        here, number, text, times = (np.concatenate(c) for c in zip(*asked))
+        bucket = ((second[here] >> np.uint64(32)) % np.uint64(len(numbers))).astype(np.int64)
+        for b, some in _by_bucket(bucket):
+            pair = here[some]
+            yield _rows([(int(numbers[b]), "asked", 0, _press(
+                second[pair], np.where(split[pair], first[pair], np.uint64(0)), seen[pair].astype(np.uint8),
+                number[some], text[some], times[some]))])
 
     return score
 
@@ -459,18 +462,22 @@ def _answer(totals: dict[int, tuple[float, float]], log_all: float):
         count = np.concatenate([c[1] for c in counts]).astype(float) if counts else np.empty(0)
         order = np.argsort(word)
         word, count = word[order], count[order]
-        for kind, number, columns in found:
-            if kind != "asked":
-                continue
-            second, first, seen, text, times, texts = columns
-            at = np.minimum(np.searchsorted(word, second), max(len(word) - 1, 0))
-            c = np.where(word[at] == second, count[at], 0.0) if len(word) else np.zeros(len(second))
-            value = np.where(seen == 0, np.log10(c + 1) - log_all, 0.0)
-            if len(heads):
-                h = np.minimum(np.searchsorted(heads, first), len(heads) - 1)
-                split = heads[h] == first
-                value += np.where(split, np.where(seen == 0, np.log10(DISCOUNT * t[h]), 0.0) - np.log10(n[h]), 0.0)
-            yield _rows([_sums(number, "score", int(texts[0]), text, times * value)])
+        asked = [m for kind, _, m in found if kind == "asked"]
+        if not asked:
+            return
+        second, first, seen, number, text, times = (np.concatenate(c) for c in zip(*asked))
+        at = np.minimum(np.searchsorted(word, second), max(len(word) - 1, 0))
+        c = np.where(word[at] == second, count[at], 0.0) if len(word) else np.zeros(len(second))
+        value = np.where(seen == 0, np.log10(c + 1) - log_all, 0.0)
+        if len(heads):
+            h = np.minimum(np.searchsorted(heads, first), len(heads) - 1)
+            split = heads[h] == first
+            value += np.where(split, np.where(seen == 0, np.log10(DISCOUNT * t[h]), 0.0) - np.log10(n[h]), 0.0)
+        value *= times
+        order = np.argsort(number, kind="stable")
+        cuts = np.flatnonzero(np.diff(number[order], prepend=-1))
+        for rows in np.split(order, cuts[1:]):
+            yield _rows([_sums(int(number[rows[0]]), "score", text[rows], value[rows])])
 
     return answer
 
@@ -486,10 +493,12 @@ def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by.setdefault(number, {}).setdefault(kind, []).append(columns)
     for kinds in by.values():
         ids, nulls, key, out, tokens = kinds["names"][0]
-        zero = np.zeros(len(ids))
-        base = sum((m[0] for m in kinds.get("base", [])), zero)
-        known = sum((m[1] for m in kinds.get("base", [])), zero)
-        score = sum((m[0] for m in kinds.get("score", [])), zero)
+        base, known, score = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
+        for touched, logs, times in kinds.get("base", []):
+            base[touched] += logs
+            known[touched] += times
+        for touched, value in kinds.get("score", []):
+            score[touched] += value
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64(), mask=nulls.astype(bool)), pa.array(key, pa.int64()), pa.array(out.astype(bool)),
              pa.array(tokens if "base" in kinds else np.zeros(len(ids), np.int64), pa.int64()), pa.array(base), pa.array(np.rint(known).astype(np.int64)),
@@ -514,7 +523,7 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     send = lambda df: df.repartition(parts, "bucket")
     words_ = held(send(_scan(docs, held_out, 1, _word_messages(numbers))).mapInArrow(_count_words, MESSAGE), "lm-words")
     tokens, vocabulary, frequent = 0.0, 0.0, {}
-    for row in words_.where("kind = 'facts'").select("payload").toLocalIterator():  # one row per shard
+    for row in words_.where("kind = 'facts'").select("payload").collect():  # a few numbers per shard
         (n, v), top, count = _unpress(row["payload"])
         tokens, vocabulary = tokens + n, vocabulary + v
         frequent.update(zip(top.tolist(), count.tolist()))
@@ -524,7 +533,7 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     pairs = send(_scan(docs, held_out, 2, _pair_messages(numbers, np.fromiter(hot, np.uint64, len(hot)))))
     pairs = held(pairs.mapInArrow(_score_pairs(numbers, hot), MESSAGE), "lm-pairs")
     totals: dict[int, tuple[float, float]] = {}
-    for row in pairs.where("kind = 'split'").select("payload").toLocalIterator():  # a few words per shard
+    for row in pairs.where("kind = 'split'").select("payload").collect():  # a few words per shard
         for h, n, t in zip(*(c.tolist() for c in _unpress(row["payload"]))):
             a, b = totals.get(h, (0.0, 0.0))
             totals[h] = a + n, b + t
@@ -552,7 +561,7 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
 def docs_begin_often(words_: DataFrame, tokens: float, parts: int) -> bool:
     """Whether the beginnings of texts are frequent enough to be split."""
     ends = 0
-    for row in words_.where("kind = 'facts'").select("payload").toLocalIterator():
+    for row in words_.where("kind = 'facts'").select("payload").collect():
         _, top, count = _unpress(row["payload"])
         ends += sum(c for w, c in zip(top.tolist(), count.tolist()) if w == int(END))
     return ends * SPLIT * parts > tokens
