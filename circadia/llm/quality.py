@@ -2,15 +2,18 @@
 
 Counts become a vector (word length, symbols, repeated lines, repeated words; see ``VECTOR``). Per
 language and source the minimum-covariance-determinant estimate of centre and spread is found by
-concentration steps over all rows: distances from the current estimate, the nearest three quarters of
-the rows, their mean and covariance, again until nothing changes. Two starts are followed (medians
-with quartile spreads, and all rows), the one with the smaller determinant counts. A text whose
-squared Mahalanobis distance is beyond the chi-square quantile is rejected.
+concentration steps over all rows: distances from the current estimate, the nearest half of the rows,
+their mean and covariance, again until nothing changes. Half is what leaves the estimate alone up to
+the largest share of junk that any such estimate bears. Three starts are followed (medians with
+quartile spreads, all rows, and medians with median deviations, which bear as much junk), the one with
+the smallest determinant counts. Where estimates come round again, the one with the smallest
+determinant of the round counts. A text whose squared Mahalanobis distance is beyond the chi-square
+quantile is rejected.
 
 Every step is an aggregation: rows are summed by group and distance class first, so a group of any
 size is a few hundred rows when its classes are put in order. Vectors are fixed-point numbers and
 sums are exact, so the estimate does not depend on how rows are laid out. The nearest rows are taken
-in whole distance classes (eight to a doubling), hence at least three quarters of them.
+in whole distance classes (eight to a doubling), hence at least half of them.
 
 Languages and sources with fewer than ``MIN_ROWS`` rows share the estimate of the small ones of their
 language, and if those are too few, of all of them; a remainder that is too small rejects nothing.
@@ -155,7 +158,7 @@ VECTOR = (
 )
 DIMENSIONS = len(VECTOR)
 MIN_ROWS = 50
-COVERAGE = 0.75
+COVERAGE = 0.5
 TAIL = 1e-6
 _PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
 _ESTIMATE = "part string, start int, rows long, mean array<double>, precision array<double>, log_det double"
@@ -227,6 +230,15 @@ def _from_quartiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _solved(rows["part"], rows["start"], rows["n"].to_numpy(), q[:, :, 1], cov)
 
 
+def _from_deviations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        middle = np.stack([np.stack(rows[name].to_numpy()) for name in ("middle", "off")], 1) / UNIT
+        cov = np.zeros((len(rows), DIMENSIONS, DIMENSIONS))
+        for i in range(DIMENSIONS):
+            cov[:, i, i] = (middle[:, 1, i] / 0.6745) ** 2
+        yield _solved(rows["part"], rows["start"], rows["n"].to_numpy(), middle[:, 0], cov)
+
+
 def _sums() -> list[Column]:
     return [
         F.count("*").alias("n"),
@@ -245,30 +257,67 @@ def _concentrated(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     near = classes.withColumn("_near", nearer < F.ceil(COVERAGE * everything)).where("_near")
     names = [c for c in near.columns if c not in ("part", "start", "far", "_near")]
     sums = near.groupBy("part", "start").agg(*[F.sum(c).alias(c) for c in names])
-    return cut_lineage(sums.mapInPandas(_from_sums, _ESTIMATE))
+    return sums.mapInPandas(_from_sums, _ESTIMATE)
+
+
+def _followed(moved: DataFrame, before: DataFrame, restart: bool) -> DataFrame:
+    """``moved`` with what is known of its way: ``mark`` of the estimate, ``stone`` (the mark at the last
+    restart), ``best`` (since then) and ``done``: it stands still, or has come back to the stone."""
+    own = F.struct("log_det", "rows", "mean", "precision")
+    known = before.select("part", "start", F.col("mark").alias("_last"), F.col("stone").alias("_stone"), F.col("best").alias("_best"))
+    joined = moved.withColumn("mark", F.xxhash64("rows", "mean", "precision")).join(known, ["part", "start"])
+    still, back = F.col("mark") == F.col("_last"), F.col("mark") == F.col("_stone")
+    best = F.when(still, own).otherwise(F.least("_best", own))
+    return joined.select(
+        *moved.columns, "mark",
+        (F.col("mark") if restart else F.col("_stone")).alias("stone"),
+        (F.when(back, best).otherwise(own) if restart else best).alias("best"),
+        F.coalesce(still | back, F.lit(False)).alias("done"),
+    )
 
 
-def estimates(rows: DataFrame, max_steps: int = 40) -> DataFrame:
+def estimates(rows: DataFrame, max_steps: int = 200) -> DataFrame:
     """The estimate of every part: mean, precision (inverse covariance) and rows it rests on.
 
-    ``rows`` has part and x0, x1, ... Steps go on until no estimate changes; ``max_steps`` bounds them
-    where classes of equal distance make two estimates alternate (either is then as good).
+    ``rows`` has part and x0, x1, ... Each start goes on until it stands still. Classes of equal distance
+    can make it go round: a stone is laid at steps 1, 2, 4, 8, ..., and a start that comes back to its
+    stone has been all the way round. One that has done neither after ``max_steps`` raises.
     """
     quartiles = rows.groupBy("part").agg(
         F.lit(-1).alias("start"), F.count("*").alias("n"),
         *[F.expr(f"percentile(x{i}, array(0.25, 0.5, 0.75))").alias(f"q{i}") for i in range(DIMENSIONS)],
     )
+    quartiles = cut_lineage(quartiles)
     whole = rows.groupBy("part").agg(F.lit(-2).alias("start"), *_sums())
-    current = quartiles.mapInPandas(_from_quartiles, _ESTIMATE).unionByName(whole.mapInPandas(_from_sums, _ESTIMATE))
-    current = cut_lineage(current.withColumn("start", F.when(F.col("start") == -1, 0).otherwise(1)))
-    seen = None
-    for _ in range(max_steps):
-        current = _concentrated(rows, current)
-        mark = current.agg(F.sum(F.xxhash64("part", "start", "rows", "mean", "precision").cast("decimal(38,0)"))).first()[0]
-        if mark == seen:
+    middles = quartiles.select("part", F.array(*[F.col(f"q{i}")[1] for i in range(DIMENSIONS)]).alias("middle"))
+    off = [F.expr(f"percentile(abs(x{i} - middle[{i}]), 0.5)") for i in range(DIMENSIONS)]
+    deviations = rows.join(middles, "part").groupBy("part").agg(F.lit(-3).alias("start"), F.count("*").alias("n"), F.array(*off).alias("off"))
+    starts = [
+        quartiles.mapInPandas(_from_quartiles, _ESTIMATE), whole.mapInPandas(_from_sums, _ESTIMATE),
+        deviations.join(middles, "part").mapInPandas(_from_deviations, _ESTIMATE),
+    ]
+    current = starts[0].unionByName(starts[1]).unionByName(starts[2]).withColumn("start", -1 - F.col("start"))
+    unknown = F.lit(None).cast("struct<log_det: double, rows: bigint, mean: array<double>, precision: array<double>>")
+    nothing = F.lit(None).cast("long")
+    current = cut_lineage(current.withColumns({"mark": nothing, "stone": nothing, "best": unknown}))
+    finished = []
+    for step in range(1, max_steps + 1):
+        moved = _concentrated(rows, current.select("part", "start", "mean", "precision"))
+        followed = cut_lineage(_followed(moved, current, restart=step & (step - 1) == 0))
+        left, ended = followed.agg(F.count_if(~F.col("done")), F.count_if("done")).first()
+        if ended:
+            finished.append(followed.where("done").select("part", "start", "best"))
+        current = followed.where("not done")
+        if not left:
             break
-        seen = mark
-    best = current.groupBy("part").agg(F.min_by(F.struct("mean", "precision", "rows"), F.struct("log_det", "start")).alias("_e"))
+    else:
+        raise RuntimeError(f"estimates still change after {max_steps} steps")
+    if not finished:
+        finished = [current.where("false").select("part", "start", "best")]
+    ends = finished[0]
+    for more in finished[1:]:
+        ends = ends.unionByName(more)
+    best = ends.groupBy("part").agg(F.min_by("best", F.struct("best.log_det", "start")).alias("_e"))
     return best.select("part", "_e.mean", "_e.precision", "_e.rows")
 
 

@@ -100,3 +100,31 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
 def test_chi_square():
     assert abs(quality.chi_square_quantile(0.95, 4) - 9.4877) < 1e-3
     assert abs(quality.chi_square(5.3853, 4) - 0.75) < 1e-4
+
+
+def test_a_large_group_of_copies_does_not_move_the_estimate(spark):
+    rng = random.Random(8)
+    good = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(30, 90))) for _ in range(200)]
+    junk = "\n".join(f"a{k} ##### b{k} ||||| c{k} <<<<< d{k}\nagain" for k in range(14))
+    copies = 86  # three tenths of all rows
+    rows = [(i, t, "en", "big") for i, t in enumerate(good + [junk] * copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r["row"]["doc_id"]: r for r in quality.judged(docs, ["doc_id"]).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert not any(got[i]["kept"] for i in range(200, 200 + copies))
+    assert all(got[i]["kept"] for i in range(200))
+
+
+def test_rounds_end_with_their_smallest_determinant(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    def alternating(rows, estimate):
+        turned = F.array(*[(F.col("mean")[0] + 1) % 3] * quality.DIMENSIONS)
+        moved = estimate.withColumn("mean", turned).withColumn("rows", F.lit(7).cast("long"))
+        return moved.withColumn("log_det", F.abs(F.col("mean")[0] - 1)).select("part", "start", "rows", "mean", "precision", "log_det")
+
+    monkeypatch.setattr(quality, "_concentrated", alternating)
+    rows = spark.range(9).select(F.lit("p").alias("part"), *[(F.lit(quality.UNIT)).cast("long").alias(f"x{i}") for i in range(quality.DIMENSIONS)])
+    assert [r.mean[0] for r in quality.estimates(rows).collect()] == [1.0]
+    with pytest.raises(RuntimeError):
+        quality.estimates(rows, max_steps=2)
