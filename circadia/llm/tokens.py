@@ -3,12 +3,13 @@
 Both files used here split texts before the merges, and no piece of that split reaches from one
 word into the white space after it. So a text's ids are the ids of its words in a row: of the word
 alone where the tokenizer drops white space, of the white space before it with the word where it
-keeps it. Texts with white space outside ASCII are encoded whole. Strings of special tokens in a
-text are ordinary text.
+keeps it. Texts with white space outside ASCII and texts that hold one of the file's added tokens are
+encoded whole, by the file as it is: an added token in a text is its own id.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from functools import lru_cache
 
@@ -58,10 +59,12 @@ class Encoder:
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary does not fit 16 bits")
         self.model = self.whole.model
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        # a normalizer may lower the case of a text before its added tokens are looked for
+        self.added = "(?i)" + "|".join(re.escape(t) for t in sorted(added)) if added else None
         sample = self.encode_whole("a b"), self.encode_whole("a  b")
         self.drops_space = bool(np.array_equal(*sample))
         self.letters = _bytes_as_letters()
@@ -104,7 +107,10 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids start (one more than texts)."""
-        rare = pc.match_substring_regex(texts.fill_null(""), _OTHER_SPACE).to_numpy(zero_copy_only=False)
+        filled = texts.fill_null("")
+        rare = pc.match_substring_regex(filled, _OTHER_SPACE).to_numpy(zero_copy_only=False)
+        if self.added:
+            rare = rare | pc.match_substring_regex(filled, self.added).to_numpy(zero_copy_only=False)
         if not rare.any():
             return self._by_words(texts)
         parts, counts = [], np.zeros(len(texts), np.int64)

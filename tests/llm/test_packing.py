@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from circadia.llm import packing
 from circadia.llm.tokens import encoder
@@ -110,3 +111,12 @@ def test_one_length_for_most_pieces(spark):
         bins[r.sequence_id] += r.length
     assert len(rows) == 3000 and max(bins.values()) <= 64
     assert len(bins) == one_by_one([r.length for r in rows], 64)
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_in_a_text_are_their_own_ids(file):
+    path = public_tokenizers.path(file)
+    texts = ["a<|endoftext|>b", "<|startoftext|> x <|endoftext|>", "plain words", "<|ENDOFTEXT|>", "one <|endoftext|>\n<|endoftext|>two", None, "é <|endoftext|"]
+    ids, ends = encoder(path).encode(pa.array(texts))
+    expected = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == expected
