@@ -1,7 +1,10 @@
 """Line deduplication across documents: lines within two edits of each other, found by their segments.
 
-Lines are compared by code points, without white space at their ends; shorter ones than ``MIN_LENGTH``
-are left alone. A line of length l is cut into ``edits + 1`` segments. A line of length L within that
+Lines are compared by code points, without white space at their ends. Two edits are near from
+``MIN_LENGTH`` code points on. With ``graded``, as the query and the pipeline have it, every line with a
+word takes part: two lines may be apart by one edit for each ``MIN_LENGTH / EDITS`` code points of the
+shorter one, and by ``EDITS`` at most, so the shortest ones must be equal. Without it, lines shorter than
+``MIN_LENGTH`` are left alone. A line of length l is cut into ``edits + 1`` segments. A line of length L within that
 many edits, l <= L <= l + edits, holds one of them unchanged, and at few possible places, given the
 lengths (the substrings that a left-to-right and a right-to-left alignment both allow). So every line
 indexes its own segments and probes those substrings for each shorter length. Lines that meet are
@@ -78,10 +81,16 @@ class Lines:
         return points, np.concatenate([[0], np.cumsum(self.length[rows])])
 
 
-def signatures(points: np.ndarray, starts: np.ndarray, edits: int = EDITS, min_length: int = MIN_LENGTH):
+def budgets(edits: int, min_length: int, graded: bool) -> list[tuple[int, int, int]]:
+    """Edits that are near where the shorter of two lines has low <= length < high: (low, high, edits)."""
+    fewer = range(1, edits) if graded else ()
+    return [(min_length * e // edits, min_length * (e + 1) // edits, e) for e in fewer] + [(min_length, 1 << 62, edits)]
+
+
+def signatures(points: np.ndarray, starts: np.ndarray, edits: int = EDITS, min_length: int = MIN_LENGTH, graded: bool = False):
     """Hashes of every line's segments and of the substrings that it probes, and the lines they are of."""
     start, length = starts[:-1], np.diff(starts)
-    rows, pieces = np.arange(len(length)), edits + 1
+    rows = np.arange(len(length))
     with np.errstate(over="ignore"):
         longest = int(length.max()) if len(length) else 0
         power, lift = np.ones(longest + 1, np.uint64), np.ones(longest + 1, np.uint64)
@@ -97,21 +106,23 @@ def signatures(points: np.ndarray, starts: np.ndarray, edits: int = EDITS, min_l
             return (running[start[of] + at + size] - running[start[of] + at]) * lift[at]
 
         out, owner = [], []
-        for shorter in range(edits + 1):
-            fits = rows[length - shorter >= min_length]
-            size = length[fits] - shorter
-            base, extra = size // pieces, size % pieces
-            for k in range(pieces):
-                piece = base + (k >= pieces - extra)
-                offset = k * base + np.maximum(0, k - (pieces - extra))
-                low, high = max(-k, shorter - (edits - k)), min(k, shorter + (edits - k))
-                for shift in range(low, high + 1):
-                    at = offset + shift
-                    inside = (at >= 0) & (at + piece <= length[fits])
-                    of, where, span = fits[inside], at[inside], piece[inside]
-                    salt = mixed((size[inside] * (pieces + 1) + k).astype(np.uint64))
-                    out.append(mixed(hashed(of, where, span) ^ salt))
-                    owner.append(of)
+        for lowest, highest, edits in budgets(edits, min_length, graded):
+            pieces = edits + 1
+            for shorter in range(edits + 1):
+                fits = rows[(length - shorter >= lowest) & (length - shorter < highest)]
+                size = length[fits] - shorter
+                base, extra = size // pieces, size % pieces
+                for k in range(pieces):
+                    piece = base + (k >= pieces - extra)
+                    offset = k * base + np.maximum(0, k - (pieces - extra))
+                    low, high = max(-k, shorter - (edits - k)), min(k, shorter + (edits - k))
+                    for shift in range(low, high + 1):
+                        at = offset + shift
+                        inside = (at >= 0) & (at + piece <= length[fits])
+                        of, where, span = fits[inside], at[inside], piece[inside]
+                        salt = mixed((size[inside] * (pieces + 1) + k).astype(np.uint64))
+                        out.append(mixed(hashed(of, where, span) ^ salt))
+                        owner.append(of)
     return (np.concatenate(out), np.concatenate(owner)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
@@ -164,11 +175,13 @@ def within(points: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray,
     return out
 
 
-def classes_in(points: np.ndarray, starts: np.ndarray, edits: int = EDITS, min_length: int = MIN_LENGTH) -> np.ndarray:
+def classes_in(
+    points: np.ndarray, starts: np.ndarray, edits: int = EDITS, min_length: int = MIN_LENGTH, graded: bool = False
+) -> np.ndarray:
     """Root of each line of a block: all pairs that share a signature and are not yet connected are decided."""
-    count = len(starts) - 1
+    count, length = len(starts) - 1, np.diff(starts)
     root = np.arange(count)
-    sig, owner = signatures(points, starts, edits, min_length)
+    sig, owner = signatures(points, starts, edits, min_length, graded)
     order = np.lexsort((owner, sig))
     sig, owner = sig[order], owner[order]
     fresh = np.ones(len(sig), bool)
@@ -190,8 +203,12 @@ def classes_in(points: np.ndarray, starts: np.ndarray, edits: int = EDITS, min_l
         pair = pair[~np.isin(pair, tried)]
         if len(pair):
             tried = np.union1d(tried, pair)
-            near = within(points, starts, pair // count, pair % count, edits)
-            root = local_roots_from(root, pair[near] // count, pair[near] % count)
+            a, b = pair // count, pair % count
+            least = np.minimum(length[a], length[b])
+            for lowest, highest, budget in budgets(edits, min_length, graded):
+                rows = np.flatnonzero((least >= lowest) & (least < highest))
+                rows = rows[within(points, starts, a[rows], b[rows], budget)]
+                root = local_roots_from(root, a[rows], b[rows])
         low = np.minimum.reduceat(root[member], np.cumsum(size) - size)
         high = np.maximum.reduceat(root[member], np.cumsum(size) - size)
         turn += 1
@@ -228,13 +245,13 @@ def occurrences(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     return chosen.mapInArrow(find, "doc_id long, text_key binary, line int, k1 long, k2 long")
 
 
-def _packed(docs: DataFrame, numbers: np.ndarray, edits: int, min_length: int) -> DataFrame:
+def _packed(docs: DataFrame, numbers: np.ndarray, edits: int, min_length: int, graded: bool = False) -> DataFrame:
     """Signatures by bucket, packed; a line that a task has already written is not written again."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         written: set[int] = set()
         for part in slices(batches, "text"):
-            found = Lines(part.column(0), min_length)
+            found = Lines(part.column(0), budgets(edits, min_length, graded)[0][0])
             _, rows = np.unique(found.keys["k1"], return_index=True)
             rows = rows[[k not in written for k in found.keys["k1"][rows].tolist()]] if len(rows) else rows
             written.update(found.keys["k1"][rows].tolist())
@@ -242,7 +259,7 @@ def _packed(docs: DataFrame, numbers: np.ndarray, edits: int, min_length: int) -
                 written.clear()
             if not len(rows):
                 continue
-            sig, owner = signatures(*found.code_points(rows), edits, min_length)
+            sig, owner = signatures(*found.code_points(rows), edits, min_length, graded)
             bucket = ((sig >> np.uint64(32)) % np.uint64(len(numbers))).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             sig, ids, bucket = sig[order], found.keys["k1"][rows][owner[order]], bucket[order]
@@ -295,20 +312,23 @@ def _candidate_texts(docs: DataFrame, filter_: np.ndarray, min_length: int) -> D
     return chosen.mapInArrow(find, "k1 long, k2 long, points binary")
 
 
-def near_classes(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENGTH, block: int = BLOCK_CHARS) -> DataFrame:
+def near_classes(
+    docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENGTH, block: int = BLOCK_CHARS, *, graded: bool = False
+) -> DataFrame:
     """(k1, k2, class) of the lines that have a different line within ``edits`` edits in their class."""
     spark = docs.sparkSession
     parts = width(spark)
-    packed = _packed(docs, one_per_partition(spark, parts), edits, min_length).repartition(parts, "bucket")
+    packed = _packed(docs, one_per_partition(spark, parts), edits, min_length, graded).repartition(parts, "bucket")
     candidates = held(packed.mapInArrow(_meetings, "a long, b long"), "line-candidates")
     clusters = components(candidates).withColumnsRenamed({"node": "k1", "component": "cluster"})
-    texts = _candidate_texts(docs, bit_filter(clusters, "k1"), min_length).dropDuplicates(["k1", "k2"])
+    shortest = budgets(edits, min_length, graded)[0][0]
+    texts = _candidate_texts(docs, bit_filter(clusters, "k1"), shortest).dropDuplicates(["k1", "k2"])
     wanted = held(texts.join(clusters, "k1").withColumn("weight", F.octet_length("points") / 4), "line-texts")
 
     def verify(table: pa.Table) -> pa.Table:
         data = [np.frombuffer(x, np.uint32) for x in table.column("points").to_pylist()]
         starts = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
-        root = classes_in(np.concatenate(data), starts, edits, min_length)
+        root = classes_in(np.concatenate(data), starts, edits, min_length, graded)
         names = np.stack([table.column("k1").to_numpy(), table.column("k2").to_numpy()], 1).astype(">i8")
         raw = [n.tobytes() for n in names]
         other = np.flatnonzero(root != np.arange(len(root)))
@@ -321,10 +341,10 @@ def near_classes(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENG
     return joined.select(part(F.col("node"), 1).alias("k1"), part(F.col("node"), 9).alias("k2"), F.col("component").alias("class"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENGTH) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENGTH, graded: bool = False) -> DataFrame:
     """Every line that takes part with its class and ``later``: whether an earlier line of the class exists."""
-    lines = held(occurrences(docs, min_length), "lines")
-    near = near_classes(docs, edits, min_length)
+    lines = held(occurrences(docs, 1 if graded else min_length), "lines")
+    near = near_classes(docs, edits, min_length, graded=graded)
     own = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("k1", "k2")])
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line")
     # each content once, with its first place; only contents that are repeated or near another go on
@@ -341,9 +361,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENG
     )
 
 
-def summaries(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENGTH) -> DataFrame:
+def summaries(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENGTH, graded: bool = False) -> DataFrame:
     """doc_id, text_key, n_lines, n_near and the numbers of the lines that go, of each document with lines."""
-    return line_classes(docs, edits, min_length).dropDuplicates(["doc_id", "text_key", "line"]).groupBy("doc_id", "text_key").agg(
+    return line_classes(docs, edits, min_length, graded).dropDuplicates(["doc_id", "text_key", "line"]).groupBy("doc_id", "text_key").agg(
         F.count("*").alias("n_lines"),
         F.count_if("near").alias("n_near"),
         F.sort_array(F.collect_list(F.when(F.col("later"), F.col("line")))).alias("gone"),
@@ -358,10 +378,10 @@ def without(text: str | None, gone: list[int] | None) -> str | None:
     return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
 
 
-def deduplicated(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENGTH) -> DataFrame:
+def deduplicated(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENGTH, graded: bool = False) -> DataFrame:
     """row (all columns of ``docs``), n_lines, n_near, n_removed and the new text of every document."""
     doc_id, key = _identity(docs)
-    found = held(summaries(docs, edits, min_length), "line-summaries").withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
+    found = held(summaries(docs, edits, min_length, graded), "line-summaries").withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_id.alias("_id"), key.alias("_text_key"))
     joined = rows.join(found, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left")
 
@@ -385,9 +405,9 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENG
     return chosen.mapInArrow(rewrite, schema)
 
 
-def filtered(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENGTH) -> DataFrame:
+def filtered(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENGTH, graded: bool = False) -> DataFrame:
     """``docs`` with the texts that are left; a document whose words have all gone with its lines goes, too."""
-    rows = deduplicated(docs, edits, min_length)
+    rows = deduplicated(docs, edits, min_length, graded)
     worded = "[^\\x20\\x09-\\x0D]"
     stays = F.col("kept_text").rlike(worded) | (F.col("n_removed") == 0)
     columns = []

@@ -178,7 +178,7 @@ def op5_partition_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_segment_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    rows = lines.deduplicated(read_documents(spark, folder))
+    rows = lines.deduplicated(read_documents(spark, folder), graded=True)
     kept = F.col("kept_text")
     return rows.select(
         "row.doc_id", "n_lines", "n_near", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256")

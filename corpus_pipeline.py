@@ -20,9 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later lines that equal an earlier one but for two edits go, in this document or another."""
+    """Later lines that are near an earlier one go, in this document or another; see ``lines.budgets``."""
     ship(spark)
-    return lines.filtered(docs)
+    return lines.filtered(docs, graded=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,3 +135,36 @@ def test_filtered_keeps_columns(odd_docs, odd_rows, no_docs):
     got = [(r.doc_id, r.text, r.n_chars) for r in kept.select("doc_id", "text", "n_chars").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert lines.filtered(no_docs).collect() == []
+
+
+def budget(a, b):
+    return min(lines.EDITS, min(len(a), len(b)) * lines.EDITS // lines.MIN_LENGTH)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_graded_signatures_and_classes(seed):
+    rng = random.Random(seed)
+    made = {"".join(rng.choice("abé🙂") for _ in range(rng.randint(1, 30))) for _ in range(8)}
+    for _ in range(60):
+        made.add(edited(rng, rng.choice(sorted(made)), rng.randint(0, 3), 1, "abé"))
+    made = sorted(made)
+    flat, starts = points(made)
+    a, b = np.triu_indices(len(made), 1)
+    near = np.array([distance(made[i], made[j]) <= budget(made[i], made[j]) for i, j in zip(a, b)])
+    assert near.any()
+    assert np.array_equal(lines.classes_in(flat, starts, graded=True), roots(len(made), a[near], b[near]))
+    sig, owner = lines.signatures(flat, starts, graded=True)
+    by = collections.defaultdict(set)
+    for s, o in zip(sig.tolist(), owner.tolist()):
+        by[o].add(s)
+    assert all(by[i] & by[j] for i, j, n in zip(a, b, near) if n)
+
+
+def test_every_line_with_a_word_takes_part(spark):
+    texts = ["Les.\nOf, edti oner.\nThe first line that is long enough", "x\n\n  Les. \nOf, edit oner.\nLes", "}\nx\nOf, edti omer.", "}\nThe first lime that is long enough", " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r["row"]["doc_id"]: (r["n_lines"], r["n_near"], r["n_removed"], r["kept_text"]) for r in lines.deduplicated(docs, graded=True).collect()}
+    assert got == {
+        0: (3, 2, 0, texts[0]), 1: (4, 0, 1, "x\n\nOf, edit oner.\nLes"), 2: (3, 1, 2, "}"),
+        3: (2, 1, 2, ""), 4: (0, 0, 0, " \n"),
+    }
