@@ -8,7 +8,7 @@ smallest hash (the last of them) is its anchor, so equal strings have equal anch
 A region is a run of strings with one anchor occurrence. Per anchor hash:
 
 * a region content that occurs twice is repeated as a whole; nothing more is looked at;
-* contents that differ under one anchor meet in tasks of bounded size. There the starts are put in the
+* contents that differ under one anchor meet, each once, in tasks of bounded size. There the starts are put in the
   order of their suffixes (to ``LENGTH`` bytes, by doubling of ranks). A start's previous and next
   smaller position in that order give its longest earlier match, and here also its later ones;
 * an anchor with more than ``MANY`` contents (the border of a passage that very many documents share)
@@ -264,9 +264,6 @@ def _suffix_spans(keep: str):
         """Covered bytes of the regions of one task: doc_id, key, begin, end."""
         keys = [("doc_id", "ascending"), ("key", "ascending"), ("start", "ascending")]
         table = table.sort_by(keys).combine_chunks()  # nulls last: the order of documents
-        content = np.stack([table.column("anchor").to_numpy(), table.column("content").to_numpy()], 1)
-        _, first = np.unique(content, axis=0, return_index=True)
-        table = table.take(pa.array(np.sort(first)))
         data, places = utf8(table.column("bytes").combine_chunks())
         count = table.column("count").to_numpy()
         starts = ranges(places[:-1], count)
@@ -310,7 +307,12 @@ def spans(docs: DataFrame, keep: str = "none") -> DataFrame:
         full = full.join(heads, ["anchor", "content"]).where(place != F.col("_first"))
     out = full.select("doc_id", "key", F.col("start").alias("begin"), (F.col("start") + F.col("count") + LENGTH - 1).alias("end"))
 
-    regions = held(_regions(docs, sent, "several"), "repeats-regions")
+    # Copies of a content are covered as a whole above; only its first one goes on, so that a group is as
+    # large as its contents, however often they occur.
+    regions = _regions(docs, sent, "several").groupBy("anchor", "content").agg(
+        F.min_by(F.struct("doc_id", "key", "start", "count", "bytes"), place).alias("_r")
+    )
+    regions = held(regions.select("_r.*", "anchor", "content"), "repeats-regions")
     size = regions.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     tasks = max(1, -(-size // BLOCK_BYTES))
     dealt = regions.withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks)))

@@ -82,3 +82,24 @@ def test_suffix_ranks(letters):
     earlier, later = repeats.previous_and_next(rank, starts)
     assert earlier.tolist() == [strings.index(s) < i for i, s in enumerate(strings)]
     assert later.tolist() == [s in strings[i + 1 :] for i, s in enumerate(strings)]
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_copies_send_one_region_of_each_content(spark, keep, monkeypatch):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(420))
+    rows = [(i, passage) for i in range(200)] + [(200, "#" + passage[1:]), (201, passage[:300] + "#" + passage[301:])]
+    suffix_spans = repeats._suffix_spans
+
+    def watched(keep):
+        inner = suffix_spans(keep)
+
+        def spans(table):
+            assert table.num_rows <= 60
+            return inner(table)
+
+        return spans
+
+    monkeypatch.setattr(repeats, "_suffix_spans", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert collected(repeats.removed(docs, keep)) == sorted(brute(rows, keep))
