@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, jaccard, lines, lm, packing, quality, repeats, urls, warc, wavelet
+from . import audit, decontam, jaccard, lines, lm, packing, quality, repeats, urls, warc, wavelet
 from .storage import read_documents, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,3 +198,53 @@ def op7_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_elias_fano_scores(spark: SparkSession, folder: str) -> DataFrame:
     return lm.scored(read_documents(spark, folder), lm.seventh())
+
+
+@query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.interactions(read_documents(spark, folder), read_documents(spark, folder, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+with words as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+    from documents
+), flags as (
+    select part, text,
+        cast(len(words) < 200 as int) as a,
+        cast(100 * len(list_distinct(words)) < 50 * len(words) as int) as b,
+        cast(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) as int) as c,
+        cast(regexp_matches(text, '[#$%&*|]') as int) as d,
+        coalesce(cast(doc_id > min(doc_id) over (partition by text) as int), 0) as e,
+        doc_id in (select doc_id from labels where quality = 1) is true as good,
+        doc_id in (select doc_id from labels where toxic = 1) is true as toxic
+    from words
+), masked as (
+    select part, a + 2 * b + 4 * c + 8 * d + 16 * e as mask, count(*) as n, count_if(good) as good, count_if(toxic) as toxic
+    from flags group by all
+), letters as (
+    select unnest(['A', 'B', 'C', 'D', 'E']) as letter, unnest([1, 2, 4, 8, 16]) as bit
+), orders as (
+    select v.letter || w.letter || x.letter || y.letter || z.letter as filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] as bits
+    from letters v, letters w, letters x, letters y, letters z
+    where v.bit + w.bit + x.bit + y.bit + z.bit = 31 and (v.bit | w.bit | x.bit | y.bit | z.bit) = 31
+), steps as (
+    select filter_order, cast(step as int) as step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0) as before
+    from orders, range(1, 6) r(step)
+), counted as (
+    select p.part, s.filter_order, s.step, s.bit,
+        coalesce(sum(n) filter (where mask & cast(s.before + s.bit as int) = 0), 0) as kept,
+        coalesce(sum(n) filter (where mask & s.bit <> 0 and mask & cast(s.before as int) = 0), 0) as removed,
+        coalesce(sum(n) filter (where mask & s.bit <> 0 and mask & cast(s.before as int) <> 0), 0) as redundant,
+        coalesce(sum(n) filter (where mask = s.bit), 0) as unique_fails,
+        coalesce(sum(good) filter (where mask & s.bit <> 0 and mask & cast(s.before as int) = 0), 0) as good_lost,
+        coalesce(sum(toxic) filter (where mask & s.bit <> 0 and mask & cast(s.before as int) = 0), 0) as toxic_lost
+    from steps s, (select distinct part from masked) p left join masked m on m.part = p.part
+    group by all
+)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+    cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+    cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+from counted
+"""
