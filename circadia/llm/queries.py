@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audit, decontam, jaccard, lines, lm, packing, quality, repeats, urls, warc, wavelet
+from . import audit, decontam, importance, jaccard, lines, lm, packing, quality, repeats, urls, warc, wavelet
 from .storage import read_documents, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,3 +248,8 @@ select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as b
     cast(sum(removed) over (partition by part, bit) as bigint) as shapley
 from counted
 """
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resampled(read_documents(spark, folder), read_documents(spark, folder, "benchmark"))
