@@ -6,9 +6,9 @@ and a word's: shifted against themselves and dictionary-encoded again, so the ch
 for each distinct pair, from those of its two parts (the CRC of a concatenation follows from the CRCs and the length
 of the second part; no run is ever written out). A text's weight is a segment sum over the gains taken by the dictionary numbers.
 
-One pass counts the buckets of the corpus and of the target; a task sends one row per bucket at most, so the gains
-are two numbers a bucket on the driver, whatever the corpus. A second pass weighs every text. Weights are
-whole numbers, so nothing depends on the layout. The drawn ones are the highest weights after Gumbel noise from
+One pass over the texts leaves every text's buckets (two bytes a feature) in the shared folder. They are counted, a task
+sending one row per bucket at most, so the gains are two numbers a bucket on the driver, whatever the corpus; then
+every text is weighed. Weights are whole numbers, so nothing depends on the layout. The drawn ones are the highest weights after Gumbel noise from
 a checksum of the id: rows are put in order in ranges and numbered by the rows of the ranges before (no window or task sees
 all of them).
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from circadia.operators.ranking import number_rows
 
 from .storage import held, picked
-from .text import each, slices
+from .text import binary_column, each, ranges, slices, utf8
 
 #: What stands between words: everything in ASCII but digits and lower-case letters.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -117,39 +117,53 @@ class Runs:
             at[here] = number
             whole = longer
 
-    def counts(self, buckets: int) -> np.ndarray:
-        """Occurrences per bucket."""
-        out = np.zeros(buckets, np.int64)
-        for crc, number, _ in self.found:
-            times = np.bincount(number, minlength=len(crc))
-            np.add.at(out, (crc % np.uint32(buckets)).astype(np.int64), times)
-        return out
+    def buckets(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of every text's features, text after text, and where each text's begin (one more than texts)."""
+        times = [np.bincount(row, minlength=self.rows) for _, _, row in self.found]
+        starts = np.concatenate([[0], np.cumsum(sum(times))])
+        out = np.empty(starts[-1], _stored(buckets))
+        begin = starts[:-1].copy()
+        for (crc, number, _), n in zip(self.found, times):
+            out[ranges(begin, n)] = (crc % np.uint32(buckets)).astype(out.dtype)[number]
+            begin += n
+        return out, starts
 
-    def n_features(self) -> np.ndarray:
-        return sum(np.bincount(row, minlength=self.rows) for _, _, row in self.found)
 
-    def weights(self, gains: np.ndarray) -> np.ndarray:
-        """Sum of the gains of each text's features."""
-        total = np.zeros(self.rows, np.int64)
-        for crc, number, row in self.found:
-            own = gains[(crc % np.uint32(len(gains))).astype(np.int64)]
-            running = np.concatenate([[0], np.cumsum(own[number])])
-            ends = np.searchsorted(row, np.arange(self.rows + 1))
-            total += np.diff(running[ends])
-        return total
+def _stored(buckets: int) -> np.dtype:
+    return np.dtype("<u2" if buckets <= 1 << 16 else "<u4")
 
 
-def bucket_counts(texts: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) -> np.ndarray:
-    """Features of all texts by bucket; ``texts`` has one column text."""
+def bucketed(docs: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
+    """doc_id, n_words and the buckets of all features of each document, as bytes of little-endian numbers."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            runs = Runs(part.column(1), longest)
+            found, starts = runs.buckets(buckets)
+            columns = [part.column(0), pa.array(runs.n_words, pa.int64()), binary_column(found, starts * found.dtype.itemsize)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "buckets"])
+
+    rows = picked(docs, doc_id="doc_id", text="text").withColumn("text", F.col("text").cast("string"))
+    return rows.mapInArrow(encode, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, buckets binary")
+
+
+def _numbers(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    data, places = utf8(column)
+    kind = _stored(buckets)
+    return np.frombuffer(data.tobytes(), kind), places // kind.itemsize
+
+
+def bucket_counts(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Features of all texts by bucket, one row per task and bucket at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        for part in slices(batches, "text"):
-            total += Runs(part.column(0), longest).counts(buckets)
+        for part in slices(batches, "buckets"):
+            total += np.bincount(_numbers(part.column(0), buckets)[0], minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
-    sums = texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = rows.select("buckets").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(buckets, np.int64)
     out[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
     return out
@@ -162,24 +176,21 @@ def gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.fromiter((math.floor(1000 * math.log(r)) for r in ratio), np.int64, n)
 
 
-def _texts(df: DataFrame) -> DataFrame:
-    return df.select(F.col("text").cast("string").alias("text"))
-
-
 def weighed(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
     """doc_id, n_words, n_features and weight of every document, from the features of all of them."""
-    own = gains(bucket_counts(_texts(docs), buckets, longest), bucket_counts(_texts(target), buckets, longest))
+    rows = held(bucketed(docs, buckets, longest), "importance-buckets")
+    wanted = target.select(F.lit(0).alias("doc_id"), "text")
+    own = gains(bucket_counts(rows, buckets), bucket_counts(bucketed(wanted, buckets, longest), buckets))
     sent = docs.sparkSession.sparkContext.broadcast(own)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            runs = Runs(part.column(1), longest)
-            numbers = [pa.array(x, pa.int64()) for x in (runs.n_words, runs.n_features(), runs.weights(sent.value))]
-            yield pa.RecordBatch.from_arrays([part.column(0), *numbers], names=["doc_id", "n_words", "n_features", "weight"])
+        for part in slices(batches, "buckets"):
+            found, starts = _numbers(part.column(2), buckets)
+            running = np.concatenate([[0], np.cumsum(sent.value[found])])
+            numbers = [pa.array(x, pa.int64()) for x in (np.diff(starts), np.diff(running[starts]))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *numbers], names=["doc_id", "n_words", "n_features", "weight"])
 
-    rows = picked(docs, doc_id="doc_id", text="text").withColumn("text", F.col("text").cast("string"))
-    key = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(weigh, f"doc_id {key}, n_words long, n_features long, weight long")
+    return rows.mapInArrow(weigh, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_features long, weight long")
 
 
 def resampled(

@@ -253,3 +253,46 @@ from counted
 @query
 def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return importance.resampled(read_documents(spark, folder), read_documents(spark, folder, "benchmark"))
+
+
+ORACLES["op12_importance_resampling"] = r"""
+with crcs as (
+    select list(c order by i) as crcs from (
+        select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+        from range(256) r(i))
+), texts as (
+    select 'corpus' as kind, doc_id, text from documents union all select 'target', null, text from benchmark
+), words as (
+    select row_number() over () as n, kind, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from texts
+), features as (
+    select n, kind, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+        list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as f
+    from words
+), coded as (
+    select f, xor(list_reduce(
+            list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: cast('0x' || h[i:i + 1] as bigint))),
+            lambda c, x: xor(c >> 8, crcs[xor(c & 255, x) + 1])), 4294967295) % 10000 as bucket
+    from (select f, hex(encode(f)) as h from (select distinct f from features)), crcs
+), placed as (
+    select n, kind, bucket from features join coded using (f)
+), buckets as (
+    select b as bucket, count_if(kind = 'corpus') as s, count_if(kind = 'target') as t
+    from range(10000) r(b) left join placed on placed.bucket = b group by all
+), gains as (
+    select bucket, cast(floor(1000 * ln(cast(t + 1 as double) * (sum(s) over () + 10000) / (cast(s + 1 as double) * (sum(t) over () + 10000)))) as bigint) as gain
+    from buckets
+), weights as (
+    select n, count(*) as n_features, sum(gain) as weight from placed join gains using (bucket) where kind = 'corpus' group by n
+), scored as (
+    select doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+        cast(coalesce(weight, 0) + floor(-1000 * ln(-ln(
+            (cast('0x' || substr(sha256('42:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) as score
+    from words left join weights using (n) where kind = 'corpus'
+), ranked as (
+    select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last) as place, count(*) over (partition by n_words >= 20) as everyone
+    from scored
+)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 5 * everyone // 100 then place end as rank, n_words from ranked
+"""

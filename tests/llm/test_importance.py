@@ -50,18 +50,14 @@ def brute(docs, target):
 def test_runs(limit, odd_rows):
     texts = [t for _, t in odd_rows] + ["", "a", "A b", "É é ABC", "x\x00y z", "-", "a-b-c-a-b-c", "ß" * 70_000 + " ab", "\x7f", "9 9 9 9"]
     batch = pa.record_batch([pa.array(texts, pa.string())], names=["text"])
-    total, features, n_words, weights = np.zeros(10000, np.int64), [], [], []
-    gains = np.arange(10000) * 7 % 1013 - 500
+    found, n_words = [], []
     for part in slices([batch], "text", limit):
-        found = importance.Runs(part.column(0))
-        total += found.counts(10000)
-        features += found.n_features().tolist()
-        n_words += found.n_words.tolist()
-        weights += found.weights(gains).tolist()
+        runs_ = importance.Runs(part.column(0))
+        numbers, starts = runs_.buckets(10000)
+        found += [numbers[a:b].tolist() for a, b in zip(starts, starts[1:])]
+        n_words += runs_.n_words.tolist()
     assert n_words == [len(words(t)) for t in texts]
-    assert features == [len(runs(t)) for t in texts]
-    assert weights == [sum(int(gains[b]) for b in buckets(t)) for t in texts]
-    assert Counter({int(b): int(total[b]) for b in np.flatnonzero(total)}) == Counter(b for t in texts for b in buckets(t))
+    assert found == [buckets(t) for t in texts]
 
 
 def test_checksums_of_long_parts():
@@ -87,6 +83,14 @@ def test_draw(spark, odd_rows, odd_docs):
         assert got == [(k, r[0], r[3]) for k, r in enumerate(drawn, start=1)]
 
 
+def test_many_buckets(spark):
+    docs = spark.createDataFrame([(1, "a b c a"), (2, None), (3, "b c")], "doc_id int, text string")
+    found = {r.doc_id: list(memoryview(bytes(r.buckets)).cast("I")) for r in importance.bucketed(docs, 1 << 20, 2).collect()}
+    crc = lambda *parts: [zlib.crc32(p.encode()) % (1 << 20) for p in parts]
+    assert found == {1: crc("a", "b", "c", "a", "a b", "b c", "c a"), 2: [], 3: crc("b", "c", "b c")}
+    assert importance.bucket_counts(importance.bucketed(docs, 1 << 20, 2), 1 << 20).sum() == 10
+
+
 def test_ties_go_to_the_smaller_id(spark):
     # equal scores cannot be planted through the noise, so the order is tried on its own columns
     docs = spark.createDataFrame([(k % 5, "word " * 25) for k in range(100)], "doc_id long, text string")
