@@ -53,6 +53,8 @@ def duplicate_lines(found: Words) -> np.ndarray:
     """Lines with a word that equal an earlier line of their text, by text."""
     data, places = found.data, found.places
     texts = len(places) - 1
+    if not len(data):
+        return np.zeros(texts, np.int64)
     breaks = np.flatnonzero(data == 10)
     # a line is what stands between breaks and text ends; the break itself is cut off below
     begin = np.unique(np.concatenate([breaks + 1, places[:-1]]))

@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audit, decontam, importance, jaccard, lines, lm, packing, quality, repeats, urls, warc, wavelet
+from . import audit, decontam, importance, jaccard, lines, lm, neighbours, packing, quality, repeats, urls, warc, wavelet
 from .storage import read_documents, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,3 +296,8 @@ with crcs as (
 )
 select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 5 * everyone // 100 then place end as rank, n_words from ranked
 """
+
+
+@query
+def op11_neighbour_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.scored(read_documents(spark, folder), read_documents(spark, folder, "labels"))
