@@ -1,41 +1,67 @@
-"""k-means on numeric columns: fits, stable cluster numbers, elbow curve, automatic k.
+"""k-means on numeric columns: fits, stable cluster numbers, elbow curve, automatic k, replicates.
 
-Every fit is Spark ML's distributed k-means; only centres (k x columns) reach the driver.
-Cluster numbers are 1-based and follow the sorted centres, so they do not depend on which
-random start found them.
+Values are fixed-point numbers and sums are exact, so a fit does not depend on how rows are laid out. Equal
+rows collapse to one with a count. A round is one pass for *all* fits under way (every k of an elbow, every
+replicate): each task assigns its rows to the centres of every fit and sends one row per centre, these are
+added up by Spark, and only centres (k x columns per fit) reach the driver. Where few rows are left, one task holds them
+and goes through the same rounds at once. A fit ends when no centre
+moves by more than a tolerance; its centres are those whose sum of squares the last pass has measured.
+
+Starts come from a bounded sample, the rows with the smallest checksums: the first of them, then each time the one
+that is farthest from the chosen ones. When k is estimated, a fit of k + 1 centres starts from those found for k and a
+row of the sample out of the cluster with the largest sum of squares.
+
+Cluster numbers are 1-based and follow the sorted centres. Rows with a null feature take no part and have no cluster.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Hashable, Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from dataclasses import dataclass, field
+from decimal import Decimal
+from functools import reduce
 
-from .sampling import split
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_FEATURES = "_features"
+from ..session import cut_lineage
+from .sampling import in_split
 
 #: Rounds after which a fit that still moves raises.
 MAX_ITER = 300
+#: Fixed-point units in one.
+UNIT = 1 << 32
+#: Movement of a centre's coordinate that counts as none.
+TOLERANCE = 1e-4
+#: Rows that starts are chosen from.
+START_ROWS = 2048
+#: Collapsed rows that make a task worth starting.
+TASK_ROWS = 20_000
+#: Rows whose distances to all centres are laid out at a time.
+_BLOCK = 2048
+_EXACT = "decimal(38,0)"
+
+
+def _fixed(c: str) -> Column:
+    return F.round(F.col(c).cast("double") * UNIT)
 
 
-def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol=_FEATURES).transform(df)
+def _distance(values: Sequence[Column], center: Sequence[float]) -> Column:
+    return reduce(Column.__add__, [(v - F.lit(float(x))) ** 2 for v, x in zip(values, center)])
+
+
+def _number_of_nearest(values: Sequence[Column], centers: Sequence[Sequence[float]]) -> Column:
+    ranked = F.array(*[_distance(values, c) for c in centers])
+    return F.array_position(ranked, F.array_min(ranked)).cast("int")
 
 
 @dataclass
 class Fit:
-    """A fitted clustering over named columns."""
+    """A fitted clustering over named columns; centres are sorted."""
 
     columns: list[str]
-    model: KMeansModel | None
-    order: list[int]
     centers: list[list[float]]
     wss: float
 
@@ -44,15 +70,8 @@ class Fit:
         return len(self.centers)
 
     def assign(self, df: DataFrame, name: str = "cluster") -> DataFrame:
-        """Add the number of the nearest centre to each row."""
-        if self.model is None:
-            return df.withColumn(name, F.lit(1))
-        number = [0] * len(self.order)
-        for position, original in enumerate(self.order):
-            number[original] = position + 1
-        labelled = self.model.transform(assemble(df, self.columns))
-        ranks = F.array(*[F.lit(n) for n in number])
-        return labelled.withColumn(name, F.get(ranks, F.col("prediction"))).drop(_FEATURES, "prediction")
+        """Add the number of the nearest centre to each row (the first one on a tie)."""
+        return df.withColumn(name, _number_of_nearest([_fixed(c) / UNIT for c in self.columns], self.centers))
 
     def table(self, spark: SparkSession, number: str = "centroid") -> DataFrame:
         """Centres as rows, one column per feature."""
@@ -60,65 +79,233 @@ class Fit:
         return spark.createDataFrame([(i + 1, *c) for i, c in enumerate(self.centers)], schema)
 
 
+@dataclass
+class _State:
+    """A fit under way: its centres, and what the last pass measured with them."""
+
+    part: int
+    centers: np.ndarray
+    cluster_wss: list[int] = field(default_factory=list)
+    moved: bool = True
+
+    @property
+    def wss(self) -> float:
+        return sum(self.cluster_wss) / UNIT
+
+    def fit(self, columns: Sequence[str]) -> Fit:
+        return Fit(list(columns), sorted([float(x) for x in c] for c in self.centers), self.wss)
+
+
+def _added(weight: np.ndarray, value: np.ndarray, group: np.ndarray, groups: int) -> list[int]:
+    """Exact sums of weight times value per group, by upper and lower digits."""
+    out = []
+    for digits in (value >> 24, value & ((1 << 24) - 1)):
+        total = np.zeros(groups, np.int64)
+        np.add.at(total, group, weight * digits)
+        out.append(total.tolist())
+    return [(high << 24) + low for high, low in zip(*out)]
+
+
+def _measured(values: np.ndarray, weight: np.ndarray, centers: np.ndarray) -> tuple[list[int], list[list[int]], list[int]]:
+    """Rows, sums of each column and sum of squares (in units) of each centre's rows."""
+    k = len(centers)
+    rows, sums, wss = [0] * k, [[0] * k for _ in range(values.shape[1])], [0] * k
+    for at in range(0, len(values), _BLOCK):
+        part, n = values[at : at + _BLOCK], weight[at : at + _BLOCK]
+        real = part / UNIT
+        distance = np.zeros((len(part), k))
+        for j in range(values.shape[1]):
+            distance += (real[:, j, None] - centers[None, :, j]) ** 2
+        nearest = distance.argmin(1)
+        least = distance[np.arange(len(part)), nearest]
+        whole = np.floor(least)
+        rest = np.floor((least - whole) * UNIT).astype(np.int64)
+        rows = [a + b for a, b in zip(rows, np.bincount(nearest, weights=n, minlength=k).astype(np.int64).tolist())]
+        sums = [[a + b for a, b in zip(s, _added(n, part[:, j], nearest, k))] for j, s in enumerate(sums)]
+        wholes, rests = _added(n, whole.astype(np.int64), nearest, k), _added(n, rest, nearest, k)
+        wss = [a + b * UNIT + c for a, b, c in zip(wss, wholes, rests)]
+    return rows, sums, wss
+
+
+def _moved(centers: np.ndarray, rows: Sequence[int], sums: Sequence[Sequence[int]]) -> np.ndarray:
+    """Means of the centres' rows; a centre without rows stays."""
+    out = centers.copy()
+    for c, n in enumerate(rows):
+        if n:
+            out[c] = [((2 * s[c] + n) // (2 * n)) / UNIT for s in sums]
+    return out
+
+
+def _far(moved: np.ndarray, centers: np.ndarray) -> bool:
+    return bool((np.abs(moved - centers) > TOLERANCE).any())
+
+
+@dataclass
+class _Rows:
+    """Collapsed rows: x0, x1, ... in units, ``n`` and a bit per part that they belong to, in ``tasks`` partitions."""
+
+    table: DataFrame
+    columns: list[str]
+    tasks: int
+
+    @property
+    def names(self) -> list[str]:
+        return [f"x{j}" for j in range(len(self.columns))]
+
+    def settle(self, states: Sequence[_State], max_iter: int) -> None:
+        """Rounds for all states together until none moves."""
+        if self.tasks == 1:
+            self._inside(states, max_iter)
+            open_ = [s for s in states if s.moved]
+        else:
+            open_ = list(states)
+            for _ in range(max_iter):
+                if open_:
+                    self._pass_over(open_)
+                    open_ = [s for s in open_ if s.moved]
+        if open_:
+            raise RuntimeError(f"centres still move after {max_iter} rounds: {[len(s.centers) for s in open_]} centres")
+
+    def _pass_over(self, states: Sequence[_State]) -> None:
+        """Measure all states in one aggregation and move their centres; ``moved`` says whether any did."""
+        names, given = ["n", *self.names, "wss"], [(s.part, s.centers) for s in states]
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {(fit, c): [0] * len(names) for fit, (_, centers) in enumerate(given) for c in range(len(centers))}
+            for batch in batches:
+                *xs, n, parts = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                values = np.stack(xs, 1)
+                for fit, (part, centers) in enumerate(given):
+                    inside = (parts >> part) & 1 == 1
+                    rows, sums, wss = _measured(values[inside], n[inside], centers)
+                    for c, measured in enumerate(zip(rows, *sums, wss)):
+                        total[fit, c] = [a + b for a, b in zip(total[fit, c], measured)]
+            made = [(*key, *map(Decimal, sums)) for key, sums in total.items() if sums[0]]
+            kinds = [pa.int32(), pa.int32(), *[pa.decimal128(38, 0)] * len(names)]
+            columns = [pa.array([r[j] for r in made], kind) for j, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["fit", "cluster", *names])
+
+        schema = ", ".join(["fit int", "cluster int", *[f"{c} {_EXACT}" for c in names]])
+        found = self.table.mapInArrow(measure, schema).groupBy("fit", "cluster").agg(*[F.sum(c) for c in names])
+        totals = {tuple(r[:2]): list(map(int, r[2:])) for r in found.collect()}
+        for fit, state in enumerate(states):
+            rows, *sums, wss = zip(*[totals.get((fit, c), [0] * len(names)) for c in range(len(state.centers))])
+            state.cluster_wss = list(wss)
+            moved = _moved(state.centers, rows, sums)
+            state.moved = _far(moved, state.centers)
+            if state.moved:
+                state.centers = moved
+
+    def _inside(self, states: Sequence[_State], max_iter: int) -> None:
+        """The same rounds where one task holds all rows (at most ``TASK_ROWS``), without a job for each."""
+        given = [(s.part, s.centers) for s in states]
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            columns = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+            *xs, n, parts = [np.concatenate(c) for c in zip(*columns)]
+            values, made = np.stack(xs, 1), []
+            for fit, (part, centers) in enumerate(given):
+                inside = (parts >> part) & 1 == 1
+                own, weight = values[inside], n[inside]
+                for _ in range(max_iter):
+                    rows, sums, wss = _measured(own, weight, centers)
+                    moved = _moved(centers, rows, sums)
+                    going = _far(moved, centers)
+                    if not going:
+                        break
+                    centers = moved
+                made += [(fit, c, list(centers[c]), Decimal(wss[c]), going) for c in range(len(centers))]
+            kinds = {"fit": pa.int32(), "cluster": pa.int32(), "center": pa.list_(pa.float64()), "wss": pa.decimal128(38, 0), "moved": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in made], kind) for j, kind in enumerate(kinds.values())], names=list(kinds))
+
+        found = self.table.mapInArrow(go, f"fit int, cluster int, center array<double>, wss {_EXACT}, moved boolean").collect()
+        for fit, state in enumerate(states):
+            own = sorted((r for r in found if r["fit"] == fit), key=lambda r: r["cluster"])
+            state.centers = np.array([r["center"] for r in own])
+            state.cluster_wss = [int(r["wss"]) for r in own]
+            state.moved = own[0]["moved"]
+
+    def samples(self, parts: int, seed: int) -> list[np.ndarray]:
+        """For each part at most ``START_ROWS`` distinct rows, those with the smallest checksums first."""
+        checksum = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in self.names]))
+        chosen = [
+            self.table.where(F.getbit("parts", F.lit(part)) == 1).select(F.lit(part).alias("part"), *self.names, checksum.alias("_at"))
+            .orderBy("_at", *self.names).limit(START_ROWS)
+            for part in range(parts)
+        ]
+        found = reduce(DataFrame.unionByName, chosen).toPandas().sort_values(["part", "_at", *self.names])
+        return [found.loc[found["part"] == part, self.names].drop_duplicates().to_numpy(np.int64) / UNIT for part in range(parts)]
+
+
 @contextmanager
-def _held(df: DataFrame, *columns: str) -> Iterator[DataFrame]:
-    """The rows without a null in ``columns``, kept in memory and on disk while several passes go over them."""
-    rows = df.select(*columns).dropna("any").persist()
+def _collapsed(df: DataFrame, columns: Sequence[str], parts: Sequence[Column] = ()) -> Iterator[_Rows]:
+    """The rows without a null in ``columns``, equal ones together, held in memory and on disk while passes go over them."""
+    member = reduce(Column.bitwiseOR, [F.when(p, 1 << i).otherwise(0).cast("long") for i, p in enumerate(parts)]) if parts else F.lit(1).cast("long")
+    known = df.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in columns]))
+    fixed = known.select(*[_fixed(c).cast("long").alias(f"x{j}") for j, c in enumerate(columns)], member.alias("parts"))
+    names = [f"x{j}" for j in range(len(columns))]
+    counted = cut_lineage(fixed.groupBy(*names, "parts").agg(F.count("*").alias("n")).select(*names, "n", "parts"))
+    # few rows are few tasks: a pass over them is all start-up
+    tasks = max(-(-counted.count() // TASK_ROWS), 1)
+    held = counted.coalesce(tasks).persist()
     try:
-        rows.count()
-        yield rows
+        yield _Rows(held, list(columns), tasks)
     finally:
-        rows.unpersist()
+        held.unpersist()
 
 
-def _single(features: DataFrame) -> Fit:
-    """The one-cluster solution, which the fitting routine does not accept."""
-    columns = features.columns
-    spread = sum((F.var_pop(c) for c in columns), F.lit(0.0)) * F.count("*")
-    row = features.agg(*[F.avg(c) for c in columns], spread).first()
-    if row[-1] is None:
-        raise ValueError("no rows to cluster")
-    return Fit(columns, None, [0], [list(map(float, row[:-1]))], float(row[-1]))
+def _squares(points: np.ndarray, center: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(points))
+    for j in range(points.shape[1]):
+        out += (points[:, j] - center[j]) ** 2
+    return out
 
 
-def _fit(features: DataFrame, k: int, seed: int, max_iter: int = MAX_ITER) -> Fit:
-    columns = features.columns
-    if k == 1:
-        return _single(features)
-    estimator = KMeans(featuresCol=_FEATURES, k=k, seed=seed, maxIter=max_iter)
-    model = estimator.fit(assemble(features, columns).select(_FEATURES))
-    if model.summary.numIter >= max_iter:
-        raise RuntimeError(f"{k} centres still move after {max_iter} rounds")
-    centers = [[float(x) for x in c] for c in model.clusterCenters()]
-    order = sorted(range(len(centers)), key=lambda i: centers[i])
-    return Fit(columns, model, order, [centers[i] for i in order], float(model.summary.trainingCost))
+def _far_apart(sample: np.ndarray, k: int) -> np.ndarray:
+    """The first row, then each time the one that is farthest from those chosen; fewer than k if there are fewer."""
+    chosen, nearest = [0], _squares(sample, sample[0])
+    while len(chosen) < k and nearest.max() > 0:
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, _squares(sample, sample[chosen[-1]]))
+    return sample[chosen]
 
 
-def fit(df: DataFrame, columns: Sequence[str], k: int, seed: int = 62, max_iter: int = MAX_ITER) -> Fit:
-    """k centres; fewer if the data has fewer distinct points."""
-    with _held(df, *columns) as features:
-        return _fit(features, k, seed, max_iter)
+def _more(state: _State, sample: np.ndarray) -> np.ndarray | None:
+    """The centres and a row of the worst cluster that has one of the sample apart from its centre."""
+    distance = np.stack([_squares(sample, c) for c in state.centers], 1)
+    nearest = distance.argmin(1)
+    least = distance[np.arange(len(sample)), nearest]
+    for worst in sorted(range(len(state.centers)), key=lambda c: -state.cluster_wss[c]):
+        own = np.where(nearest == worst, least, 0)
+        if own.max() > 0:
+            return np.concatenate([state.centers, sample[[int(own.argmax())]]])
+    return None
 
 
-def _side_by_side(spark: SparkSession, work: Callable, items: Iterable, parallelism: int) -> list:
-    """Independent fits submitted from a few threads, so small jobs share the cluster."""
-    with ThreadPool(parallelism) as pool:
-        return pool.map(inheritable_thread_target(spark)(work), list(items))
+def _known(samples: Sequence[np.ndarray]) -> None:
+    if not all(map(len, samples)):
+        raise ValueError("no rows to cluster")
 
 
-def fit_each(
-    df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 62, parallelism: int = 4, max_iter: int = MAX_ITER
-) -> list[Fit]:
-    """One fit per k over the same held rows."""
-    with _held(df, *columns) as features:
-        return _side_by_side(df.sparkSession, lambda k: _fit(features, k, seed, max_iter), ks, parallelism)
+def fit_each(df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 62, max_iter: int = MAX_ITER) -> list[Fit]:
+    """One fit per k; all of them go over the rows together. Fewer centres if there are fewer distinct rows."""
+    with _collapsed(df, columns) as rows:
+        samples = rows.samples(1, seed)
+        _known(samples)
+        starts = _far_apart(samples[0], max(ks))
+        states = {k: _State(0, starts[:k]) for k in ks}
+        rows.settle(list(states.values()), max_iter)
+    return [states[k].fit(columns) for k in ks]
 
 
-def elbow(
-    df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 62, parallelism: int = 4, max_iter: int = MAX_ITER
-) -> DataFrame:
+def fit(df: DataFrame, columns: Sequence[str], k: int, seed: int = 62, max_iter: int = MAX_ITER) -> Fit:
+    """k centres; fewer if the data has fewer distinct points."""
+    return fit_each(df, columns, [k], seed, max_iter)[0]
+
+
+def elbow(df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int = 62, max_iter: int = MAX_ITER) -> DataFrame:
     """Total within-cluster sum of squares for each k."""
-    rows = [(int(k), found.wss) for k, found in zip(ks, fit_each(df, columns, ks, seed, parallelism, max_iter))]
+    rows = [(int(k), found.wss) for k, found in zip(ks, fit_each(df, columns, ks, seed, max_iter))]
     return df.sparkSession.createDataFrame(rows, "centroids int, wss double")
 
 
@@ -127,26 +314,50 @@ def gain_cutoff(rows: int, columns: int) -> float:
     return min(0.02 + 10.0 / rows + 2.5 / columns**2, 0.8)
 
 
-def _estimate(features: DataFrame, k_max: int, seed: int, cutoff: float | None, max_iter: int = MAX_ITER) -> Fit:
-    if cutoff is None:
-        cutoff = gain_cutoff(max(features.count(), 1), len(features.columns))
-    best = _single(features)
-    for k in range(2, k_max + 1):
-        if best.wss <= 0:
-            break
-        candidate = _fit(features, k, seed, max_iter)
-        if 1 - candidate.wss / best.wss <= cutoff:
-            break
-        best = candidate
-    return best
+def _estimated(rows: _Rows, samples: Sequence[np.ndarray], k_max: int, cutoffs: Sequence[float], max_iter: int) -> list[Fit]:
+    """For each part the fit with the last cluster that lowered its sum of squares enough.
+
+    The parts take their decisions on their own, but share every pass.
+    """
+    best: dict[int, Fit] = {}
+    open_ = {part: _State(part, sample[:1]) for part, sample in enumerate(samples)}
+    while open_:
+        rows.settle(list(open_.values()), max_iter)
+        for part, state in list(open_.items()):
+            found, before = state.fit(rows.columns), best.get(part)
+            if before is not None and 1 - found.wss / before.wss <= cutoffs[part]:
+                del open_[part]
+                continue
+            best[part] = found
+            more = _more(state, samples[part]) if found.k < k_max and found.wss > 0 else None
+            if more is None:
+                del open_[part]
+            else:
+                open_[part] = _State(part, more)
+    return [best[part] for part in range(len(samples))]
+
+
+def _estimates(
+    df: DataFrame, columns: Sequence[str], parts: Sequence[Column], k_max: int, seed: int, cutoff: float | None, max_iter: int
+) -> list[Fit]:
+    with _collapsed(df, columns, parts) as rows:
+        count = max(len(parts), 1)
+        samples = rows.samples(count, seed)
+        _known(samples)
+        sizes = rows.table.agg(*[F.sum(F.getbit("parts", F.lit(p)) * F.col("n")) for p in range(count)]).first()
+        cutoffs = [gain_cutoff(n, len(columns)) if cutoff is None else cutoff for n in sizes]
+        return _estimated(rows, samples, k_max, cutoffs, max_iter)
 
 
 def estimate_k(
     df: DataFrame, columns: Sequence[str], k_max: int, seed: int = 62, cutoff: float | None = None, max_iter: int = MAX_ITER
 ) -> Fit:
     """Add clusters while each one lowers the sum of squares enough."""
-    with _held(df, *columns) as features:
-        return _estimate(features, k_max, seed, cutoff, max_iter)
+    return _estimates(df, columns, (), k_max, seed, cutoff, max_iter)[0]
+
+
+#: Replicates that share the passes; a row's memberships are bits of one number.
+MOST_REPLICATES = 60
 
 
 def stability(
@@ -157,29 +368,25 @@ def stability(
     k_max: int = 3,
     ratio: float = 0.75,
     seed: int = 62,
-    parallelism: int = 4,
     max_iter: int = MAX_ITER,
 ) -> DataFrame:
-    """Centres found on repeated random parts of the rows."""
-    with _held(df, *keys, *columns) as rows:
-
-        def replicate(r: int) -> list[tuple]:
-            part, _ = split(rows, keys, ratio, seed + r)
-            found = _estimate(part.select(*columns), k_max, seed + r, None, max_iter)
-            return [(r, i, *c) for i, c in enumerate(found.centers, start=1)]
-
-        parts = _side_by_side(df.sparkSession, replicate, range(1, replicates + 1), parallelism)
+    """Centres found on repeated random parts of the rows, all parts in the same passes.
+
+    The parts of replicate r are those of ``split`` with seed + r; more than ``MOST_REPLICATES`` go in turns.
+    """
+    found = []
+    for first in range(1, replicates + 1, MOST_REPLICATES):
+        numbers = range(first, min(first + MOST_REPLICATES, replicates + 1))
+        parts = [in_split(keys, ratio, seed + r) for r in numbers]
+        for r, fitted in zip(numbers, _estimates(df, columns, parts, k_max, seed, None, max_iter)):
+            found += [(r, i, *c) for i, c in enumerate(fitted.centers, start=1)]
     schema = "replicate int, centroid int, " + ", ".join(f"`{c}` double" for c in columns)
-    return df.sparkSession.createDataFrame([row for part in parts for row in part], schema)
+    return df.sparkSession.createDataFrame(found, schema)
 
 
 def nearest(df: DataFrame, columns: Sequence[str], centers: Sequence[Sequence[float]], name: str = "cluster") -> DataFrame:
     """Number of the nearest given centre (the first one on a tie), as a plain expression."""
-    distances = [
-        sum(((F.col(c) - F.lit(float(x))) ** 2 for c, x in zip(columns, center)), F.lit(0.0)) for center in centers
-    ]
-    ranked = F.array(*distances)
-    return df.withColumn(name, F.array_position(ranked, F.array_min(ranked)).cast("int"))
+    return df.withColumn(name, _number_of_nearest([F.col(c) for c in columns], centers))
 
 
 def read_centers(table: DataFrame, columns: Sequence[str], number: str = "centroid", limit: int = 1000) -> list[list[float]]:

@@ -31,7 +31,12 @@ def sample_fraction(df: DataFrame, keys: Sequence[str], fraction: float, seed: i
     return df.where(_position(keys, seed) < fraction)
 
 
+def in_split(keys: Sequence[str], ratio: float = 0.75, seed: int = 62) -> Column:
+    """Whether a key is in the first part of ``split``."""
+    return _position(keys, seed) < ratio
+
+
 def split(df: DataFrame, keys: Sequence[str], ratio: float = 0.75, seed: int = 62) -> tuple[DataFrame, DataFrame]:
     """Two disjoint parts that add up to the table."""
-    low = _position(keys, seed) < ratio
+    low = in_split(keys, ratio, seed)
     return df.where(low), df.where(~low)

@@ -12,15 +12,16 @@ def standardise(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled")
 
     One aggregate row feeds the projection as a scalar, so nothing is joined or collected.
     """
-    stats = df.agg(F.struct(
+    found = df.agg(F.struct(
         *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"s_{c}") for c in columns]
     )).scalar()
-    scaled = {}
+    # one column for all of them: a subquery per use would be planned once per use
+    stats, scaled = F.col("_stats"), {}
     for c in columns:
         centred = F.col(c).cast("double") - stats[f"m_{c}"]
         flat = F.when(F.col(c).isNotNull(), F.lit(0.0))
         scaled[f"{c}{suffix}"] = F.when(stats[f"s_{c}"] > 0, centred / stats[f"s_{c}"]).otherwise(flat)
-    return df.withColumns(scaled)
+    return df.withColumn("_stats", found).withColumns(scaled).drop("_stats")
 
 
 def interval_bin(df: DataFrame, value: str, bins: int, name: str = "bin") -> DataFrame:
