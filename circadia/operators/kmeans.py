@@ -119,7 +119,7 @@ def _measured(values: np.ndarray, weight: np.ndarray, centers: np.ndarray) -> tu
         nearest = distance.argmin(1)
         least = distance[np.arange(len(part)), nearest]
         whole = np.floor(least)
-        rest = np.floor((least - whole) * UNIT).astype(np.int64)
+        rest = np.rint((least - whole) * UNIT).astype(np.int64)
         rows = [a + b for a, b in zip(rows, np.bincount(nearest, weights=n, minlength=k).astype(np.int64).tolist())]
         sums = [[a + b for a, b in zip(s, _added(n, part[:, j], nearest, k))] for j, s in enumerate(sums)]
         wholes, rests = _added(n, whole.astype(np.int64), nearest, k), _added(n, rest, nearest, k)

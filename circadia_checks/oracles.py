@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import cluster_oracles as cluster
+
 VIEWS: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
 
@@ -160,6 +162,15 @@ VIEWS["band_shares"] = _shares("band", [(f"'{b}'", b) for b in BANDS])
 VIEWS["band_scaled"] = "SELECT customer_key, " + ", ".join(
     f"coalesce(({b} - avg({b}) OVER ()) / nullif(stddev_samp({b}) OVER (), 0), 0.0) AS {b}_scaled" for b in BANDS
 ) + " FROM band_shares"
+VIEWS["hour_scaled"] = "SELECT customer_key, " + ", ".join(
+    f"coalesce((h{h} - avg(h{h}) OVER ()) / nullif(stddev_samp(h{h}) OVER (), 0), 0.0) AS h{h}_scaled" for h in range(24)
+) + " FROM hour_shares"
+VIEWS["regularity"] = """
+SELECT * FROM
+ (SELECT *, (median_time - avg(median_time) OVER ()) / stddev_samp(median_time) OVER () AS median_scaled,
+   (sd_time - avg(sd_time) OVER ()) / stddev_samp(sd_time) OVER () AS sd_scaled
+  FROM (SELECT customer_key, median(secs) AS median_time, stddev_samp(secs) AS sd_time FROM cust GROUP BY 1))
+WHERE median_time IS NOT NULL AND sd_time IS NOT NULL"""
 VIEWS["given"] = "SELECT CAST(customer_key % 3 + 1 AS INT) AS centroid, " + ", ".join(
     f"avg({b}) AS {b}" for b in BANDS
 ) + " FROM band_shares GROUP BY 1"
@@ -216,7 +227,7 @@ _NEEDS = {
     "active": ["seg"],
     "workday": ["active"],
     "hour_shares": ["workday"], "band_shares": ["workday"],
-    "band_scaled": ["band_shares"], "given": ["band_shares"], "given_assigned": ["given"],
+    "band_scaled": ["band_shares"], "hour_scaled": ["hour_shares"], "regularity": ["cust"], "given": ["band_shares"], "given_assigned": ["given"],
     "habits": ["habit_peaks"],
     "content": ["reader_fact", "product", "product_genre"],
     "formats": ["content"], "genres": ["content"],
@@ -239,7 +250,9 @@ def sql(body: str, *needs: str, extra: list[tuple[str, str]] = ()) -> str:
         add(name)
     parts = [f"{n} AS ({VIEWS[n].strip()})" for n in order]
     parts += [f"{n} AS MATERIALIZED ({text.strip()})" for n, text in extra]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
+    # a step that reads itself is a recursion
+    again = "RECURSIVE " if any(f"FROM {n} " in text for n, text in extra) else ""
+    return (f"WITH {again}" + ",\n".join(parts) + "\n" if parts else "") + body.strip()
 
 
 def oracle(name: str, body: str, *needs: str, extra=()) -> None:
@@ -398,17 +411,17 @@ SELECT customer_key, source, count(*) AS n FROM (SELECT customer_key, 'reads' AS
 oracle("rsh2_pivot_counts", "SELECT customer_key, " + ", ".join(
     f"count(*) FILTER (weekday = {d}) AS d{d}" for d in range(1, 8)) + " FROM cust GROUP BY 1", "cust")
 
-VIEWS["week_products"] = "SELECT product_key, hour, count(*) AS n FROM timed WHERE date_key >= 20240124 GROUP BY 1, 2"
-_NEEDS["week_products"] = ["timed"]
+VIEWS["product_hours"] = "SELECT product_key, hour, count(*) AS n FROM timed GROUP BY 1, 2"
+_NEEDS["product_hours"] = ["timed"]
 oracle("rsh3_densify", """
 SELECT coalesce(g.product_key, c.product_key) AS product_key, coalesce(g.hour, c.hour) AS hour, coalesce(c.n, 0) AS n
-FROM (SELECT product_key, CAST(range AS INT) AS hour FROM (SELECT DISTINCT product_key FROM week_products), range(24)) g
-FULL JOIN week_products c ON c.product_key = g.product_key AND c.hour = g.hour""", "week_products")
+FROM (SELECT product_key, CAST(range AS INT) AS hour FROM (SELECT DISTINCT product_key FROM product_hours), range(24)) g
+FULL JOIN product_hours c ON c.product_key = g.product_key AND c.hour = g.hour""", "product_hours")
 oracle("rsh3_densify_inside", """
 SELECT g.product_key, g.hour, coalesce(c.n, 0) AS n
-FROM (SELECT product_key, CAST(range AS INT) AS hour FROM (SELECT product_key FROM week_products WHERE hour IS NOT NULL
+FROM (SELECT product_key, CAST(range AS INT) AS hour FROM (SELECT product_key FROM product_hours WHERE hour IS NOT NULL
    UNION SELECT CAST(product_key AS INT) FROM product), range(24)) g
-LEFT JOIN week_products c ON c.product_key = g.product_key AND c.hour = g.hour""", "week_products", "product")
+LEFT JOIN product_hours c ON c.product_key = g.product_key AND c.hour = g.hour""", "product_hours", "product")
 oracle("rsh4_pivot_many", "SELECT customer_key, time_1, wss_1, time_2, wss_2, time_3, wss_3 FROM habit_peaks WHERE time_1 IS NOT NULL", "habit_peaks")
 oracle("rsh5_unpivot", " UNION ALL ".join(
     f"SELECT customer_key, 'time_{i}' AS name, time_{i} AS value FROM habit_peaks" for i in (1, 2, 3)), "habit_peaks")
@@ -434,12 +447,12 @@ oracle("rsh6_bucket_gap_rows", "SELECT i.title, i.isbn13, i.customer_key, r.rang
 # ---- samples: order and place by the checksum of seed and key -------------------------------
 
 
-def checksum(key: str) -> str:
-    return f"md5('62|' || coalesce(CAST({key} AS VARCHAR), 'NA'))"
+def checksum(key: str, seed: str = "62") -> str:
+    return f"md5(CAST({seed} AS VARCHAR) || '|' || coalesce(CAST({key} AS VARCHAR), 'NA'))"
 
 
-def position(key: str) -> str:
-    return f"CAST(CAST('0x' || substr({checksum(key)}, 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656"
+def position(key: str, seed: str = "62") -> str:
+    return f"CAST(CAST('0x' || substr({checksum(key, seed)}, 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656"
 
 
 oracle("smp1_sample_keys", f"SELECT customer_key FROM (SELECT DISTINCT customer_key FROM reader_fact) ORDER BY {checksum('customer_key')}, 1 LIMIT 30", "reader_fact")
@@ -642,11 +655,8 @@ oracle("ml7_spread_per_cluster", "SELECT cluster, count(*) AS n, round((" + " +
     f"var_pop({b})" for b in BANDS) + ") * count(*), 6) AS wss FROM given_assigned GROUP BY 1", "given_assigned")
 
 oracle("regularity_features", """
-SELECT customer_key, median_time, round(sd_time,6) AS sd_time, round(median_scaled,6) AS median_scaled, round(sd_scaled,6) AS sd_scaled FROM
- (SELECT *, (median_time - avg(median_time) OVER ()) / stddev_samp(median_time) OVER () AS median_scaled,
-   (sd_time - avg(sd_time) OVER ()) / stddev_samp(sd_time) OVER () AS sd_scaled
-  FROM (SELECT customer_key, median(secs) AS median_time, stddev_samp(secs) AS sd_time FROM cust GROUP BY 1))
-WHERE median_time IS NOT NULL AND sd_time IS NOT NULL""", "cust")
+SELECT customer_key, median_time, round(sd_time,6) AS sd_time, round(median_scaled,6) AS median_scaled, round(sd_scaled,6) AS sd_scaled
+FROM regularity""", "regularity")
 
 oracle("centroid_profile", "SELECT *, CAST(row_number() OVER (PARTITION BY centroid ORDER BY list_position([" + ", ".join(
     f"'{b}'" for b in BANDS) + "], name)) AS INT) AS row FROM (" + " UNION ALL ".join(
@@ -761,5 +771,45 @@ for _k in range(1, _ELBOW + 1):
             _text = _text.replace(f" {_table}", f" e{_k}_{_table}")
         _extra.append((_n if _n == "counted" else f"e{_k}_{_n}", _text))
     _parts.append(f"SELECT {_k} AS modes, round(sum(d * n) / {_k}.0, 6) AS mean_within FROM e{_k}_final")
-for _name in ("ml9_modes_elbow", "ml9_modes_elbow_long"):
-    oracle(_name, " UNION ALL ".join(_parts), "profile", extra=_extra)
+oracle("ml9_modes_elbow", " UNION ALL ".join(_parts), "profile", extra=_extra)
+
+# ---- k-means: fits by recursion ------------------------------------------------------------
+
+_BAND_COLUMNS = [f"{b}_scaled" for b in BANDS]
+_HOUR_COLUMNS = [f"h{h}_scaled" for h in range(24)]
+_REGULAR_COLUMNS = ["median_scaled", "sd_scaled"]
+
+
+def _whole(view: str) -> str:
+    return f"SELECT 1 AS part, * FROM {view}"
+
+
+def _elbow_oracle(name: str, view: str, columns: list[str]) -> None:
+    steps = cluster.fixed(_whole(view), columns, range(1, 26))
+    oracle(name, "SELECT CAST(k AS INT) AS centroids, round(wss, 6) AS wss FROM km_fit", view, extra=steps)
+
+
+_BAND_FITS = cluster.fixed(_whole("band_scaled"), _BAND_COLUMNS, [3, 6])
+_BAND_NUMBERS = ", ".join(f"{cluster.numbered(_BAND_COLUMNS, f'k = {k}')} AS segment{i}" for i, k in ((1, 3), (2, 6)))
+oracle("ml2_ml4_fitted_centroids", cluster.centre_rows(_BAND_COLUMNS, _BAND_COLUMNS), "band_scaled",
+       extra=cluster.fixed(_whole("band_scaled"), _BAND_COLUMNS, [3]))
+oracle("ml6_estimated_centroids", cluster.centre_rows(_BAND_COLUMNS, _BAND_COLUMNS), "band_scaled",
+       extra=cluster.estimated(_whole("band_scaled"), _BAND_COLUMNS, 10))
+_elbow_oracle("elbow_curve", "band_scaled", _BAND_COLUMNS)
+_elbow_oracle("elbow_curve_hours", "hour_scaled", _HOUR_COLUMNS)
+_elbow_oracle("elbow_curve_regularity", "regularity", _REGULAR_COLUMNS)
+oracle("band_segments", "SELECT customer_key, " + ", ".join(f"round({b}, 6) AS {b}" for b in BANDS)
+       + f", {_BAND_NUMBERS} FROM band_shares JOIN band_scaled USING (customer_key)", "band_scaled", extra=_BAND_FITS)
+oracle("segment_feature_table_fitted", "SELECT h.time_1, h.time_2, " + ", ".join(f"round({b}, 6) AS {b}" for b in BANDS)
+       + f", {_BAND_NUMBERS} FROM habits h JOIN band_shares USING (customer_key) JOIN band_scaled USING (customer_key)",
+       "habits", "band_scaled", extra=_BAND_FITS)
+oracle("hour_segments", "SELECT customer_key, " + ", ".join(f"round(h{h}, 6) AS h{h}" for h in range(24))
+       + f", {cluster.numbered(_HOUR_COLUMNS)} AS segment FROM hour_shares JOIN hour_scaled USING (customer_key)", "hour_scaled",
+       extra=cluster.estimated(_whole("hour_scaled"), _HOUR_COLUMNS, 10))
+oracle("regularity_segments", "SELECT customer_key, " + ", ".join(
+    c if c == "median_time" else f"round({c}, 6) AS {c}" for c in ("median_time", "sd_time", "median_scaled", "sd_scaled"))
+    + f", {cluster.numbered(_REGULAR_COLUMNS)} AS cluster FROM regularity", "regularity", extra=cluster.fixed(_whole("regularity"), _REGULAR_COLUMNS, [4]))
+oracle("cluster_stability", cluster.centre_rows(_BAND_COLUMNS, _BAND_COLUMNS, part="CAST(part AS INT) AS replicate, "), "band_scaled",
+       extra=cluster.estimated(
+           f"SELECT r.part, b.* FROM band_scaled b, (SELECT unnest(range(1, 11)) AS part) r WHERE {position('customer_key', '(62 + r.part)')} < 0.75",
+           _BAND_COLUMNS, 3))

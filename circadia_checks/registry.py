@@ -515,16 +515,14 @@ def rsh2_pivot_counts(v):
 
 @query
 def rsh3_densify(v):
-    fact = ev.recent(v.reader_fact(), AS_OF, 7)
-    e = ev.timed(fact, v.time_of_day(), ["product_key"])
+    e = ev.timed(v.reader_fact(), v.time_of_day(), ["product_key"])
     counts = e.groupBy("product_key", "hour").agg(F.count("*").alias("n"))
     return grid.densify(counts, ["product_key"], {"hour": range(24)}, "n")
 
 
 @query
 def rsh3_densify_inside(v):
-    fact = ev.recent(v.reader_fact(), AS_OF, 7)
-    e = ev.timed(fact, v.time_of_day(), ["product_key"])
+    e = ev.timed(v.reader_fact(), v.time_of_day(), ["product_key"])
     counts = e.groupBy("product_key", "hour").agg(F.count("*").alias("n"))
     everything = v.product().select(F.col("product_key").cast("int").alias("product_key"))
     return grid.densify(counts, ["product_key"], {"hour": range(24)}, "n", domain=everything, keep_outside=False)
@@ -723,11 +721,6 @@ def ml9_modes_elbow(v):
     return segments.profile_elbow(profiles(v))
 
 
-@query
-def ml9_modes_elbow_long(v):
-    return segments.profile_elbow(profiles(v))
-
-
 @query
 def udf1_customer_centers(v):
     return peaks.customer_centers(customer_events(v), ["customer_key"])

@@ -98,3 +98,92 @@ def test_several_fits_equal_single_fits(profiles):
     for k, state in together.items():
         alone = kmodes.fit(profiles, ["u", "v", "w"], k)
         assert alone.modes == state.modes and alone.within == state.within
+
+
+def _lloyd(points, centers):
+    """Plain rounds on rows in memory, by the module's rules."""
+    points = np.round(points * kmeans.UNIT) / kmeans.UNIT
+    while True:
+        d = ((points[:, None, :] - centers[None]) ** 2).sum(2)
+        own = d.argmin(1)
+        moved = np.array([points[own == c].mean(0) if (own == c).any() else centers[c] for c in range(len(centers))])
+        if np.abs(moved - centers).max() <= kmeans.TOLERANCE:
+            return centers, d.min(1).sum()
+        centers = moved
+
+
+@pytest.fixture(scope="module")
+def cloud(spark):
+    rng = np.random.default_rng(8)
+    points = np.concatenate([rng.normal(c, s, (90, 2)) for c, s in (((0, 0), 0.3), ((4, 1), 0.6), ((9, -3), 0.2), ((2, 7), 0.9))])
+    points = np.concatenate([points, points[:40]])
+    rows = [(i, float(x), float(y), "n") for i, (x, y) in enumerate(points)] + [(900, None, 1.0, "n"), (901, 0.0, None, "n")]
+    return points, spark.createDataFrame(rows, "id int, a double, b double, n string")
+
+
+def _start(df, k):
+    with kmeans._collapsed(df, COLUMNS) as rows:
+        return kmeans._far_apart(rows.samples(1, 62)[0], k)
+
+
+@pytest.mark.parametrize("task_rows", [20_000, 30])
+def test_fits_equal_plain_rounds_in_any_layout(monkeypatch, cloud, task_rows):
+    monkeypatch.setattr(kmeans, "TASK_ROWS", task_rows)
+    points, df = cloud
+    known = None
+    for parts in (1, 8, 13):
+        found = kmeans.fit_each(df.repartition(parts), COLUMNS, [1, 2, 5, 9])
+        known = known or found
+        assert [(f.centers, f.wss) for f in found] == [(f.centers, f.wss) for f in known]
+    for f in known:
+        centers, wss = _lloyd(points, _start(df, f.k))
+        assert f.centers == pytest.approx(np.array(sorted(centers.tolist())), abs=1e-8)
+        assert f.wss == pytest.approx(wss, rel=1e-9)
+
+
+@pytest.mark.parametrize("task_rows", [20_000, 30])
+def test_estimated_number_does_not_depend_on_the_layout(monkeypatch, cloud, task_rows):
+    monkeypatch.setattr(kmeans, "TASK_ROWS", task_rows)
+    found = [kmeans.estimate_k(cloud[1].repartition(parts), COLUMNS, 8, cutoff=0.3) for parts in (1, 8, 13)]
+    assert {f.k for f in found} == {4}
+    assert all(f.centers == found[0].centers and f.wss == found[0].wss for f in found)
+
+
+def test_one_task_and_many_tasks_agree(monkeypatch, cloud):
+    ways = []
+    for task_rows in (20_000, 30):
+        monkeypatch.setattr(kmeans, "TASK_ROWS", task_rows)
+        ways.append([(f.centers, f.wss) for f in kmeans.fit_each(cloud[1], COLUMNS, range(1, 7))])
+    assert ways[0] == ways[1]
+
+
+def test_replicates_equal_separate_fits(cloud):
+    df = cloud[1]
+    table = kmeans.stability(df, ["id"], COLUMNS, replicates=4, k_max=5)
+    for r in range(1, 5):
+        alone = kmeans.estimate_k(df.where(kmeans.in_split(["id"], 0.75, 62 + r)), COLUMNS, 5)
+        got = [[x["a"], x["b"]] for x in table.where(F.col("replicate") == r).orderBy("centroid").collect()]
+        assert got == alone.centers
+
+
+def test_replicates_beyond_one_number_of_bits(monkeypatch, cloud):
+    whole = kmeans.stability(cloud[1], ["id"], COLUMNS, replicates=5, k_max=2).collect()
+    monkeypatch.setattr(kmeans, "MOST_REPLICATES", 2)
+    assert kmeans.stability(cloud[1], ["id"], COLUMNS, replicates=5, k_max=2).collect() == whole
+
+
+def test_unknown_features_have_no_cluster(cloud):
+    found = kmeans.fit(cloud[1], COLUMNS, 3)
+    assert {r["id"] for r in found.assign(cloud[1]).where("cluster is null").collect()} == {900, 901}
+
+
+def test_rounds_have_a_limit(monkeypatch, cloud):
+    for task_rows in (20_000, 30):
+        monkeypatch.setattr(kmeans, "TASK_ROWS", task_rows)
+        with pytest.raises(RuntimeError):
+            kmeans.fit(cloud[1], COLUMNS, 9, max_iter=1)
+
+
+def test_no_rows(spark):
+    with pytest.raises(ValueError):
+        kmeans.fit(spark.createDataFrame([(None, 1.0)], "a double, b double"), COLUMNS, 2)
