@@ -110,13 +110,23 @@ def drop_outliers(
     width: float = 2.0,
     unknown: str = "skip",
     few_groups: bool = False,
+    approximate: bool = False,
 ) -> DataFrame:
     """Rows that pass the outlier rule of their group; statistics are over the whole group.
 
+    ``approximate`` takes the median from a sketch (see ``sketches``): no value is counted, the spread stays exact.
+
     ``few_groups`` is for keys of a small domain, such as weekdays: if there are at most ``FEW`` groups,
     their statistics are sent to the rows, which need no shuffle; else rows and statistics are joined.
     """
-    stats = median_and_sd(histogram(df, keys, value), keys, value, unknown=unknown)
+    if approximate:
+        from . import sketches
+
+        if unknown != "skip":
+            raise ValueError("sketches leave unknown values out")
+        stats = sketches.median_and_sd(df, keys, value)
+    else:
+        stats = median_and_sd(histogram(df, keys, value), keys, value, unknown=unknown)
     if few_groups and df.select(*keys).distinct().limit(FEW + 1).count() <= FEW:
         stats = F.broadcast(stats)
     joined = null_safe_join(df, stats, keys)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.calendar import weekday_label
 from ..functions.semantics import count_distinct
 from ..functions.text import log_intensity
+from ..operators import sketches
 from ..operators.grid import densify
 from ..operators.ranking import share_of_group, sorted_rows
 from .events import HOURS, WEEK_GRID, customer_events
@@ -100,6 +101,8 @@ def product_time_profile(themed_events: DataFrame, product: int) -> DataFrame:
     return _counts(themed_events.where(F.col("product_key") == product), "secs")
 
 
-def column_cardinalities(df: DataFrame) -> DataFrame:
-    """Distinct values of every column, null counted as one."""
+def column_cardinalities(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """Distinct values of every column, null counted as one; ``approximate`` estimates them in one pass by sketches."""
+    if approximate:
+        return sketches.distinct_counts(sketches.distinct_sketches(df, [], df.columns), [], df.columns)
     return df.agg(*[count_distinct(F.col(c)).alias(c) for c in df.columns])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.calendar import date_of_key, days_before, key_of_date
 from ..functions.clock import minutes, whole_minutes
+from ..operators import sketches
 from ..operators.joins import null_safe_join
 from ..operators.ranking import sorted_rows, top_n_with_ties
 from ..operators.stats import exact_median
+from ..session import cut_lineage
 
 
 def clean_durations(durations: DataFrame, as_of=None, settle_days: int = 3) -> DataFrame:
@@ -44,11 +48,12 @@ def daily_consumption(clean: DataFrame) -> DataFrame:
     })
 
 
-def daily_customer_minutes(clean: DataFrame) -> DataFrame:
-    """Median and mean minutes per customer, by day."""
+def daily_customer_minutes(clean: DataFrame, approximate: bool = False) -> DataFrame:
+    """Median and mean minutes per customer, by day; ``approximate`` takes the median from a sketch per day."""
     spent = clean.groupBy("date", "customer_key").agg(minutes(F.sum("msec")).alias("t"))
     means = spent.groupBy("date").agg(F.avg("t").alias("mean"))
-    return null_safe_join(exact_median(spent, ["date"], "t"), means, ["date"])
+    middle = sketches.medians(spent, ["date"], "t") if approximate else exact_median(spent, ["date"], "t")
+    return null_safe_join(middle, means, ["date"])
 
 
 def daily_titles_per_customer(clean: DataFrame, distinct_titles: bool = False) -> DataFrame:
@@ -62,26 +67,38 @@ def average_daily_minutes(clean: DataFrame) -> DataFrame:
     return daily.agg(F.avg("time").alias("avg_time"))
 
 
-def member_usage(
-    members: DataFrame, reads: DataFrame, durations: DataFrame, since: int, suffix: str = ""
-) -> DataFrame:
-    """Buckets read and whole minutes spent since a calendar key, per member with the benefit.
+def _usage_since(members: DataFrame, reads: DataFrame, durations: DataFrame, periods: Mapping[str, int]) -> DataFrame:
+    """Per member with the benefit: buckets read, whole minutes and duration rows since each period's calendar key.
 
-    Both facts shrink to one row per customer before they meet the members. A member needs rows
-    in both facts.
+    Both facts are read once for all periods and shrink to one row per customer before they meet the members.
     """
     entitled = members.where(F.col("streaming_benefit") == "Yes").select("customer_key", "email")
-    buckets = (
-        reads.where(F.col("date_key") >= since).groupBy("customer_key").agg(F.count("*").alias(f"n_buckets{suffix}"))
-    )
-    spent = (
-        durations.where(F.col("read_duration_date_key") >= since)
-        .groupBy("customer_key")
-        .agg(F.sum(whole_minutes(F.col("milliseconds_spent"))).alias(f"total_minutes{suffix}"))
+    first, read, spent_on = min(periods.values()), F.col("date_key"), F.col("read_duration_date_key")
+    buckets = reads.where(read >= first).groupBy("customer_key").agg(
+        *[F.count_if(read >= since).alias(f"n_buckets{name}") for name, since in periods.items()]
     )
+    totals = []
+    for name, since in periods.items():
+        inside = spent_on >= since
+        totals.append(F.sum(F.when(inside, whole_minutes(F.col("milliseconds_spent")))).alias(f"total_minutes{name}"))
+        totals.append(F.count_if(inside).alias(f"_durations{name}"))
+    spent = durations.where(spent_on >= first).groupBy("customer_key").agg(*totals)
     return entitled.join(buckets, "customer_key").join(spent, "customer_key").drop("customer_key")
 
 
+def _of_period(usage: DataFrame, name: str) -> DataFrame:
+    """Members with rows in both facts in the period."""
+    both = (F.col(f"n_buckets{name}") > 0) & (F.col(f"_durations{name}") > 0)
+    return usage.where(both).select("email", f"n_buckets{name}", f"total_minutes{name}")
+
+
+def member_usage(
+    members: DataFrame, reads: DataFrame, durations: DataFrame, since: int, suffix: str = ""
+) -> DataFrame:
+    """Buckets read and whole minutes spent since a calendar key, per member with the benefit and rows in both facts."""
+    return _of_period(_usage_since(members, reads, durations, {suffix: since}), suffix)
+
+
 def top_members(
     members: DataFrame,
     reads: DataFrame,
@@ -91,8 +108,11 @@ def top_members(
     n: int = 1000,
     rank_by: str = "total_minutes_ytd",
 ) -> DataFrame:
-    """Members of both periods, the n strongest with ties, most recent buckets first."""
-    recent = member_usage(members, reads, durations, since_recent, "_recent")
-    whole = member_usage(members, reads, durations, since_start, "_ytd")
-    joined = null_safe_join(recent, whole, ["email"])
+    """Members of both periods, the n strongest with ties, most recent buckets first.
+
+    Both periods come from one pass over each fact, whose result (a row per member) is stored: the periods meet
+    by address, and the threshold of the ranking reads them again.
+    """
+    usage = cut_lineage(_usage_since(members, reads, durations, {"_recent": since_recent, "_ytd": since_start}))
+    joined = null_safe_join(_of_period(usage, "_recent"), _of_period(usage, "_ytd"), ["email"])
     return sorted_rows(top_n_with_ties(joined, rank_by, n), "-n_buckets_recent", "email")

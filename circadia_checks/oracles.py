@@ -362,6 +362,13 @@ oracle("agg5_count_distinct", """
 SELECT weekday, count(DISTINCT hour) + max(CASE WHEN hour IS NULL THEN 1 ELSE 0 END) AS hours, count(DISTINCT hour) AS known_hours
 FROM cust GROUP BY 1""", "cust")
 oracle("agg7_median", "SELECT l_linenumber, round(median(l_extendedprice),6) AS median FROM lineitem GROUP BY 1")
+oracle("agg5_approximate_users", """
+SELECT date_key, count(DISTINCT customer_key) AS users, true AS within_error FROM timed WHERE date_key >= 20231217 AND customer_key <> -1 GROUP BY 1
+UNION ALL SELECT 0, count(DISTINCT customer_key), true FROM cust""", "timed", "cust")
+oracle("agg6_approximate_cardinalities", " UNION ALL ".join(
+    f"SELECT '{c}' AS name, count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS n, true AS within_error FROM theme_category WHERE thema_category_key > 0"
+    for c in ("thema_category_key", "level1_danish", "level1_english", "name_english", "category_group", "category")), "theme_category")
+oracle("agg7_approximate_median", "SELECT l_linenumber, count(*) AS n, true AS within_error FROM lineitem GROUP BY 1")
 oracle("agg8_standard_deviation", "SELECT customer_key, median(secs) AS median, round(stddev_samp(secs),6) AS sd FROM cust GROUP BY 1", "cust")
 oracle("agg9_mean", "SELECT product_key, round(avg(msec),6) AS mean_msec FROM clean GROUP BY 1", "clean")
 oracle("agg10_min_max", "SELECT weekday, min(secs) AS first_secs, max(secs) AS last_secs FROM cust GROUP BY 1", "cust")

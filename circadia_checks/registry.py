@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from circadia.functions import calendar as cal, clock, semantics as sem, text
-from circadia.operators import density, grid, joins, kmeans, peaks, ranking, sampling, scaling, stats
+from circadia.operators import density, grid, joins, kmeans, peaks, ranking, sampling, scaling, sketches, stats
 from circadia.plans import activity, completion, densities, events as ev, habits, segments, usage
 from circadia.session import scratch_path
 from circadia.sources import delimited, warehouse
@@ -370,6 +370,49 @@ def agg5_count_distinct(v):
     )
 
 
+@query
+def agg5_approximate_users(v):
+    """Users per day and over all days from one stored sketch a day, beside the exact numbers."""
+    e, error = ev.recent(v.reader_fact(), AS_OF, 45).where("customer_key <> -1").select("date_key", "customer_key"), sketches.distinct_error()
+    daily = sketches.distinct_sketches(e, ["date_key"], ["customer_key"])
+    whole = sketches.merged_distinct(daily, [], ["customer_key"])
+    near = sketches.distinct_counts(daily, ["date_key"], ["customer_key"]).unionByName(
+        sketches.distinct_counts(whole, [], ["customer_key"]).withColumn("date_key", F.lit(0)))
+    users = F.count_distinct("customer_key").alias("users")
+    exact = e.groupBy("date_key").agg(users).unionByName(e.agg(users).withColumn("date_key", F.lit(0)))
+    return exact.join(near, "date_key").select(
+        "date_key", "users", (F.abs(F.col("customer_key") - F.col("users")) <= error * F.col("users")).alias("within_error"))
+
+
+@query
+def agg6_approximate_cardinalities(v):
+    """Every column's estimated distinct values, beside the exact ones; null counts as one."""
+    table = v.theme_category().where(F.col("thema_category_key") > 0)
+    error = sketches.distinct_error()
+    exact = activity.column_cardinalities(table)
+    near = activity.column_cardinalities(table, approximate=True).withColumnsRenamed({c: f"_{c}" for c in table.columns})
+    cells = [
+        F.struct(F.lit(c).alias("name"), F.col(c).alias("n"), (F.abs(F.col(f"_{c}") - F.col(c)) <= error * F.col(c)).alias("within_error"))
+        for c in table.columns
+    ]
+    # one row each
+    return exact.withColumn("_one", F.lit(1)).join(near.withColumn("_one", F.lit(1)), "_one").select(F.inline(F.array(*cells)))
+
+
+@query
+def agg7_approximate_median(v):
+    """Medians of prices by line number from a sketch per line number and shipping year: is their rank near one half?"""
+    items = v.table("lineitem").select("l_linenumber", F.col("l_extendedprice").cast("double").alias("price"), F.year("l_shipdate").alias("year"))
+    yearly = sketches.quantile_sketches(items, ["l_linenumber", "year"], "price")
+    merged = sketches.merged_quantiles(yearly, ["l_linenumber"], "price")
+    near = merged.select("l_linenumber", sketches.quantile("price").alias("median"))
+    ranks = items.join(near, "l_linenumber").groupBy("l_linenumber").agg(
+        F.count("*").alias("n"), F.avg((F.col("price") < F.col("median")).cast("int")).alias("below"),
+        F.avg((F.col("price") <= F.col("median")).cast("int")).alias("upto"))
+    near_half = (F.col("below") - 0.5 <= sketches.RANK_ERROR) & (0.5 - F.col("upto") <= sketches.RANK_ERROR)
+    return ranks.select("l_linenumber", "n", near_half.alias("within_error"))
+
+
 @query
 def agg7_median(v):
     return stats.exact_median(v.table("lineitem"), ["l_linenumber"], "l_extendedprice")
