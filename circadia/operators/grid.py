@@ -70,11 +70,46 @@ def within_names(df: DataFrame, name: str, names: Sequence) -> DataFrame:
     return df.withColumn(name, F.when(known, F.col(name)).otherwise(problem.cast(df.schema[name].dataType)))
 
 
+#: Places that a word of a bit set holds.
+WORD = 62
+
+
+class BitSets:
+    """Sets of values from a short list as a few long columns: ``prefix0``, ``prefix1``, ...
+
+    Whole numbers have the places of their range, other values those of the list.
+    """
+
+    def __init__(self, names: Sequence):
+        self.names = list(names)
+        self.whole = all(isinstance(n, int) and not isinstance(n, bool) for n in self.names)
+        self.low = min(self.names) if self.whole else 0
+        span = max(self.names) - self.low + 1 if self.whole else len(self.names)
+        self.words = range(-(-span // WORD))
+
+    def gathered(self, name: str, prefix: str) -> list[Column]:
+        """Aggregates that put the values of a column together."""
+        place = F.col(name) - self.low if self.whole else F.array_position(F.array(*[F.lit(n) for n in self.names]), F.col(name)) - 1
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % WORD).cast("int"))
+        word = F.floor(place / WORD)
+        return [F.coalesce(F.bit_or(F.when(word == w, bit)), F.lit(0).cast("long")).alias(f"{prefix}{w}") for w in self.words]
+
+    def has(self, name, prefix: str) -> Column:
+        """Whether a value is in the set; whole numbers outside the range are not."""
+        place = name - self.low if self.whole else self.names.index(name)
+        if place // WORD not in self.words:
+            return F.lit(False)
+        return F.getbit(F.col(f"{prefix}{place // WORD}"), F.lit(place % WORD)) == 1
+
+
 def pivot_presence(df: DataFrame, ids: Sequence[str], name: str, names: Sequence) -> DataFrame:
-    """One 0/1 column per value of ``name``: does the id have that value? A value outside ``names`` raises."""
-    df = within_names(df, name, names)
-    wide = df.groupBy(*ids).pivot(name, list(names)).agg(F.max(F.lit(1)))
-    return wide.fillna(0, subset=[str(n) for n in names])
+    """One 0/1 column per value of ``name``: does the id have that value? A value outside ``names`` raises.
+
+    What is aggregated and shuffled is a bit set; columns are laid out at the end.
+    """
+    sets = BitSets(names)
+    found = within_names(df, name, names).groupBy(*ids).agg(*sets.gathered(name, "_set"))
+    return found.select(*ids, *[sets.has(n, "_set").cast("int").alias(str(n)) for n in names])
 
 
 def pivot_values(

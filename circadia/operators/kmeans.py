@@ -16,7 +16,8 @@ Cluster numbers are 1-based and follow the sorted centres. Rows with a null feat
 
 from __future__ import annotations
 
-from collections.abc import Hashable, Iterator, Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -24,11 +25,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
 from .sampling import in_split
 
+# Task code travels with the plan, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rounds after which a fit that still moves raises.
 MAX_ITER = 300
 #: Fixed-point units in one.

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..operators.grid import expand_repeats, pivot_presence, pivot_values, within_names
+from ..operators.grid import BitSets, expand_repeats, pivot_presence, within_names
 from ..operators.ranking import flag_gaps
 
 IDS = ["title", "isbn13", "customer_key"]
@@ -64,8 +64,28 @@ def gap_flags(reads: DataFrame) -> DataFrame:
 
 
 def bucket_gaps(reads: DataFrame, buckets: Sequence[int] = BUCKETS) -> DataFrame:
-    """The matrix with 'gap', '1' or null (not read, or first bucket read) in each cell."""
-    return pivot_values(within_names(gap_flags(reads), "bucket_no", buckets), IDS, "bucket_no", buckets, "gap")
+    """The matrix with 'gap', '1' or null (not read, or first bucket read) in each cell; see ``gap_flags``.
+
+    Buckets are bit sets per title, isbn and reader. One window per reader and title sees a row per isbn and
+    gives the buckets of all of them and of those before; flags follow when the columns are laid out.
+    """
+    sets, title = BitSets(buckets), ["customer_key", "title"]
+    known = within_names(reads, "bucket_no", buckets)
+    own = known.groupBy(*IDS).agg(*sets.gathered("bucket_no", "_own"), F.min("bucket_no").alias("_low"))
+    everyone = Window.partitionBy(*title).orderBy(F.col("isbn13").asc_nulls_last())
+    earlier = everyone.rowsBetween(Window.unboundedPreceding, -1)
+    whole = everyone.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = own.withColumns({
+        **{f"_all{w}": F.bit_or(f"_own{w}").over(whole) for w in sets.words},
+        **{f"_before{w}": F.coalesce(F.bit_or(f"_own{w}").over(earlier), F.lit(0).cast("long")) for w in sets.words},
+        "_first": F.min("_low").over(whole),
+    })
+
+    def cell(b: int) -> Column:
+        follows = F.when(sets.has(b - 1, "_all"), "1").when(F.col("_first") != b, "gap")
+        return F.when(sets.has(b, "_own"), F.when(sets.has(b, "_before"), "gap").otherwise(follows)).alias(str(b))
+
+    return placed.select(*IDS, *[cell(b) for b in buckets])
 
 
 def bucket_rows(reads: DataFrame, buckets: Sequence[int] = BUCKETS) -> DataFrame:

@@ -1,5 +1,7 @@
 """Numbering, medians, densities, repeats and samples on data with a very hot key."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +157,26 @@ def test_pivot_many_names_columns(spark):
     assert got == {"k": 1, "time_1": 10, "wss_1": 5, "time_2": 20, "wss_2": 3, "time_3": None, "wss_3": None}
     single = grid.pivot_many(long, ["k"], "c", [1, 2], ["time"]).first().asDict()
     assert single == {"k": 1, "time_1": 10, "time_2": 20}
+
+
+def test_bit_sets_hold_any_list(spark, rows):
+    df = spark.createDataFrame([(1, "b"), (1, "d"), (2, "a"), (3, None)], "k int, v string")
+    assert rows(grid.pivot_presence(df, ["k"], "v", ["d", "a", "b"])) == [(1, 1, 0, 1), (2, 0, 1, 0), (3, 0, 0, 0)]
+    wide = spark.createDataFrame([(1, n) for n in (-70, -1, 0, 61, 62, 130)] + [(2, 5)], "k int, v int")
+    names = [-70, -1, 0, 5, 61, 62, 130]
+    assert rows(grid.pivot_presence(wide, ["k"], "v", names)) == [(1, 1, 1, 1, 0, 1, 1, 1), (2, 0, 0, 0, 1, 0, 0, 0)]
+
+
+def test_gap_matrix_equals_the_flags_bucket_by_bucket(spark):
+    rng = random.Random(6)
+    reads = [
+        (f"t{rng.randint(1, 3)}", rng.choice(["i1", "i2", "i3", None]), rng.randint(1, 6), rng.choice([rng.randint(1, 100), rng.randint(60, 66)]), rng.randint(1, 3))
+        for _ in range(900)
+    ]
+    df = spark.createDataFrame(reads, "title string, isbn13 string, customer_key long, bucket_no int, n long").repartition(5)
+    flags = {(r["title"], r["isbn13"], r["customer_key"], r["bucket_no"]): r["gap"] for r in completion.gap_flags(df).collect()}
+    found = completion.bucket_gaps(df).collect()
+    assert len(found) == len({k[:3] for k in flags})
+    for r in found:
+        for b in range(1, 101):
+            assert r[str(b)] == flags.get((r["title"], r["isbn13"], r["customer_key"], b)), (r, b)
