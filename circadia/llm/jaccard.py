@@ -549,7 +549,9 @@ def _labelled(docs: DataFrame, block: int) -> DataFrame:
     clusters = components(candidates)
     wanted = classes.drop("spare_own", "spare_below").join(clusters.withColumnRenamed("node", "k1"), "k1")
     wanted = held(wanted, "jaccard-wanted")
-    dealt = in_blocks(_sets_of(docs, wanted), "component", "n_shingles", ["k2", "k1"], block)
+    # written, as dealing reads them more than once
+    sets = held(_sets_of(docs, wanted), "jaccard-wanted-sets")
+    dealt = in_blocks(sets, "component", "n_shingles", ["k2", "k1"], block)
     verified = held(
         dealt.groupBy("task", "large", "i", "j").applyInArrow(_verify, "a binary, b binary, links long"), "jaccard-links"
     )

@@ -5,11 +5,13 @@ day, the intervals of the patterns that cover its URL. A pattern is a host (``b.
 itself and the hosts below it) or a host with a path (``example.com/ads`` covers that path and what
 lies below it). The most specific active entry decides, an allowing one before a blocking one.
 
-Only DataFrame operations: the join is on equal pattern and equal stretch of 32 days, so a pattern's
-captures meet a few intervals each however long its history is; Spark can split a hot pattern's
-captures, and intervals of any number are shuffled like any other table.
+Only DataFrame operations. What is asked is first collapsed to distinct patterns and days, so a hot host is as many
+rows as it has days. Each is then merged, as of its day, with the changes of every list that knows the pattern: one window
+per list and pattern in the order of days takes, of the intervals that have begun, the one that ends last, however long
+an interval is or how far away a day. The captures meet what was decided for their pattern and day in an equal join that Spark can split.
 
-Defined results: a null or unparsable URL or a null day matches nothing and has a null verdict; entries
+Defined results: a null or unparsable URL or a null day matches nothing and has a null verdict; any day of the calendar
+may be asked for; intervals of one entry may overlap (``since`` is then that of the one that ends last); entries
 with a null pattern, day, list or action are left out; a pattern added and removed on one day is removed
 on that day; repeated captures are returned as often as they occur; empty tables give empty results or
 null verdicts. Hosts compare in lower case without port, user and final dot, paths as they are
@@ -22,11 +24,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .storage import picked
 
-#: Days in a stretch of time that captures and intervals are joined by.
-STRETCH = 32
-_ALWAYS = 1 << 30
-
-
 def host(url: Column) -> Column:
     """Host of an absolute URL in lower case; null where there is none."""
     authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
@@ -71,36 +68,30 @@ def covering(url: Column, deepest: Column) -> Column:
     return F.when(name.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(above, paths)))
 
 
+def _decided(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """pattern, _day and _entry: the entry that counts for each asked pattern and day, where one is active."""
+    entry = ["list", "allows", "pattern"]
+    # compared by its end, one that stands after all that end
+    span = F.struct(F.col("until").isNull().alias("stands"), "until", "since")
+    changes = spans.select(*entry, F.col("since").alias("day"), F.lit(0).alias("_asked"), span.alias("_span"))
+    questions = asked.join(spans.select(*entry).distinct(), "pattern").select(*entry, "day", F.lit(1).alias("_asked"))
+    # a change counts from its own day on
+    upto = Window.partitionBy(*entry).orderBy("day", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = changes.unionByName(questions, allowMissingColumns=True).withColumn("_span", F.max("_span").over(upto)).where("_asked = 1")
+    active = merged.where("_span.stands or day < _span.until")
+    best = F.struct(F.length("pattern").alias("specific"), "allows", "list", "pattern", F.col("_span.since").alias("since"))
+    return active.groupBy("pattern", F.col("day").alias("_day")).agg(F.max(best).alias("_entry"))
+
+
 def as_of(captures: DataFrame, spans: DataFrame, key: str = "page_id", url: str = "url", day: str = "day") -> DataFrame:
     """key, url, day, verdict ('allow', 'block' or null), list, pattern and since of the deciding entry."""
     rows = picked(captures, key=key, url=url, day=day).groupBy("key", "url", "day").agg(F.count("*").alias("_times"))
-    known = spans.withColumn("_allows", F.coalesce("allows", F.lit(False)))
+    known = spans.select("list", F.coalesce("allows", F.lit(False)).alias("allows"), "pattern", "since", "until")
     deepest = known.agg(F.coalesce(F.max(F.size(F.split("pattern", "/"))), F.lit(1))).scalar()
-    last = rows.agg(F.max(F.unix_date("day"))).scalar()
-    begins = F.unix_date("since")
-    ends = F.least(F.coalesce(F.unix_date("until"), F.lit(_ALWAYS)), last + 1)
-    known = known.withColumn("_from", begins).withColumn("_to", ends).where("_from < _to")
-    stretch = lambda c: F.call_function("div", c, F.lit(STRETCH))
-    known = known.select(
-        F.col("pattern").alias("_pattern"),
-        "_from",
-        "_to",
-        F.struct(
-            F.length("pattern").alias("specific"), F.col("_allows").alias("allows"), "list", "pattern", "since"
-        ).alias("_entry"),
-        F.explode(F.sequence(stretch(F.col("_from")), stretch(F.col("_to") - 1))).alias("_stretch"),
-    )
     open_ = rows.withColumn("_deepest", deepest)
     open_ = open_.withColumn("_pattern", F.explode_outer(covering(F.col("url"), F.col("_deepest")))).drop("_deepest")
-    open_ = open_.withColumn("_day", F.unix_date("day")).withColumn("_stretch", stretch(F.col("_day")))
-    met = open_.join(
-        known,
-        (open_["_pattern"] == known["_pattern"])
-        & (open_["_stretch"] == known["_stretch"])
-        & (open_["_day"] >= known["_from"])
-        & (open_["_day"] < known["_to"]),
-        "left",
-    )
+    asked = open_.where("_pattern is not null and day is not null").select(F.col("_pattern").alias("pattern"), "day").distinct()
+    met = open_.join(_decided(asked, known), (F.col("_pattern") == F.col("pattern")) & (F.col("day") == F.col("_day")), "left")
     decided = met.groupBy("key", "url", "day", "_times").agg(F.max("_entry").alias("_entry"))
     verdict = F.when(F.col("_entry").isNotNull(), F.when(F.col("_entry.allows"), "allow").otherwise("block"))
     every = decided.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))

@@ -62,6 +62,32 @@ def test_against_brute_force(spark):
     assert urls.as_of(table.where("false"), spans).collect() == []
 
 
+def test_far_days_and_open_entries(spark, tmp_path):
+    """500 entries that stand, and captures in year 9999 and year 1: nothing is laid out over time."""
+    entries = [("spam", False, f"h{i}.net", DAY + dt.timedelta(i % 9), "add") for i in range(500)]
+    captures = [(1, "http://h1.net/x", dt.date(9999, 12, 31)), (2, "http://h2.net/", DAY + dt.timedelta(3)), (3, "http://h3.net/", dt.date(1, 1, 1)), (4, "http://h4.net/", None)]
+    spark.createDataFrame(captures, "page_id long, url string, day date").write.parquet(str(tmp_path / "captures"))
+    spark.createDataFrame(entries, ENTRY).write.parquet(str(tmp_path / "entries"))
+    found = urls.as_of(spark.read.parquet(str(tmp_path / "captures")), urls.intervals(spark.read.parquet(str(tmp_path / "entries"))))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(brute(captures, entries), key=repr)
+    assert {r.page_id for r in found.where("verdict = 'block'").collect()} == {1, 2}
+
+
+def test_only_null_days(spark, tmp_path):
+    spark.createDataFrame([(1, "http://a.net/", None), (2, None, None)], "page_id long, url string, day date").write.parquet(str(tmp_path / "c"))
+    spans = urls.intervals(spark.createDataFrame([("spam", False, "a.net", DAY, "add")], ENTRY))
+    found = urls.as_of(spark.read.parquet(str(tmp_path / "c")), spans).collect()
+    assert sorted((r.page_id, r.verdict) for r in found) == [(1, None), (2, None)]
+
+
+def test_overlapping_spans(spark):
+    """Given by hand, or of a list that says allows = false once and null once."""
+    spans = [("l", None, "a.net", DAY, None), ("l", False, "a.net", DAY + dt.timedelta(4), DAY + dt.timedelta(5))]
+    table = spark.createDataFrame(spans, "list string, allows boolean, pattern string, since date, until date")
+    captures = spark.createDataFrame([(d, "http://a.net/", DAY + dt.timedelta(d)) for d in (-1, 0, 4, 9)], "page_id long, url string, day date")
+    assert {r.page_id: r.verdict for r in urls.as_of(captures, table).collect()} == {-1: None, 0: "block", 4: "block", 9: "block"}
+
+
 def test_registered_with_sql():
     assert "op6_url_lists_as_of" in QUERIES and "op6_url_lists_as_of" in ORACLES
 
