@@ -242,13 +242,30 @@ def _from_deviations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sums() -> list[Column]:
+    n = F.col("times")
     return [
-        F.count("*").alias("n"),
-        *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMENSIONS)],
-        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _PAIRS],
+        F.sum(n).alias("n"),
+        *[F.sum(n * F.col(f"x{i}")).alias(f"s{i}") for i in range(DIMENSIONS)],
+        *[F.sum(n * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _PAIRS],
     ]
 
 
+#: Parts whose estimates may be sent to all tasks (some 300 bytes each).
+FEW_PARTS = 4096
+#: Vectors that make a task worth starting.
+TASK_ROWS = 100_000
+
+
+def _sent(df: DataFrame, few: bool) -> DataFrame:
+    """``df``, of a row or three per part, for a join: sent to all tasks if there are few parts."""
+    return F.broadcast(df) if few else df
+
+
+def _in_few_tasks(df: DataFrame, few: bool) -> DataFrame:
+    """Three rows per part, of few parts, are a small table: not a task per shuffle partition."""
+    return df.coalesce(2) if few else df
+
+
 def _concentrated(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """One concentration step of every part and start."""
     far = F.floor(8 * F.log2(_distance() + 2.0**-20)).cast("int")
@@ -262,12 +279,12 @@ def _concentrated(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return sums.mapInPandas(_from_sums, _ESTIMATE)
 
 
-def _followed(moved: DataFrame, before: DataFrame, restart: bool) -> DataFrame:
+def _followed(moved: DataFrame, before: DataFrame, restart: bool, few: bool) -> DataFrame:
     """``moved`` with what is known of its way: ``mark`` of the estimate, ``stone`` (the mark at the last
     restart), ``best`` (since then) and ``done``: it stands still, or has come back to the stone."""
     own = F.struct("log_det", "rows", "mean", "precision")
     known = before.select("part", "start", F.col("mark").alias("_last"), F.col("stone").alias("_stone"), F.col("best").alias("_best"))
-    joined = moved.withColumn("mark", F.xxhash64("rows", "mean", "precision")).join(known, ["part", "start"])
+    joined = moved.withColumn("mark", F.xxhash64("rows", "mean", "precision")).join(_sent(known, few), ["part", "start"])
     still, back = F.col("mark") == F.col("_last"), F.col("mark") == F.col("_stone")
     best = F.when(still, own).otherwise(F.least("_best", own))
     return joined.select(
@@ -281,31 +298,35 @@ def _followed(moved: DataFrame, before: DataFrame, restart: bool) -> DataFrame:
 def estimates(rows: DataFrame, max_steps: int = 200) -> DataFrame:
     """The estimate of every part: mean, precision (inverse covariance) and rows it rests on.
 
-    ``rows`` has part and x0, x1, ... Each start goes on until it stands still. Classes of equal distance
+    ``rows`` has part, x0, x1, ... and, where equal vectors are one row, how many ``times`` they occur. Each start goes on until it stands still. Classes of equal distance
     can make it go round: a stone is laid at steps 1, 2, 4, 8, ..., and a start that comes back to its
     stone has been all the way round. One that has done neither after ``max_steps`` raises.
     """
+    if "times" not in rows.columns:
+        rows = rows.withColumn("times", F.lit(1).cast("long"))
     quartiles = rows.groupBy("part").agg(
-        F.lit(-1).alias("start"), F.count("*").alias("n"),
-        *[F.expr(f"percentile(x{i}, array(0.25, 0.5, 0.75))").alias(f"q{i}") for i in range(DIMENSIONS)],
+        F.lit(-1).alias("start"), F.sum("times").alias("n"),
+        *[F.expr(f"percentile(x{i}, array(0.25, 0.5, 0.75), times)").alias(f"q{i}") for i in range(DIMENSIONS)],
     )
     quartiles = cut_lineage(quartiles)
+    few = quartiles.count() <= FEW_PARTS
     whole = rows.groupBy("part").agg(F.lit(-2).alias("start"), *_sums())
     middles = quartiles.select("part", F.array(*[F.col(f"q{i}")[1] for i in range(DIMENSIONS)]).alias("middle"))
-    off = [F.expr(f"percentile(abs(x{i} - middle[{i}]), 0.5)") for i in range(DIMENSIONS)]
-    deviations = rows.join(middles, "part").groupBy("part").agg(F.lit(-3).alias("start"), F.count("*").alias("n"), F.array(*off).alias("off"))
+    off = [F.expr(f"percentile(abs(x{i} - middle[{i}]), 0.5, times)") for i in range(DIMENSIONS)]
+    deviations = rows.join(_sent(middles, few), "part").groupBy("part").agg(F.lit(-3).alias("start"), F.sum("times").alias("n"), F.array(*off).alias("off"))
     starts = [
         quartiles.mapInPandas(_from_quartiles, _ESTIMATE), whole.mapInPandas(_from_sums, _ESTIMATE),
-        deviations.join(middles, "part").mapInPandas(_from_deviations, _ESTIMATE),
+        deviations.join(_sent(middles, few), "part").mapInPandas(_from_deviations, _ESTIMATE),
     ]
     current = starts[0].unionByName(starts[1]).unionByName(starts[2]).withColumn("start", -1 - F.col("start"))
+    current = _in_few_tasks(current, few)
     unknown = F.lit(None).cast("struct<log_det: double, rows: bigint, mean: array<double>, precision: array<double>>")
     nothing = F.lit(None).cast("long")
     current = cut_lineage(current.withColumns({"mark": nothing, "stone": nothing, "best": unknown}))
     finished = []
     for step in range(1, max_steps + 1):
-        moved = _concentrated(rows, current.select("part", "start", "mean", "precision"))
-        followed = cut_lineage(_followed(moved, current, restart=step & (step - 1) == 0))
+        moved = _in_few_tasks(_concentrated(rows, _sent(current.select("part", "start", "mean", "precision"), few)), few)
+        followed = cut_lineage(_followed(moved, current, restart=step & (step - 1) == 0, few=few))
         left, ended = followed.agg(F.count_if(~F.col("done")), F.count_if("done")).first()
         if ended:
             finished.append(followed.where("done").select("part", "start", "best"))
@@ -341,10 +362,14 @@ def judged(docs: DataFrame, carry: list[str], tail: float = TAIL) -> DataFrame:
     """row (the ``carry`` columns), the counts, base_failed, distance (null if base_failed) and kept."""
     rows = held(counted(docs, carry).withColumn("base_failed", base_failed()), "quality-counts")
     good = rows.where("not base_failed").select("lang", "source", *COUNTS)
-    vectors = held(_with_vector(parted(good)).select("part", "lang", "source", *[f"x{i}" for i in range(DIMENSIONS)]), "quality")
-    found = estimates(vectors)
+    named = [f"x{i}" for i in range(DIMENSIONS)]
+    # equal vectors are one row: copies, and texts without symbols or repeats, are often equal
+    vectors = _with_vector(parted(good)).groupBy("part", "lang", "source", *named).agg(F.count("*").alias("times"))
+    vectors = held(vectors, "quality")
+    found = cut_lineage(estimates(vectors.coalesce(1 + vectors.count() // TASK_ROWS)))
     parts = vectors.select("part", F.col("lang").alias("_lang"), F.col("source").alias("_source")).distinct()
-    known = parts.join(found, "part")
+    known = cut_lineage(parts.join(_sent(found, found.count() <= FEW_PARTS), "part"))
+    known = _sent(known, known.count() <= FEW_PARTS)
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     measured = _with_vector(rows.join(known, same & ~F.col("base_failed"), "left"))
     limit = chi_square_quantile(1 - tail, DIMENSIONS)
