@@ -206,7 +206,8 @@ def packed(items: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = (
     within = Window.partitionBy("length", "_share").orderBy(*keys)
     numbered = (
         ranked.withColumn("_rank", F.row_number().over(within))
-        .join(offsets.select("length", "_share", "_before"), ["length", "_share"])
+        # both sides are dealt by these columns for their ranks; the offsets grow with the lengths and shares, so they are not sent
+        .join(offsets.select("length", "_share", "_before").hint("merge"), ["length", "_share"])
         .withColumn("_rank", F.col("_before") + F.col("_rank") - 1)
     )
     schema = items.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
