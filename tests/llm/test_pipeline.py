@@ -40,7 +40,7 @@ def test_stages_take_odd_and_no_documents(spark, odd_docs, no_docs):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "decontamination", "packing"]
     assert all((quality.filtered, lines.filtered, jaccard.one_of_each, decontam.clean))
 
