@@ -29,6 +29,23 @@ _OTHER_SPACE = "[\u0085   -     　\u001c-\u001f]"
 _PLAIN = regex.compile("[\u0000-\u001b -\u0084\u0086-\u009f¡-ɏ]*")
 
 
+_IS_MARK, _IS_LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_IS_MARK[list(b".,;:!?")] = True
+_IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
+# second bytes of U+00C0 to U+00FF, which are letters but for the signs of times and division
+_IS_SECOND = np.zeros(256, bool)
+_IS_SECOND[[b for b in range(128, 192) if b not in (0x97, 0xB7)]] = True
+
+
+def _marks(data: np.ndarray) -> np.ndarray:
+    """Where a mark follows a letter: a piece always ends there, and most words are known without their mark."""
+    at = np.flatnonzero(_IS_MARK[data])
+    at = at[at > 0]
+    before = data[at - 1]
+    letter = _IS_LETTER[before] | (_IS_SECOND[before] & (data[np.maximum(at - 2, 0)] == 0xC3) & (at > 1))
+    return at[letter]
+
+
 def _bytes_as_letters() -> dict[int, str]:
     """Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -88,12 +105,13 @@ class Encoder:
     def encode_word(self, word: bytes) -> bytes:
         text = word.decode()
         body = text[self.leads :]
-        if body and max(body) < "ɐ" and (not self.leads or text[0] == " "):
+        if body and (text.isascii() or max(body) < "ɐ") and (not self.leads or text[0] == " "):
             # letters alone are one piece, and so is a mark after them
             low = body.lower() if self.drops_space else body
             lead = text[: self.leads]
             if low.isalpha():
-                return self.pieces[lead + low]
+                # the word is remembered itself, so its one piece need not be
+                return self.encode_piece(lead + low) if lead else self.pieces[low]
             if low[-1] in ".,;:!?" and low[:-1].isalpha():
                 return self.pieces[lead + low[:-1]] + self.pieces[low[-1]]
         if _PLAIN.fullmatch(text) is None:
@@ -142,7 +160,10 @@ class Encoder:
         data, places = utf8(texts)
         found = words(texts)
         # cut where a word ends; what is left up to a text's end is its last piece
-        cuts = np.unique(np.concatenate([found.end, places]))
+        cut = np.zeros(len(data) + 1, bool)
+        cut[found.end] = cut[places] = True
+        cut[_marks(data)] = True
+        cuts = np.flatnonzero(cut)
         column = pa.Array.from_buffers(
             pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         )

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from circadia.llm import wavelet
@@ -47,3 +48,18 @@ def test_documents_come_back_in_order(odd_docs, odd_rows, no_docs):
         assert r.start == at and len(r.ids) == 4 * r.n_tokens
         at += r.n_tokens
     assert wavelet.read_shards(wavelet.write_shards(no_docs, BYTE_BPE)).collect() == []
+
+
+MARKED = [
+    "", None, " a. b", "x.", "É.é,", "a×.b÷,c", "it's.", "'s.", "é.", "—.", "a,b.c;d!?", "A\n.b. ", "中.文,", "ß!ÿ?À;",
+    "x ., y", "1.2,3", "a. b.", "À×.", "." * 5 + "a." * 9, " .a", " ,", "a.\n\nb,\n ", "Ã.̀,", "<|endoftext|>.",
+]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_equal_the_library(name):
+    known = encoder(public_tokenizers.path(name))
+    for _ in range(2):  # once as new words, once remembered
+        ids, at = known.encode(pa.array(MARKED))
+        for row, text in enumerate(MARKED):
+            assert ids[at[row] : at[row + 1]].tolist() == known.whole.encode(text or "", add_special_tokens=False).ids, text
