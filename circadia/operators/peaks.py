@@ -15,6 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import spread
+from .stats import histogram
 
 # Task code travels with the plan, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -130,17 +131,19 @@ def customer_centers(
     min_distinct: int = 20,
     cutoff: float | None = None,
     standardise: bool = True,
+    counted: str | None = None,
 ) -> DataFrame:
     """Centres per customer with at least ``min_distinct`` different seconds.
 
     Events are counted per customer and second first: a customer is one row with at most 86,400
-    entries, so even one who owns a third of all events is a bounded task.
+    entries, so even one who owns a third of all events is a bounded task. ``counted`` names the
+    weight of rows that are counts already, laid out by customer.
     """
-    counted = events.groupBy(*keys, secs).agg(F.count("*").alias("n"))
+    seconds = histogram(events, keys, secs, counted=counted)
     pair = F.when(F.col(secs).isNotNull(), F.struct(F.col(secs).alias("s"), F.col("n").alias("n")))
     # A missing second is one more value for the gate, but no point to cluster.
     customers = (
-        spread(counted, *keys)
+        (spread(seconds, *keys) if counted is None else seconds)
         .groupBy(*keys)
         .agg(F.collect_list(pair).alias("_pairs"), F.count("*").alias("_values"))
         .where((F.col("_values") >= min_distinct) & (F.size("_pairs") > 0))

@@ -24,9 +24,14 @@ def whole_numbers(df: DataFrame, value: str) -> None:
         raise TypeError(f"{value} must be of an integer type, not {kind.simpleString()}")
 
 
-def histogram(df: DataFrame, keys: Sequence[str], value: str, weight: str = "n") -> DataFrame:
+def rows_of(counted: str | None) -> Column:
+    """How many rows a group has; of rows that stand for several, ``counted`` names how many."""
+    return F.count("*") if counted is None else F.sum(counted)
+
+
+def histogram(df: DataFrame, keys: Sequence[str], value: str, weight: str = "n", counted: str | None = None) -> DataFrame:
     """Rows per key and value."""
-    return df.groupBy(*keys, value).agg(F.count("*").alias(weight))
+    return df.groupBy(*keys, value).agg(rows_of(counted).alias(weight))
 
 
 def weighted_sd(value: Column, weight: Column, over=None) -> Column:
@@ -134,12 +139,12 @@ def drop_outliers(
     return kept.select(*df.columns)
 
 
-def modal(df: DataFrame, keys: Sequence[str], value: str, name: str = "mode") -> DataFrame:
+def modal(df: DataFrame, keys: Sequence[str], value: str, name: str = "mode", counted: str | None = None) -> DataFrame:
     """Most frequent known value per group, the smallest on a tie; null where none is known.
 
     Rows are counted per key and value first, so what is compared is one row per value.
     """
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts = histogram(df, keys, value, "_n", counted)
     rank = F.when(F.col(value).isNotNull(), F.struct(-F.col("_n"), F.col(value)))
     return counts.groupBy(*keys).agg(F.min_by(value, rank).alias(name))
 

@@ -1,7 +1,8 @@
 """Each customer's habit: modal day and hour, weekend share, median time, typical slot.
 
 Events are counted per customer, weekday and hour (or second) before a customer's rows meet, so
-a customer brings at most 7 x 24 (or 7 x 86,400) rows, however many events there are.
+a customer brings at most 7 x 24 (or 7 x 86,400) rows, however many events there are. ``counted``
+names the weight of rows that are counts already (see ``rhythm``); they are laid out by customer.
 """
 
 from __future__ import annotations
@@ -13,17 +14,18 @@ from ..functions.semantics import null_last
 from ..operators.grid import pivot_values
 from ..operators.joins import full_join_all, null_safe_join
 from ..operators.ranking import top_with_ties
-from ..operators.stats import histogram, keeps, known_or_null, weighted_quantile, weighted_sd
+from ..operators.stats import histogram, keeps, known_or_null, rows_of, weighted_quantile, weighted_sd
 
 KEY = "customer_key"
 
 
-def week_counts(events: DataFrame) -> DataFrame:
+def week_counts(events: DataFrame, counted: str | None = None) -> DataFrame:
     """Events per customer, weekday and hour; the modal tables and the weekend share roll it up.
 
     Laid out by customer once, so none of the roll-ups and joins on top shuffles again.
     """
-    return events.groupBy(KEY, "weekday", "hour").agg(F.count("*").alias("n")).repartition(KEY)
+    counts = events.groupBy(KEY, "weekday", "hour").agg(rows_of(counted).alias("n"))
+    return counts.repartition(KEY) if counted is None else counts
 
 
 def _rolled(counts: DataFrame, *by: str) -> DataFrame:
@@ -58,9 +60,9 @@ def weekend_ratio(counts: DataFrame) -> DataFrame:
     return wide.select(KEY, ratio.alias("weekend_ratio"))
 
 
-def median_time(events: DataFrame, unknown: str = "skip") -> DataFrame:
+def median_time(events: DataFrame, unknown: str = "skip", counted: str | None = None) -> DataFrame:
     """Median second of the day; null where no time is known (or not all, under ``propagate``)."""
-    seconds = histogram(events, [KEY], "secs")
+    seconds = histogram(events, [KEY], "secs", counted=counted)
     median = known_or_null(weighted_quantile("secs", "n", 0.5), F.col("secs"), unknown)
     return seconds.groupBy(KEY).agg(median.alias("median_secs"))
 
@@ -74,14 +76,14 @@ def _most_frequent(sums: dict[str, Column]) -> Column:
     return F.array_min(F.array(*options))["name"]
 
 
-def habit_profile(events: DataFrame) -> DataFrame:
+def habit_profile(events: DataFrame, counted: str | None = None) -> DataFrame:
     """One row per customer with all five habits.
 
     Ties are settled within each habit (alphabetical day, earliest hour), which gives the row
     that settling them after joining the tied tables would give. The four counted habits come
     from one aggregate over the customer's week, only the median reads the events again.
     """
-    counts = week_counts(events)
+    counts = week_counts(events, counted)
     n, weekday, hour = F.col("n"), F.col("weekday"), F.col("hour")
     label = weekday_label(weekday, "short")
     total = lambda hit: F.sum(F.when(hit, n).otherwise(0))
@@ -95,7 +97,7 @@ def habit_profile(events: DataFrame) -> DataFrame:
     days = {names.get(c): F.col(c) for c in day_sums}
     hours = {int(c[2:]) if c[2:] else None: F.col(c) for c in hour_sums}
     weekend = F.col("_d6") + F.col("_d7")
-    counted = sums.select(
+    counts_row = sums.select(
         KEY,
         _most_frequent(days).alias("weekday_name"),
         _most_frequent(hours).cast("int").alias("hour"),
@@ -103,16 +105,16 @@ def habit_profile(events: DataFrame) -> DataFrame:
         F.col("_slot.hour").alias("hour_combined"),
         F.try_divide(weekend.cast("double"), (F.col("_all") - F.col("_d")).cast("double")).alias("weekend_ratio"),
     )
-    return full_join_all([counted, median_time(events)], [KEY])
+    return full_join_all([counts_row, median_time(events, counted=counted)], [KEY])
 
 
-def typical_slot(events: DataFrame, unknown: str = "skip") -> DataFrame:
+def typical_slot(events: DataFrame, unknown: str = "skip", counted: str | None = None) -> DataFrame:
     """Modal weekday and the median time on it, outliers left out.
 
     The outlier limits use all of a customer's events, not only those of the modal day. One
     shuffle by customer serves the limits, the mode and the final median.
     """
-    slots = histogram(events, [KEY, "weekday"], "secs")
+    slots = histogram(events, [KEY, "weekday"], "secs", counted=counted)
     whole, day = Window.partitionBy(KEY), Window.partitionBy(KEY, "weekday")
     secs, n = F.col("secs"), F.col("n")
     placed = slots.withColumns({

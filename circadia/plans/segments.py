@@ -17,7 +17,7 @@ from ..operators.peaks import customer_centers
 from ..operators.ranking import number_within, quantile_bucket, sorted_rows
 from ..operators.sampling import sample_keys
 from ..operators.scaling import standardise
-from ..operators.stats import histogram, median_and_sd, modal
+from ..operators.stats import histogram, median_and_sd, modal, rows_of
 from ..session import cut_lineage
 
 KEY = "customer_key"
@@ -33,14 +33,16 @@ def active_customers(events: DataFrame, min_events: int = 20) -> DataFrame:
     return events.groupBy(KEY).agg(F.count("*").alias("n")).where(F.col("n") >= min_events).select(KEY)
 
 
-def workday_shares(events: DataFrame, part: Column, name: str, min_events: int = 20) -> DataFrame:
+def workday_shares(
+    events: DataFrame, part: Column, name: str, min_events: int = 20, counted: str | None = None
+) -> DataFrame:
     """Share of a customer's workday events per part of the day.
 
     The activity gate counts all events, the shares only those not on a weekend (an unknown
     weekday is not a weekend). Both totals come from one count per customer, part and kind of day.
     """
     workday = not_in(F.col("week_day"), WEEKEND).alias("workday")
-    counts = events.groupBy(KEY, part.alias(name), workday).agg(F.count("*").alias("n"))
+    counts = events.groupBy(KEY, part.alias(name), workday).agg(rows_of(counted).alias("n"))
     own = Window.partitionBy(KEY)
     totals = counts.withColumns({
         "_all": F.sum("n").over(own),
@@ -50,16 +52,16 @@ def workday_shares(events: DataFrame, part: Column, name: str, min_events: int =
     return gated.select(KEY, name, "n", "sum_n", (F.col("n") / F.col("sum_n")).alias("prop_n"))
 
 
-def hour_share_features(events: DataFrame, min_events: int = 20) -> DataFrame:
+def hour_share_features(events: DataFrame, min_events: int = 20, counted: str | None = None) -> DataFrame:
     """24 workday hour shares per customer; an hour without events is 0."""
-    shares = workday_shares(events, hour_of(F.col("secs")), "hour", min_events)
+    shares = workday_shares(events, hour_of(F.col("secs")), "hour", min_events, counted)
     wide = pivot_values(shares, [KEY], "hour", list(range(24)), "prop_n", fill=0.0)
     return wide.withColumnsRenamed({str(h): f"h{h}" for h in range(24)})
 
 
-def band_share_features(events: DataFrame, min_events: int = 20) -> DataFrame:
+def band_share_features(events: DataFrame, min_events: int = 20, counted: str | None = None) -> DataFrame:
     """Six workday shares per customer, one per part of the day."""
-    shares = workday_shares(events, time_band(hour_of(F.col("secs"))), "time_band", min_events)
+    shares = workday_shares(events, time_band(hour_of(F.col("secs"))), "time_band", min_events, counted)
     return pivot_values(shares, [KEY], "time_band", BAND_NAMES, "prop_n", fill=0.0)
 
 
@@ -110,12 +112,12 @@ def cluster_stability(features: DataFrame, columns: Sequence[str], replicates: i
 # ---- regularity ----------------------------------------------------------------------------
 
 
-def regularity_features(events: DataFrame, unknown: str = "skip") -> DataFrame:
+def regularity_features(events: DataFrame, unknown: str = "skip", counted: str | None = None) -> DataFrame:
     """Median and spread of the time of day, scaled over customers.
 
     Scaling uses every known value; customers without a spread are dropped after it.
     """
-    stats = median_and_sd(histogram(events, [KEY], "secs"), [KEY], "secs", unknown=unknown)
+    stats = median_and_sd(histogram(events, [KEY], "secs", counted=counted), [KEY], "secs", unknown=unknown)
     named = stats.select(KEY, F.col("median").alias("median_time"), F.col("sd").alias("sd_time"))
     scaled = standardise(named, ["median_time", "sd_time"])
     return scaled.withColumnsRenamed({"median_time_scaled": "median_scaled", "sd_time_scaled": "sd_scaled"}).dropna("any")
@@ -129,12 +131,12 @@ def regularity_segments(features: DataFrame, k: int = 4, seed: int = 62) -> Data
 # ---- daily peaks ---------------------------------------------------------------------------
 
 
-def modal_weekdays(events: DataFrame) -> DataFrame:
+def modal_weekdays(events: DataFrame, counted: str | None = None) -> DataFrame:
     """Most frequent weekday name per customer, alphabetical on a tie."""
-    return modal(events, [KEY], "week_day", "day_mode")
+    return modal(events, [KEY], "week_day", "day_mode", counted)
 
 
-def peak_table(centers: DataFrame, events: DataFrame, k: int = 3) -> DataFrame:
+def peak_table(centers: DataFrame, events: DataFrame, k: int = 3, counted: str | None = None) -> DataFrame:
     """One row per customer: modal weekday, peak times and how spread they are (1 to 5).
 
     Every customer of the events is listed, also without peaks.
@@ -147,7 +149,7 @@ def peak_table(centers: DataFrame, events: DataFrame, k: int = 3) -> DataFrame:
     )
     wide = pivot_many(cells, [KEY], "centroid", range(1, k + 1), ["time", "wss"])
     # The weekdays list everyone; the weekday itself is shown for customers with peaks only.
-    listed = null_safe_join(wide.withColumn("_peaks", F.lit(True)), modal_weekdays(events), [KEY], "full")
+    listed = null_safe_join(wide.withColumn("_peaks", F.lit(True)), modal_weekdays(events, counted), [KEY], "full")
     columns = [f"{v}_{i}" for i in range(1, k + 1) for v in ("time", "wss")]
     return listed.select(KEY, F.when(F.col("_peaks"), F.col("day_mode")).alias("day_mode"), *columns)
 
@@ -158,11 +160,12 @@ def customer_peaks(
     min_distinct: int = 20,
     cutoff: float | None = None,
     standardise_wss: bool = True,
+    counted: str | None = None,
 ) -> DataFrame:
     """Up to three daily reading times per customer."""
-    centers = customer_centers(events, [KEY], "secs", k, min_distinct, cutoff, standardise_wss)
+    centers = customer_centers(events, [KEY], "secs", k, min_distinct, cutoff, standardise_wss, counted)
     # Ranking reads the centres several times; they are fitted once.
-    return peak_table(cut_lineage(centers), events, k)
+    return peak_table(cut_lineage(centers), events, k, counted)
 
 
 def habit_type(peaks: DataFrame) -> DataFrame:

@@ -820,3 +820,13 @@ oracle("cluster_stability", cluster.centre_rows(_BAND_COLUMNS, _BAND_COLUMNS, pa
        extra=cluster.estimated(
            f"SELECT r.part, b.* FROM band_scaled b, (SELECT unnest(range(1, 11)) AS part) r WHERE {position('customer_key', '(62 + r.part)')} < 0.75",
            _BAND_COLUMNS, 3))
+
+# Counts stored by day give what the events give.
+for _stored, _same in (
+    ("stored_counts_habit_profile", "customer_habit_profile"),
+    ("stored_counts_typical_slot", "typical_slot"),
+    ("stored_counts_regularity_features", "regularity_features"),
+    ("stored_counts_band_shares", "band_share_features"),
+    ("stored_counts_customer_peaks", "customer_peaks"),
+):
+    ORACLES[_stored] = ORACLES[_same]

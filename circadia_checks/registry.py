@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from circadia.functions import calendar as cal, clock, semantics as sem, text
 from circadia.operators import density, grid, joins, kmeans, peaks, ranking, sampling, scaling, sketches, stats
-from circadia.plans import activity, completion, densities, events as ev, habits, segments, usage
+from circadia.plans import activity, completion, densities, events as ev, habits, rhythm, segments, usage
 from circadia.session import scratch_path
 from circadia.sources import delimited, warehouse
 
@@ -1004,6 +1004,45 @@ def regularity_features(v):
     return segments.regularity_features(customer_events(v))
 
 
+# ---- the same from stored daily counts ------------------------------------------------------
+
+
+def stored_counts(v: Views) -> DataFrame:
+    """All days before the recent ones stored at once, then the recent ones added, of which the first comes twice."""
+    fact, clock_rows = v.reader_fact(), v.time_of_day()
+    buckets = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+    where = rhythm.layout(scratch_path(v.spark, "daily-counts"), buckets)
+    table = rhythm.store(v.spark, fact.where(F.col("date_key") < SINCE_RECENT), clock_rows, where)
+    rhythm.store(v.spark, fact, clock_rows, where, table, [SINCE_RECENT])
+    rhythm.store(v.spark, fact.where(F.col("date_key") >= SINCE_RECENT), clock_rows, where, table)
+    return rhythm.window(v.spark, table, AS_OF)
+
+
+@query
+def stored_counts_habit_profile(v):
+    return habits.habit_profile(stored_counts(v), counted="n")
+
+
+@query
+def stored_counts_typical_slot(v):
+    return habits.typical_slot(stored_counts(v), counted="n")
+
+
+@query
+def stored_counts_regularity_features(v):
+    return segments.regularity_features(stored_counts(v), counted="n")
+
+
+@query
+def stored_counts_band_shares(v):
+    return segments.band_share_features(stored_counts(v), counted="n")
+
+
+@query
+def stored_counts_customer_peaks(v):
+    return segments.customer_peaks(stored_counts(v), counted="n")
+
+
 @query
 def regularity_segments(v):
     return segments.regularity_segments(segments.regularity_features(customer_events(v)))
