@@ -184,6 +184,43 @@ def test_rounds_have_a_limit(monkeypatch, cloud):
             kmeans.fit(cloud[1], COLUMNS, 9, max_iter=1)
 
 
+def test_fits_take_the_rounds_they_need(monkeypatch, spark):
+    # values without gaps settle slowly: 24 centres take more than 400 rounds
+    points = -np.log(np.arange(1, 6001) / 6001)[:, None] * 20
+    df = spark.createDataFrame([(float(x),) for (x,) in points], "a double")
+    with kmeans._collapsed(df, ["a"]) as rows:
+        starts = kmeans._far_apart(rows.samples(1, 62)[0], 24)
+    ways = []
+    # few rows followed between passes, and all rows in one task
+    for task_rows, near in ((1500, 3000), (20_000, 1_000_000)):
+        monkeypatch.setattr(kmeans, "TASK_ROWS", task_rows)
+        monkeypatch.setattr(kmeans, "NEAR_VALUES", near)
+        ways.append([(f.centers, f.wss) for f in kmeans.fit_each(df, ["a"], [3, 24])])
+    assert ways[0] == ways[1]
+    centers, wss = _lloyd(points, starts)
+    assert ways[0][1][0] == pytest.approx(np.array(sorted(centers.tolist())), abs=1e-8)
+    assert ways[0][1][1] == pytest.approx(wss, rel=1e-9)
+    with pytest.raises(RuntimeError):
+        kmeans.fit(df, ["a"], 24, max_iter=300)
+
+
+def test_followed_rows_keep_plain_rounds():
+    # the rows of small margin and the totals of all give the centres of all
+    rng = np.random.default_rng(5)
+    values = np.rint(rng.uniform(0, 9, (4000, 2)) * kmeans.UNIT).astype(np.int64)
+    weight = rng.integers(1, 4, 4000)
+    centers = values[:7] / kmeans.UNIT
+    own, _, margin = kmeans._nearest(values, centers)
+    totals = kmeans._totals(values, weight, own, 7)
+    for reach in (0.5, 1.5, 4.0):
+        near = margin < reach
+        found, rounds, _ = kmeans._followed(values[near], weight[near], centers, None, totals, reach)
+        plain = centers
+        for _ in range(rounds):
+            plain = kmeans._moved(plain, *kmeans._totals(values, weight, kmeans._nearest(values, plain)[0], 7))
+        assert rounds and found.tolist() == plain.tolist()
+
+
 def test_no_rows(spark):
     with pytest.raises(ValueError):
         kmeans.fit(spark.createDataFrame([(None, 1.0)], "a double, b double"), COLUMNS, 2)
