@@ -204,6 +204,12 @@ def test_fits_take_the_rounds_they_need(monkeypatch, spark):
         kmeans.fit(df, ["a"], 24, max_iter=300)
 
 
+def test_collapsed_rows_spread_over_their_tasks(monkeypatch, cloud):
+    monkeypatch.setattr(kmeans, "TASK_ROWS", 30)
+    with kmeans._collapsed(cloud[1].coalesce(1), COLUMNS) as rows:
+        assert rows.table.rdd.getNumPartitions() == rows.tasks == 12
+
+
 def test_followed_rows_keep_plain_rounds():
     # the rows of small margin and the totals of all give the centres of all
     rng = np.random.default_rng(5)
