@@ -169,24 +169,27 @@ def expand_repeats(
     rows, one that occurs fewer than i but several times shows null.
 
     Runs stay counts until the end: no list of occurrences is ever collected, and long runs are
-    laid out in blocks that spread over tasks.
+    laid out in blocks that spread over tasks. So do an id's cells: those it has are one list, and
+    columns are laid out last, when rows are neither sorted nor shuffled any more.
     """
     df = within_names(df, name, names)
-    packed = F.struct(F.col(first).alias("a"), F.col(repeat).alias("b"), F.col(times).cast("long").alias("n"))
-    wide = df.groupBy(*ids).pivot(name, list(names)).agg(F.first(packed))
-    cells = [F.col(f"`{n}`") for n in names]
-    longest = F.greatest(*[F.coalesce(c["n"], F.lit(1)) for c in cells], F.lit(1))
-    blocks = wide.withColumn("_rows", longest).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_rows") - 1) / block)))
+    name_type = df.schema[name].dataType
+    known, n = F.col(name).isNotNull(), F.col(times).cast("long")
+    packed = F.struct(F.col(name).alias("name"), F.col(first).alias("a"), F.col(repeat).alias("b"), n.alias("n"))
+    gathered = df.groupBy(*ids).agg(
+        F.collect_list(F.when(known, packed)).alias("_cells"), F.greatest(F.max(F.when(known, n)), F.lit(1)).alias("_rows")
     )
+    blocks = gathered.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_rows") - 1) / block))))
     spread = blocks.repartition(*ids, "_block")
     start = F.col("_block") * block + 1
     rows = spread.withColumn(
         "occurrence", F.explode(F.sequence(start, F.least(start + block - 1, F.col("_rows"))))
     )
+    place = [F.array_position("_cells.name", F.lit(v).cast(name_type)).cast("int") - 1 for v in names]
+    laid_out = rows.select(*ids, "occurrence", *[F.get("_cells", at).alias(str(v)) for v, at in zip(names, place)])
     i = F.col("occurrence")
     shown = [
-        F.when(c.isNull(), F.lit(fill)).when((i == 1) | (c["n"] == 1), c["a"]).when(i <= c["n"], c["b"]).alias(str(n))
-        for n, c in zip(names, cells)
+        F.when(c.isNull(), F.lit(fill)).when((i == 1) | (c["n"] == 1), c["a"]).when(i <= c["n"], c["b"]).alias(str(v))
+        for v, c in ((v, F.col(f"`{v}`")) for v in names)
     ]
-    return rows.select(*ids, "occurrence", *shown)
+    return laid_out.select(*ids, "occurrence", *shown)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.grid import BitSets, expand_repeats, pivot_presence, within_names
 from ..operators.ranking import flag_gaps
+from ..session import spread
 
 IDS = ["title", "isbn13", "customer_key"]
 BUCKETS = range(1, 101)
@@ -33,7 +34,9 @@ def bucket_reads(
         reads = reads.where(F.col("premium_key") == 1)
     if product_type is not None:
         products = products.where(F.col("type") == product_type)
-    counted = reads.groupBy("customer_key", "product_key", "read_bucket_key").agg(F.count("*").alias("n"))
+    own = ["customer_key", "product_key", "read_bucket_key"]
+    # few bytes a row, most rows of their own: merged into tasks by bytes, they would fill a task's memory
+    counted = spread(reads.select(*own), *own).groupBy(*own).agg(F.count("*").alias("n"))
     return (
         counted.join(buckets.select("read_bucket_key", "bucket_no"), "read_bucket_key")
         .join(products.select("product_key", "title", "isbn13"), "product_key")
@@ -42,8 +45,8 @@ def bucket_reads(
 
 
 def _positions(reads: DataFrame) -> DataFrame:
-    """One row per title, reader and bucket with the number of reads."""
-    return reads.groupBy(*IDS, "bucket_no").agg(F.sum("n").alias("n"))
+    """One row per title, reader and bucket with the number of reads; a reader's rows of a title lie together."""
+    return spread(reads, "title", "customer_key").groupBy(*IDS, "bucket_no").agg(F.sum("n").alias("n"))
 
 
 def bucket_matrix(reads: DataFrame, buckets: Sequence[int] = BUCKETS) -> DataFrame:

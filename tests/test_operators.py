@@ -180,3 +180,37 @@ def test_gap_matrix_equals_the_flags_bucket_by_bucket(spark):
     for r in found:
         for b in range(1, 101):
             assert r[str(b)] == flags.get((r["title"], r["isbn13"], r["customer_key"], b)), (r, b)
+
+
+def test_repeats_are_laid_out_after_the_last_shuffle(spark, rows):
+    cells = [("x", 1, 1), ("x", 3, 3), ("y", 2, 5), (None, 3, 1), ("z", None, 4)]
+    df = spark.createDataFrame(cells, "id string, b int, n long").withColumns({"first": F.lit(1), "again": F.lit(2)})
+    wide = grid.expand_repeats(df, ["id"], "b", range(1, 31), "first", "again", "n", fill=0, block=2)
+    none = [0] * 27
+    expected = [
+        (None, 1, 0, 0, 1, *none),
+        ("x", 1, 1, 0, 1, *none), ("x", 2, 1, 0, 2, *none), ("x", 3, 1, 0, 2, *none),
+        *[("y", i, 0, 1 if i == 1 else 2, 0, *none) for i in range(1, 6)],
+        ("z", 1, 0, 0, 0, *none),
+    ]
+    assert rows(wide) == expected
+    # an id's cells are one column where rows are grouped, sorted or shuffled: 30 columns would fill a task's memory
+    open_, widths = [wide._jdf.queryExecution().optimizedPlan()], []
+    while open_:
+        node = open_.pop()
+        if node.nodeName() in ("Aggregate", "RepartitionByExpression"):
+            widths.append(node.output().size())
+        open_ += [node.children().apply(i) for i in range(node.children().size())]
+    assert widths and max(widths) <= 5
+
+
+def test_reads_spread_over_all_tasks(spark):
+    fact = spark.createDataFrame([(1, 2, 3, 20240101, 1)] * 3, "customer_key long, product_key long, read_bucket_key int, date_key int, premium_key int")
+    buckets = spark.createDataFrame([(3, 3)], "read_bucket_key int, bucket_no int")
+    products = spark.createDataFrame([(2, "t", "i", "E-bøger")], "product_key long, title string, isbn13 string, type string")
+    reads = completion.bucket_reads(fact, buckets, products)
+    wide = completion.bucket_rows(reads, range(1, 4))
+    assert [r["3"] for r in wide.collect()] == [1, 1, 1]
+    # a stated number of partitions: merged ones would hold more the more rows there are
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2
