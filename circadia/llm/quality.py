@@ -13,7 +13,9 @@ quantile is rejected.
 Every step is an aggregation: rows are summed by group and distance class first, so a group of any
 size is a few hundred rows when its classes are put in order. Vectors are fixed-point numbers and
 sums are exact, so the estimate does not depend on how rows are laid out. The nearest rows are taken
-in whole distance classes (eight to a doubling), hence at least half of them.
+in whole distance classes (eight to a doubling), hence at least half of them. A group of at most
+``TASK_VECTORS`` different vectors takes its steps in one task, which holds them; only larger ones
+need jobs for every step, which cost the driver plans and threads.
 
 Languages and sources with fewer than ``MIN_ROWS`` rows share the estimate of the small ones of their
 language, and if those are too few, of all of them; a remainder that is too small rejects nothing.
@@ -254,6 +256,8 @@ def _sums() -> list[Column]:
 FEW_PARTS = 4096
 #: Vectors that make a task worth starting.
 TASK_ROWS = 100_000
+#: Different vectors of a part (some 50 bytes each) that one task may hold for all its steps.
+TASK_VECTORS = 200_000
 
 
 def _sent(df: DataFrame, few: bool) -> DataFrame:
@@ -295,21 +299,84 @@ def _followed(moved: DataFrame, before: DataFrame, restart: bool, few: bool) ->
     )
 
 
-def estimates(rows: DataFrame, max_steps: int = 200) -> DataFrame:
+def _added(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Exact sums per group."""
+    total = np.zeros(groups, np.int64)
+    np.add.at(total, group, values)
+    return total
+
+
+def _near_sums(vectors: np.ndarray, times: np.ndarray, estimate: pd.Series, start: int) -> pd.DataFrame:
+    """One row of sums over the nearest classes of a part, as ``_concentrated`` has them."""
+    d = [vectors[i] / UNIT - estimate["mean"][i] for i in range(DIMENSIONS)]
+    distance = 0.0
+    for i, j in _PAIRS:
+        distance = distance + (1 if i == j else 2) * d[i] * d[j] * estimate["precision"][i * DIMENSIONS + j]
+    _, far = np.unique(np.floor(8 * (np.log(distance + 2.0**-20) / np.log(2.0))), return_inverse=True)
+    rows = _added(times, far, int(far.max()) + 1)
+    near = (np.cumsum(rows) - rows < math.ceil(COVERAGE * int(rows.sum())))[far]
+    x, n = vectors[:, near], times[near]
+    sums = {"n": n.sum()} | {f"s{i}": (n * x[i]).sum() for i in range(DIMENSIONS)}
+    sums |= {f"p{i}{j}": (n * x[i] * x[j]).sum() for i, j in _PAIRS}
+    return pd.DataFrame([{"part": estimate["part"], "start": start} | sums])
+
+
+def _settled(vectors: np.ndarray, times: np.ndarray, estimate: pd.Series, max_steps: int) -> pd.Series | None:
+    """The estimate where the steps from this one stand still, or the best of the round they come back to."""
+    known = lambda e: (e["rows"], tuple(e["mean"]), tuple(e["precision"]))
+    order = lambda e: (e["log_det"], *known(e))
+    start, last, stone, best = int(estimate["start"]), None, None, None
+    for step in range(1, max_steps + 1):
+        sums = _near_sums(vectors, times, estimate, start)
+        own = next(_from_sums(iter([sums]))).iloc[0]
+        if known(own) == last:
+            return own
+        best = own if best is None or order(own) < order(best) else best
+        if known(own) == stone:
+            return best
+        if step & (step - 1) == 0:
+            stone, best = known(own), own
+        estimate, last = own, known(own)
+    return None
+
+
+def _in_one_task(rows: DataFrame, starts: DataFrame, max_steps: int) -> DataFrame:
+    """part, start and best of parts that a task can hold; a start that is not settled has no best."""
+    named = [f"x{i}" for i in range(DIMENSIONS)]
+    kind = pa.struct({"log_det": pa.float64(), "rows": pa.int64(), "mean": pa.list_(pa.float64()), "precision": pa.list_(pa.float64())})
+
+    def settle(vectors: pa.Table, starts: pa.Table) -> pa.Table:
+        values, times = np.stack([vectors.column(c).to_numpy() for c in named]), vectors.column("times").to_numpy()
+        given = [pd.Series(start) for start in starts.to_pylist()]
+        found = [_settled(values, times, start, max_steps) for start in given]
+        best = [None if e is None else {f.name: np.asarray(e[f.name]).tolist() for f in kind} for e in found]
+        return pa.table({
+            "part": pa.array([e["part"] for e in given], pa.string()), "start": pa.array([e["start"] for e in given], pa.int32()),
+            "best": pa.array(best, kind),
+        })
+
+    met = rows.select("part", "times", *named).groupBy("part").cogroup(starts.select("part", "start", "mean", "precision").groupBy("part"))
+    return met.applyInArrow(settle, "part string, start int, best struct<log_det: double, rows: bigint, mean: array<double>, precision: array<double>>")
+
+
+def estimates(rows: DataFrame, max_steps: int = 200, task_vectors: int = 0) -> DataFrame:
     """The estimate of every part: mean, precision (inverse covariance) and rows it rests on.
 
     ``rows`` has part, x0, x1, ... and, where equal vectors are one row, how many ``times`` they occur. Each start goes on until it stands still. Classes of equal distance
     can make it go round: a stone is laid at steps 1, 2, 4, 8, ..., and a start that comes back to its
-    stone has been all the way round. One that has done neither after ``max_steps`` raises.
+    stone has been all the way round. One that has done neither after ``max_steps`` raises. Parts of at
+    most ``task_vectors`` rows go through the same steps in one task each.
     """
     if "times" not in rows.columns:
         rows = rows.withColumn("times", F.lit(1).cast("long"))
     quartiles = rows.groupBy("part").agg(
         F.lit(-1).alias("start"), F.sum("times").alias("n"),
         *[F.expr(f"percentile(x{i}, array(0.25, 0.5, 0.75), times)").alias(f"q{i}") for i in range(DIMENSIONS)],
+        F.count("*").alias("vectors"),
     )
     quartiles = cut_lineage(quartiles)
-    few = quartiles.count() <= FEW_PARTS
+    parts, large = quartiles.agg(F.count("*"), F.count_if(F.col("vectors") > task_vectors)).first()
+    few = parts <= FEW_PARTS
     whole = rows.groupBy("part").agg(F.lit(-2).alias("start"), *_sums())
     middles = quartiles.select("part", F.array(*[F.col(f"q{i}")[1] for i in range(DIMENSIONS)]).alias("middle"))
     off = [F.expr(f"percentile(abs(x{i} - middle[{i}]), 0.5, times)") for i in range(DIMENSIONS)]
@@ -324,7 +391,18 @@ def estimates(rows: DataFrame, max_steps: int = 200) -> DataFrame:
     nothing = F.lit(None).cast("long")
     current = cut_lineage(current.withColumns({"mark": nothing, "stone": nothing, "best": unknown}))
     finished = []
-    for step in range(1, max_steps + 1):
+    if large < parts:
+        small, begun = rows, current
+        if large:
+            sizes = _sent(quartiles.select("part", (F.col("vectors") <= task_vectors).alias("_small")), few)
+            rows, current = rows.join(sizes, "part"), current.join(sizes, "part")
+            small, begun = rows.where("_small"), current.where("_small")
+            rows, current = (df.where("not _small").drop("_small") for df in (rows, current))
+        settled = cut_lineage(_in_one_task(small, begun, max_steps))
+        if settled.where("best is null").limit(1).count():
+            raise RuntimeError(f"estimates still change after {max_steps} steps")
+        finished.append(settled)
+    for step in range(1, max_steps + 1 if large else 1):
         moved = _in_few_tasks(_concentrated(rows, _sent(current.select("part", "start", "mean", "precision"), few)), few)
         followed = cut_lineage(_followed(moved, current, restart=step & (step - 1) == 0, few=few))
         left, ended = followed.agg(F.count_if(~F.col("done")), F.count_if("done")).first()
@@ -334,7 +412,8 @@ def estimates(rows: DataFrame, max_steps: int = 200) -> DataFrame:
         if not left:
             break
     else:
-        raise RuntimeError(f"estimates still change after {max_steps} steps")
+        if large:
+            raise RuntimeError(f"estimates still change after {max_steps} steps")
     if not finished:
         finished = [current.where("false").select("part", "start", "best")]
     ends = finished[0]
@@ -366,7 +445,7 @@ def judged(docs: DataFrame, carry: list[str], tail: float = TAIL) -> DataFrame:
     # equal vectors are one row: copies, and texts without symbols or repeats, are often equal
     vectors = _with_vector(parted(good)).groupBy("part", "lang", "source", *named).agg(F.count("*").alias("times"))
     vectors = held(vectors, "quality")
-    found = cut_lineage(estimates(vectors.coalesce(1 + vectors.count() // TASK_ROWS)))
+    found = cut_lineage(estimates(vectors.coalesce(1 + vectors.count() // TASK_ROWS), task_vectors=TASK_VECTORS))
     parts = vectors.select("part", F.col("lang").alias("_lang"), F.col("source").alias("_source")).distinct()
     known = cut_lineage(parts.join(_sent(found, found.count() <= FEW_PARTS), "part"))
     known = _sent(known, known.count() <= FEW_PARTS)

@@ -128,3 +128,22 @@ def test_rounds_end_with_their_smallest_determinant(spark, monkeypatch):
     assert [r.mean[0] for r in quality.estimates(rows).collect()] == [1.0]
     with pytest.raises(RuntimeError):
         quality.estimates(rows, max_steps=2)
+
+
+def test_small_parts_take_their_steps_in_one_task(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [(part, *[round(rng.gauss(0, 1 + i) * quality.UNIT) for i in range(quality.DIMENSIONS)], rng.randint(1, 4)) for part, n in (("a", 300), ("b", 80)) for _ in range(n)]
+    vectors = spark.createDataFrame(rows, "part string, " + ", ".join(f"x{i} long" for i in range(quality.DIMENSIONS)) + ", times long").repartition(3)
+    numbers = lambda df: {r["part"]: (r["rows"], np.round(r["mean"] + r["precision"], 9).tolist()) for r in df.collect()}
+    by_jobs = numbers(quality.estimates(vectors))
+    assert numbers(quality.estimates(vectors, task_vectors=100)) == by_jobs
+    stepped = []
+    monkeypatch.setattr(quality, "_concentrated", lambda *a: stepped.append(a))
+    assert numbers(quality.estimates(vectors, task_vectors=300)) == by_jobs
+    with pytest.raises(RuntimeError):
+        quality.estimates(vectors, max_steps=1, task_vectors=300)
+    # the query and the pipeline take this way: not a job per step
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(0, 12 + id % 30), i -> concat('w', i * (id % 50 + 1))), ' ')").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    assert quality.judged(docs, ["doc_id"]).count() == 400 and not stepped
