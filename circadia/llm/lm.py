@@ -16,7 +16,7 @@ The corpus is never gathered: counts and the occurrences that ask for them trave
 of the first word, packed by slice of documents, and what returns is a sum per document. Words that own
 more than a share of all tokens are split by their successors over all shards; their totals are sums of
 the shards' totals. Pairs that no training text has go on to the shard of their second word. Words are
-64-bit hashes. Sums of doubles depend on the layout in their last digits only.
+64-bit hashes. Sums depend on the layout in their last digits only: a shard's are rounded to 1 / ``FINE``.
 
 Defined results: null text is empty and scores its end; a null id counts as the empty text for the
 held-out rule and is kept; rows equal in id and text get one result each; an empty table gives no rows;
@@ -44,6 +44,8 @@ from .text import each, ranges, slices, words
 
 DISCOUNT = 0.75
 STEP = 4096
+#: Steps of a sum that a shard sends back: doubles do not compress. A text's sum is off by half a step per shard at most.
+FINE = 2**30
 #: Bytes of text in a slice: larger ones repeat fewer words in what is sent.
 SLICE = 8 << 20
 #: A word with more than 1 / (SPLIT * shards) of all tokens is split by its successors.
@@ -202,10 +204,12 @@ def mapped(raw: bytes) -> tuple[Trie, io.IOBase]:
 
 
 def _press(*columns: np.ndarray) -> bytes:
-    """Arrays in one compressed byte string; wide numbers byte plane by byte plane."""
+    """Arrays in one compressed byte string; wide numbers byte plane by byte plane, ascending hashes as their steps."""
     out = [struct.pack("<I", len(columns))]
     for c in columns:
         c = np.ascontiguousarray(c)
+        if c.dtype == np.uint64:
+            c = np.diff(c, prepend=np.uint64(0))  # wraps where they do not ascend, and back on reading
         planes = c.view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() if len(c) else b""
         out += [struct.pack("<cIQ", c.dtype.char.encode(), c.dtype.itemsize, len(c)), planes]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
@@ -217,7 +221,8 @@ def _unpress(raw: bytes) -> list[np.ndarray]:
         kind, item, size = struct.unpack_from("<cIQ", data, at)
         at += struct.calcsize("<cIQ")
         planes = np.frombuffer(data, np.uint8, size * item, at).reshape(item, size)
-        out.append(np.ascontiguousarray(planes.T).view(np.dtype(kind.decode())).ravel())
+        column = np.ascontiguousarray(planes.T).view(np.dtype(kind.decode())).ravel()
+        out.append(np.cumsum(column, dtype=np.uint64) if column.dtype == np.uint64 else column)
         at += size * item
     return out
 
@@ -244,10 +249,15 @@ class Slice:
         found = words(texts)
         of, distinct = found.coded(lower=True)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, each(distinct)), np.uint64, len(distinct))
-        self.hashes = np.concatenate([hashes, [END, BEGIN]]).astype(np.uint64)
+        hashes = np.concatenate([hashes, [END, BEGIN]]).astype(np.uint64)
+        # words are numbered in the order of their hashes: what is sent of them ascends
+        order = np.argsort(hashes, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        self.hashes, of, (end, begin) = hashes[order], number[of], number[-2:]
         size = np.diff(found.first)
         self.tokens = size + 1
-        self.word = np.full(int(self.tokens.sum()), len(hashes))
+        self.word = np.full(int(self.tokens.sum()), end)
         last = np.cumsum(self.tokens) - 1
         body = np.ones(len(self.word), bool)
         body[last] = False
@@ -255,7 +265,7 @@ class Slice:
         self.text = np.repeat(np.arange(len(size)), self.tokens)
         self.before = np.empty(len(self.word), np.int64)
         self.before[1:] = self.word[:-1]
-        self.before[last - self.tokens + 1] = len(hashes) + 1
+        self.before[last - self.tokens + 1] = begin
 
 
 def _scan(docs: DataFrame, held_out: Column, tag: int, make) -> DataFrame:
@@ -269,7 +279,10 @@ def _scan(docs: DataFrame, held_out: Column, tag: int, make) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (tag << 56) | (TaskContext.get().partitionId() << 28)
         for part in slices(batches, "text", SLICE):
-            cut, out = Slice(part.column(3)), part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            # training texts come first, so a message tells them by their number
+            out = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            part = part.take(pa.array(np.argsort(out, kind="stable")))
+            cut, out = Slice(part.column(3)), np.sort(out)
             ids = part.column(0)
             names = _press(
                 ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8),
@@ -291,7 +304,7 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _word_messages(numbers: np.ndarray):
     def make(cut: Slice, out: np.ndarray, number: int):
-        texts = len(out)
+        texts, trained = len(out), np.array([np.count_nonzero(~out)], np.uint32)
         first, times, _ = _counted(cut.word * texts + cut.text)
         word, text = cut.word[first], cut.text[first]
         bucket = ((cut.hashes >> np.uint64(32)) % np.uint64(len(numbers))).astype(np.int64)
@@ -299,14 +312,14 @@ def _word_messages(numbers: np.ndarray):
             w, t, k = word[rows], text[rows], times[rows]
             here, at = np.unique(w, return_index=True)
             yield (int(numbers[b]), "words", number, _press(
-                cut.hashes[here], np.diff(np.append(at, len(w))).astype(np.uint32), t.astype(np.uint32), k.astype(np.uint32), out.astype(np.uint8)))
+                cut.hashes[here], np.diff(np.append(at, len(w))).astype(np.uint32), t.astype(np.uint32), k.astype(np.uint32), trained))
 
     return make
 
 
 def _pair_messages(numbers: np.ndarray, hot: np.ndarray):
     def make(cut: Slice, out: np.ndarray, number: int):
-        parts, size = np.uint64(len(numbers)), len(cut.hashes)
+        parts, size, trained = np.uint64(len(numbers)), len(cut.hashes), np.array([np.count_nonzero(~out)], np.uint32)
         first, times, _ = _counted((cut.before * size + cut.word) * len(out) + cut.text)
         a, b, text = cut.before[first], cut.word[first], cut.text[first]
         own = ((cut.hashes >> np.uint64(32)) % parts).astype(np.int64)
@@ -321,7 +334,7 @@ def _pair_messages(numbers: np.ndarray, hot: np.ndarray):
             seconds, place = np.unique(y, return_inverse=True)
             yield (int(numbers[k]), "pairs", number, _press(
                 cut.hashes[heads], np.diff(np.append(at, len(x))).astype(np.uint32), cut.hashes[seconds],
-                place.astype(np.uint32), t.astype(np.uint32), times[rows].astype(np.uint32), out.astype(np.uint8)))
+                place.astype(np.uint32), t.astype(np.uint32), times[rows].astype(np.uint32), trained))
 
     return make
 
@@ -338,10 +351,17 @@ def _messages(batches, *kinds: str):
     return found, rest
 
 
-def _sums(number: int, kind: str, text: np.ndarray, *values: np.ndarray) -> tuple[int, str, int, bytes]:
-    """Sums of a slice's texts, for those that occur."""
+def _sums(number: int, kind: str, text: np.ndarray, value: np.ndarray, *counts: np.ndarray) -> tuple[int, str, int, bytes]:
+    """Sums of a slice's texts, for those that occur: of ``value`` as fixed-point numbers, signs in the last bit; of counts."""
     touched, at = np.unique(text, return_inverse=True)
-    return 0, kind, number, _press(touched.astype(np.uint32), *[np.bincount(at, v, len(touched)) for v in values])
+    fixed = np.rint(np.bincount(at, value, len(touched)) * FINE).astype(np.int64)
+    whole = [np.bincount(at, c, len(touched)).astype(np.uint32) for c in counts]
+    return 0, kind, number, _press(touched.astype(np.uint64), (fixed << 1) ^ (fixed >> 63), *whole)
+
+
+def _real(fixed: np.ndarray) -> np.ndarray:
+    """The values of fixed-point numbers in a message."""
+    return ((fixed >> 1) ^ -(fixed & 1)) / FINE
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,17 +381,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ends = np.cumsum([0, *map(len, hashes)])
     total = np.zeros(len(distinct))
     spread = []
-    for i, (_, _, (_, runs, text, times, out)) in enumerate(found):
+    for i, (_, _, (_, runs, text, times, trained)) in enumerate(found):
         word = np.repeat(at[ends[i] : ends[i + 1]], runs)
         spread.append(word)
-        total += np.bincount(word, times * (out[text] == 0), len(distinct))
-    for (_, number, (_, _, text, times, out)), word in zip(found, spread):
+        total += np.bincount(word, times * (text < trained[0]), len(distinct))
+    for (_, number, (_, _, text, times, _)), word in zip(found, spread):
         yield _rows([_sums(number, "base", text, times * np.log10(total[word] + 1), times * (total[word] > 0))])
     seen = np.flatnonzero(total)
     top = seen[np.argsort(-total[seen], kind="stable")[:TOP_WORDS]]
     facts = _press(np.array([total.sum(), len(seen)]), distinct[top], total[top])
     yield _rows([(0, "facts", 0, facts)])
-    yield _rows([(bucket, "counts", 0, _press(distinct[seen], total[seen].astype(np.uint64)))])
+    yield _rows([(bucket, "counts", 0, _press(distinct[seen], total[seen].astype(np.int64)))])
 
 
 def build(first: np.ndarray, second: np.ndarray, count: np.ndarray, totals: dict[int, tuple[float, float]]) -> bytes:
@@ -395,7 +415,7 @@ def _gathered(found) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, n
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
     head = order[np.flatnonzero(new)]
-    weight = np.concatenate([m[5] * (m[6][m[4]] == 0) for _, _, m in found])
+    weight = np.concatenate([m[5] * (m[4] < m[6][0]) for _, _, m in found])
     count = np.bincount(which, weight, len(head))
     return found, firsts[head], seconds[head], count, which
 
@@ -439,6 +459,7 @@ def _score_pairs(numbers: np.ndarray, hot: set[int]):
         here, number, text, times = (np.concatenate(c) for c in zip(*asked))
         bucket = ((second[here] >> np.uint64(32)) % np.uint64(len(numbers))).astype(np.int64)
         for b, some in _by_bucket(bucket):
+            some = some[np.lexsort((text[some], number[some], second[here[some]]))]
             pair = here[some]
             yield _rows([(int(numbers[b]), "asked", 0, _press(
                 second[pair], np.where(split[pair], first[pair], np.uint64(0)), seen[pair].astype(np.uint8),
@@ -495,10 +516,10 @@ def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, nulls, key, out, tokens = kinds["names"][0]
         base, known, score = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
         for touched, logs, times in kinds.get("base", []):
-            base[touched] += logs
+            base[touched] += _real(logs)
             known[touched] += times
         for touched, value in kinds.get("score", []):
-            score[touched] += value
+            score[touched] += _real(value)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64(), mask=nulls.astype(bool)), pa.array(key, pa.int64()), pa.array(out.astype(bool)),
              pa.array(tokens if "base" in kinds else np.zeros(len(ids), np.int64), pa.int64()), pa.array(base), pa.array(np.rint(known).astype(np.int64)),

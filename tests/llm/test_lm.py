@@ -100,3 +100,29 @@ def test_held_out_texts_are_predicted_better(spark):
     rows = lm.scored(spark.read.parquet(f"{folder}/documents.parquet"), lm.seventh()).where("held_out")
     model, base = rows.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
     assert model > base + 0.3
+
+
+def test_messages_to_many_shards_stay_small():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 40) % 5000) for _ in range(2000)]
+    cut, out = lm.Slice(pa.array(texts)), np.sort(rng.random(2000) < 1 / 7)
+    numbers = np.arange(500)
+    sent = {
+        "words": sum(len(m[3]) for m in lm._word_messages(numbers)(cut, out, 0)),
+        "pairs": sum(len(m[3]) for m in lm._pair_messages(numbers, np.empty(0, np.uint64))(cut, out, 0)),
+    }
+    # 329,492 and 618,247 with the held-out flag of every text in every message and hashes as they are
+    assert sent["words"] < 200_000 and sent["pairs"] < 500_000
+
+
+def test_sums_come_back_small_and_true():
+    rng = np.random.default_rng(6)
+    text, value = rng.integers(0, 2000, 9000), rng.normal(-3, 4, 9000)
+    _, _, _, raw = lm._sums(1, "base", text, value, np.ones(9000))
+    touched, fixed, times = lm._unpress(raw)
+    assert np.array_equal(touched, np.unique(text)) and times.sum() == 9000
+    assert np.abs(lm._real(fixed) - np.bincount(text, value, 2000)[touched]).max() < 1e-9
+    # 16,620 bytes as doubles
+    assert len(raw) < 13_000
