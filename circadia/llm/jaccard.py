@@ -49,6 +49,8 @@ from .text import binary_column, each, mixed, ranges, slices, words
 WINDOW = 5
 #: Shingles in a block of a cluster; a larger cluster is split, each pair of its blocks being a task.
 BLOCK_SHINGLES = 2 << 20
+#: Links that a task holds before it joins what they connect; near copies of one text all link to each other.
+LINKS_HELD = 1 << 18
 _LEAST = 4  # smaller sets link to equal ones only
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -460,7 +462,12 @@ def _linked(names: np.ndarray, side: np.ndarray, copies: np.ndarray, values: np.
     token[order] = np.cumsum(new) - 1
     first = np.append(np.flatnonzero(new), len(values))
     holders, count = owner[order], np.diff(first)
-    a, b, links = [], [], np.zeros(sets, np.int64)
+    root, a, b, links = np.arange(sets), [], [], np.zeros(sets, np.int64)
+    waiting = 0
+
+    def joined() -> np.ndarray:
+        return local_roots(sets, np.concatenate([np.arange(sets), *a]), np.concatenate([root, *b]))
+
     for x in range(sets):
         mine = token[starts[x] : starts[x + 1]]
         mine = mine[count[mine] > 1]
@@ -477,11 +484,13 @@ def _linked(names: np.ndarray, side: np.ndarray, copies: np.ndarray, values: np.
         good &= (met != x) & ((side[met] != side[x]) | (side[x] == 2))
         met = met[good]
         links[x] = copies[met].sum()
+        met = met[met > x]  # from the other set it is the same link
         a.append(np.full(len(met), x))
         b.append(met)
-    if a:
-        return local_roots(sets, np.concatenate(a), np.concatenate(b)), links
-    return np.arange(sets), links
+        waiting += len(met)
+        if waiting >= LINKS_HELD:
+            root, a, b, waiting = joined(), [], [], 0
+    return joined(), links
 
 
 def _verify(table: pa.Table) -> pa.Table:

@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", keep=True):
             ids, at = encode(part.column(1))
             n = np.diff(at)
             # every text's ids, then its end id

@@ -6,6 +6,7 @@ Null texts are empty. Texts are never cut: a text longer than a slice is a slice
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,8 +38,18 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The record batches again, cut so that ``column`` holds at most ``limit`` bytes or one row."""
+#: What a worker keeps from task to task of one kind of work, such as encoders with their words.
+KEPT: dict = {}
+
+
+def slices(batches, column: str, limit: int = SLICE_BYTES, *, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The record batches again, cut so that ``column`` holds at most ``limit`` bytes or one row.
+
+    A worker outlives its stage. So work that does not use what is ``KEPT`` (``keep``) lets it go first.
+    """
+    if KEPT and not keep:
+        KEPT.clear()
+        gc.collect()  # what was kept may hang together in cycles
     for batch in batches:
         _, at = utf8(batch.column(batch.schema.get_field_index(column)))
         first, rows = 0, batch.num_rows

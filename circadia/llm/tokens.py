@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-from .text import each, ranges, utf8, words
+from .text import KEPT, each, ranges, utf8, words
 
 #: Distinct words that a worker remembers, in each of two generations.
 REMEMBERED = 300_000
@@ -172,7 +171,8 @@ class Encoder:
         return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, first
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """One encoder per file and worker process, with what it remembers."""
-    return Encoder(path)
+    """One encoder per file and worker process, with what it remembers, until the worker turns to other texts."""
+    if path not in KEPT:
+        KEPT[path] = Encoder(path)
+    return KEPT[path]

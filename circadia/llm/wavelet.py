@@ -246,7 +246,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
             shard, held_docs, held_ids, size = shard + 1, [], [], 0
             return row
 
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", keep=True):
             ids, at = encode(rows.column(1))
             count = np.diff(at) + 1
             out = np.full(len(ids) + len(count), end_id, np.uint16)

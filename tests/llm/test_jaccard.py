@@ -1,6 +1,7 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +125,28 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("held", [jaccard.LINKS_HELD, 1, 50])
+def test_links_of_near_copies_are_not_all_held(monkeypatch, held):
+    """A task's memory grows with its sets, not with their links: near copies all link to each other."""
+    monkeypatch.setattr(jaccard, "LINKS_HELD", held)
+    count = 1500 if held > 50 else 60
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 62, 20).astype(np.uint64)
+    own = rng.integers(0, 1 << 62, (count, 1)).astype(np.uint64)
+    values = np.sort(np.concatenate([np.tile(common, (count, 1)), own], 1), 1).ravel()
+    names, ones = np.arange(2 * count).reshape(count, 2), np.ones(count, np.int64)
+    tracemalloc.start()
+    root, links = jaccard._linked(names, 2 * ones, ones, values, np.arange(count + 1) * 21)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not root.any() and (links == count - 1).all()
+    assert peak < 40 << 20
+    # two sides: links inside a side are other tasks' work
+    side = np.arange(count) % 2
+    root, links = jaccard._linked(names, side, ones, values, np.arange(count + 1) * 21)
+    assert not root.any() and (links == np.where(side == 0, count // 2, count - count // 2)).all()
+
+
 def test_sets_of_texts(odd_rows):
     texts = [t for _, t in odd_rows]
     values, starts = jaccard.shingle_sets(pa.array(texts))

@@ -1,5 +1,7 @@
 import collections
+import gc
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -8,7 +10,8 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from circadia.llm import packing
+from circadia.llm import lines, packing
+from circadia.llm.text import slices
 from circadia.llm.tokens import encoder
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +30,26 @@ def test_ids_equal_those_of_whole_texts(file, odd_rows):
         assert np.array_equal(made.encode_whole(text or ""), one), text
 
 
+def test_worker_lets_its_words_go_when_it_turns_to_other_texts(spark, odd_docs):
+    """Encoding tasks share one encoder; it is gone once the worker slices texts for anything else."""
+
+    def alive():
+        gc.collect()
+        return [x() for x in known if x() is not None]
+
+    texts = pa.RecordBatch.from_pydict({"text": ["some words", None, "more"]})
+    known = [weakref.ref(encoder(WORD_BPE))]
+    encoder(WORD_BPE).encode(texts.column(0))
+    assert [p.num_rows for p in slices([texts], "text", keep=True)] == [3]
+    assert encoder(WORD_BPE) is known[0]()
+    assert [p.num_rows for p in slices([texts], "text")] == [3]
+    assert not alive()
+    # the pieces of a table are those of a worker that has encoded nothing yet, whatever came between
+    first = sorted(map(tuple, packing.pieces(odd_docs, WORD_BPE).collect()), key=repr)
+    lines.occurrences(odd_docs).count()
+    assert sorted(map(tuple, packing.pieces(odd_docs, WORD_BPE).collect()), key=repr) == first
+
+
 def one_by_one(lengths, capacity):
     """Number of bins when pieces are packed one after the other."""
     large = sorted(x for x in lengths if 3 * x > capacity)
