@@ -6,6 +6,7 @@ Null texts are empty. Texts are never cut: a text longer than a slice is a slice
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +39,14 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which the allocators of a waiting worker would hold beside the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+    if trim is not None:
+        trim(0)
+
+
 #: What a worker keeps from task to task of one kind of work, such as encoders with their words.
 KEPT: dict = {}
 
@@ -45,7 +54,8 @@ KEPT: dict = {}
 def slices(batches, column: str, limit: int = SLICE_BYTES, *, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """The record batches again, cut so that ``column`` holds at most ``limit`` bytes or one row.
 
-    A worker outlives its stage. So work that does not use what is ``KEPT`` (``keep``) lets it go first.
+    A worker outlives its stage. So work that does not use what is ``KEPT`` (``keep``) lets it go first,
+    and memory that is free behind the last slice goes back to the system.
     """
     if KEPT and not keep:
         KEPT.clear()
@@ -57,6 +67,7 @@ def slices(batches, column: str, limit: int = SLICE_BYTES, *, keep: bool = False
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first)
             first = last
+    give_back()
 
 
 @dataclass

@@ -1,6 +1,8 @@
 import collections
 import gc
+import pathlib
 import random
+import re
 import weakref
 import zlib
 
@@ -50,6 +52,22 @@ def test_worker_lets_its_words_go_when_it_turns_to_other_texts(spark, odd_docs):
     assert sorted(map(tuple, packing.pieces(odd_docs, WORD_BPE).collect()), key=repr) == first
 
 
+def test_free_memory_goes_back_behind_the_last_slice():
+    """What a task has freed does not stay with a worker that waits."""
+
+    def held() -> float:
+        found = re.search(r"^Anonymous: +(\d+)", pathlib.Path("/proc/self/smaps_rollup").read_text(), re.M)
+        return int(found[1]) / 1024
+
+    blocks = [np.ones(2500) for _ in range(5000)]
+    pins = blocks[::50]  # freed pages lie between blocks that are still in use
+    del blocks
+    before = held()
+    texts = pa.RecordBatch.from_pydict({"text": ["some words", None]})
+    assert [p.num_rows for p in slices([texts], "text")] == [2]
+    assert len(pins) == 100 and held() < before - 50
+
+
 def one_by_one(lengths, capacity):
     """Number of bins when pieces are packed one after the other."""
     large = sorted(x for x in lengths if 3 * x > capacity)
