@@ -125,6 +125,23 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_components_by_rounds_and_in_one_task(spark, kind):
+    """The same components, smallest node by Spark's order; few edges take a handful of jobs, whatever their depth."""
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(-40, 40)] + [tuple(rng.sample(range(1000, 1400), 2)) for _ in range(220)] + [(7, 7), (None, 3)]
+    named = (lambda x: x) if kind == "long" else (lambda x: None if x is None else (x + 100).to_bytes(2, "little"))
+    table = spark.createDataFrame([(named(a), named(b)) for a, b in edges], f"a {kind}, b {kind}").repartition(5)
+    by_rounds = {tuple(r) for r in components(table, task_edges=0).collect()}
+    tracker, group = spark.sparkContext.statusTracker(), f"few-edges-{kind}"
+    spark.sparkContext.setJobGroup(group, group)
+    in_task = components(table).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {tuple(r) for r in in_task} == by_rounds and len(in_task) == len(by_rounds)
+    assert len(tracker.getJobIdsForGroup(group)) < 12
+    assert components(table.where("false")).collect() == []
+
+
 @pytest.mark.parametrize("held", [jaccard.LINKS_HELD, 1, 50])
 def test_links_of_near_copies_are_not_all_held(monkeypatch, held):
     """A task's memory grows with its sets, not with their links: near copies all link to each other."""
