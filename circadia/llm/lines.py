@@ -175,21 +175,205 @@ def within(points: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray,
     return out
 
 
+class Hashes:
+    """Running hashes of lines: of any stretch of a line, and of the line with stretches left out or put in."""
+
+    def __init__(self, points: np.ndarray, starts: np.ndarray):
+        self.points, self.start, self.length = points, starts[:-1], np.diff(starts)
+        longest = int(self.length.max()) + 3 if len(self.length) else 3
+        power = np.full(longest, _BASE)
+        power[0] = 1
+        self.power = np.cumprod(power)
+        place = np.arange(len(points)) - np.repeat(self.start, self.length)
+        terms = mixed(points.astype(np.uint64)) * self.power[place]
+        self.running = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
+
+    def between(self, line: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return self.running[self.start[line] + high] - self.running[self.start[line] + low]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many code points lines a and b begin with alike."""
+        low, high = np.zeros(len(a), np.int64), np.minimum(self.length[a], self.length[b])
+        none = np.zeros(len(a), np.int64)
+        while (low < high).any():
+            middle = (low + high + 1) >> 1
+            alike = self.between(a, none, middle) == self.between(b, none, middle)
+            low, high = np.where(alike, middle, low), np.where(alike, high, middle - 1)
+        return low
+
+    def at(self, line: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The code point at a place, -1 behind the end."""
+        inside = place < self.length[line]
+        return np.where(inside, self.points[np.where(inside, self.start[line] + place, 0)].astype(np.int64), -1)
+
+
+#: Lines of a group that are compared with all others of it before the one that it branches from is chosen.
+TRIES = 8
+
+
+def branches(hashes: Hashes, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where lines leave others of their group: (line, place, what the others go on with, -1 where they end).
+
+    Of each group one line is the trunk. The others leave it at some place; those that leave it at the same
+    place with the same code point are a group again. So of any two lines of a group one leaves a trunk that
+    the other one follows at their first difference, or both leave it there.
+    """
+    out = []
+    line, turn = np.arange(len(group)), 0
+    while True:
+        order = np.argsort(group, kind="stable")
+        line, group = line[order], group[order]
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(group)))
+        line, first, size = line[np.repeat(size > 1, size)], first[size > 1], size[size > 1]
+        if not len(line):
+            break
+        number = np.repeat(np.arange(len(first)), size)
+        first = np.cumsum(size) - size
+        trunk, place, best = np.zeros(len(first), np.int64), np.zeros(len(line), np.int64), np.full(len(first), -1)
+        for n in range(TRIES):
+            chance = mixed(np.arange(len(first)).astype(np.uint64) + np.uint64((turn * TRIES + n + 1) << 32))
+            other = line[first + (chance % size.astype(np.uint64)).astype(np.int64)]
+            alike = hashes.common(line, other[number])
+            total = np.add.reduceat(alike, first)
+            better = total > best
+            trunk, best = np.where(better, other, trunk), np.where(better, total, best)
+            place = np.where(better[number], alike, place)
+        leaves = line != trunk[number]
+        line, place, number = line[leaves], place[leaves], number[leaves]
+        out.append((line, place, hashes.at(trunk[number], place)))
+        own = hashes.at(line, place)
+        order = np.lexsort((own, place, number))
+        keys = np.stack([number, place, own])[:, order]
+        group = np.empty(len(line), np.int64)
+        group[order] = np.cumsum(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))) if len(line) else order
+        turn += 1
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+#: Variants that are held at a time.
+VARIANTS = 1 << 21
+
+
+def variants(points: np.ndarray, starts: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of the lines of each group after up to two edits, their lines and numbers of edits; what meets none is left out.
+
+    Two lines of a group that are at most two edits apart have a variant in common: the first edit is where
+    they first differ, the last one where they last do. Of two lines one leaves a trunk there, from the left
+    and from the right, so only edits at the few places where a line leaves a trunk are made: the line's own
+    code point goes, the trunk's comes, or both. Where both lines leave the trunk, both let theirs go. Two
+    code points that come side by side after one that is equal to the second (``ab`` and ``abcb``) have no last
+    difference of their own; they go or come together. Each yield is a share of the hashes.
+    """
+    with np.errstate(over="ignore"):
+        hashes = Hashes(points, starts)
+        length, count = hashes.length, len(group)
+        left_line, left, left_new = branches(hashes, group)
+        # the lines from right to left are in the opposite order, too
+        right_line, right, right_new = branches(Hashes(points[::-1], len(points) - starts[::-1]), group[::-1])
+        right_line = count - 1 - right_line
+        order = np.argsort(right_line, kind="stable")
+        right_line, right, right_new = right_line[order], right[order], right_new[order]
+        first = np.searchsorted(right_line, np.arange(count + 1))
+        both = first[left_line + 1] - first[left_line]
+        l_of, r_of = np.repeat(np.arange(len(left_line)), both), ranges(first[left_line], both)
+        salt = mixed(group.astype(np.uint64) + np.uint64(1))
+        shift = np.array([int(_INVERSE) ** 2 % 2**64, int(_INVERSE), 1, int(_BASE), int(_BASE) ** 2 % 2**64], np.uint64)
+        none = np.zeros(count, np.int64)
+        everyone, at_left, at_right = np.arange(count), np.zeros(len(left_line), np.int64), np.zeros(len(right_line), np.int64)
+
+        def made(line, p, new_p, gone_p, q, new_q, gone_q):
+            """line[:p], new_p, line[p + gone_p : -q - gone_q], new_q, line[-q:], and whose they are."""
+            ends = length[line] - q - gone_q
+            fits = p + gone_p <= ends
+            if new_p is not None:
+                fits &= new_p >= 0
+            if new_q is not None:
+                fits &= new_q >= 0
+            line, p, q, ends = line[fits], p[fits], q[fits], ends[fits]
+            come = new_p is not None
+            value = hashes.between(line, none[line], p)
+            if come:
+                value = value + mixed(new_p[fits].astype(np.uint64)) * hashes.power[p]
+            value = value + hashes.between(line, p + gone_p, ends) * shift[2 + come - gone_p]
+            if new_q is not None:
+                value = value + mixed(new_q[fits].astype(np.uint64)) * hashes.power[ends + come - gone_p]
+            more = come - gone_p + (new_q is not None) - gone_q
+            value = value + hashes.between(line, length[line] - q, length[line]) * shift[2 + more]
+            return mixed(value ^ salt[line]), line
+
+        kinds = [(True, 1), (True, 0), (False, 1)]  # another comes, one's own goes
+
+        def every() -> Iterator[tuple[tuple[np.ndarray, np.ndarray], int]]:
+            yield made(everyone, none, None, 0, none, None, 0), 0
+            for come, gone in kinds:
+                yield made(left_line, left, left_new if come else None, gone, at_left, None, 0), 1
+                yield made(right_line, at_right, None, 0, right, right_new if come else None, gone), 1
+                for come_q, gone_q in kinds:
+                    p, q = left[l_of], right[r_of]
+                    new_p, new_q = left_new[l_of] if come else None, right_new[r_of] if come_q else None
+                    yield made(left_line[l_of], p, new_p, gone, q, new_q, gone_q), 2
+            inner = np.flatnonzero(left > 0)
+            line, p, new = left_line[inner], left[inner], left_new[inner]
+            before = hashes.at(line, p - 1)
+            # both at the place: the trunk's and again the one before it come, or two go of which the second is that one
+            yield made(line, p, new, 0, length[line] - p, before, 0), 2
+            goes = hashes.at(line, p + 1) == before
+            yield made(line[goes], p[goes], None, 2, at_left[inner][goes], None, 0), 2
+
+        shares = 1 + (count + 3 * (len(left_line) + len(right_line)) + 9 * len(l_of)) // VARIANTS
+        for share in range(shares):
+            values, owners, edits = [], [], []
+            for (value, line), n in every():
+                mine = np.flatnonzero((value >> np.uint64(32)) % np.uint64(shares) == share) if shares > 1 else slice(None)
+                values.append(value[mine])
+                owners.append(line[mine])
+                edits.append(np.full(len(owners[-1]), n, np.int8))
+            value, owner, n = np.concatenate(values), np.concatenate(owners), np.concatenate(edits)
+            order = np.argsort(value, kind="stable")
+            value = value[order]
+            again = value[1:] == value[:-1]
+            meets = np.append(again, False) | np.append(False, again)
+            yield value[meets], owner[order][meets], n[order][meets]
+
+
+def _groups(sig: np.ndarray, owner: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owners in groups of equal signatures, in the order of rank: owners, first places and sizes of groups of more than one."""
+    order = np.lexsort((rank, owner, sig))
+    sig, owner, rank = sig[order], owner[order], rank[order]
+    fresh = np.ones(len(sig), bool)
+    fresh[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
+    sig, owner, rank = sig[fresh], owner[fresh], rank[fresh]
+    order = np.lexsort((rank, sig))  # stable, so owners stay in order
+    sig, owner = sig[order], owner[order]
+    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(sig)))
+    return owner, first[size > 1], size[size > 1]
+
+
 def classes_in(
     points: np.ndarray, starts: np.ndarray, edits: int = EDITS, min_length: int = MIN_LENGTH, graded: bool = False
 ) -> np.ndarray:
-    """Root of each line of a block: all pairs that share a signature and are not yet connected are decided."""
+    """Root of each line of a block: all pairs that may be near and are not yet connected are decided.
+
+    Pairs that share a signature may be near, but of copies of a paragraph with a word changed here and there
+    few pairs are. So up to two edits only those of them are decided that have a variant in common, too.
+    """
     count, length = len(starts) - 1, np.diff(starts)
     root = np.arange(count)
     sig, owner = signatures(points, starts, edits, min_length, graded)
-    order = np.lexsort((owner, sig))
-    sig, owner = sig[order], owner[order]
-    fresh = np.ones(len(sig), bool)
-    fresh[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
-    sig, owner = sig[fresh], owner[fresh]
-    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
-    size = np.diff(np.append(first, len(sig)))
-    first, size = first[size > 1], size[size > 1]
+    owner, first, size = _groups(sig, owner, np.zeros(len(sig), np.int8))
+    if edits <= 2 and len(first):
+        member = owner[ranges(first, size)]
+        families = local_roots(count, np.repeat(owner[first], size), member)
+        chosen = np.unique(member)
+        flat, places = points[ranges(starts[chosen], length[chosen])], np.concatenate([[0], np.cumsum(length[chosen])])
+        owners, firsts, sizes = zip(*[_groups(*found) for found in variants(flat, places, families[chosen])])
+        before = np.cumsum([0, *map(len, owners)])
+        owner, size = chosen[np.concatenate(owners)], np.concatenate(sizes)
+        first = np.concatenate([at + n for at, n in zip(firsts, before)])
     tried = np.empty(0, np.int64)
     turn = 0
     while len(first):

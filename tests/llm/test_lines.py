@@ -168,3 +168,51 @@ def test_every_line_with_a_word_takes_part(spark):
         0: (3, 2, 0, texts[0]), 1: (4, 0, 1, "x\n\nOf, edit oner.\nLes"), 2: (3, 1, 2, "}"),
         3: (2, 1, 2, ""), 4: (0, 0, 0, " \n"),
     }
+
+
+@pytest.mark.parametrize("seed", range(30))
+@pytest.mark.parametrize("held", [lines.VARIANTS, 200])
+def test_lines_two_edits_apart_have_a_variant_in_common(seed, held, monkeypatch):
+    monkeypatch.setattr(lines, "VARIANTS", held)
+    rng = random.Random(seed)
+    letters = rng.choice(["ab", "abc", "abé🙂"])
+    made = {"".join(rng.choice(letters) for _ in range(rng.randint(4, 25))) for _ in range(4)}
+    for _ in range(40):
+        made.add(edited(rng, rng.choice(sorted(made)), rng.randint(0, 4), 1, letters))
+    made |= {"bbab" + letters, "bbabab" + letters, "a", "aaa", "aaaaa"}
+    made = sorted(made)
+    rng.shuffle(made)
+    by = collections.defaultdict(set)
+    for value, owner, _ in lines.variants(*points(made), np.zeros(len(made), np.int64)):
+        for v, o in zip(value.tolist(), owner.tolist()):
+            by[o].add(v)
+    pairs = [(i, j) for i in range(len(made)) for j in range(i) if distance(made[i], made[j]) <= 2]
+    assert len(pairs) > 20
+    assert all(by[i] & by[j] for i, j in pairs)
+
+
+def test_copies_with_changed_words_are_not_all_compared(monkeypatch):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 8)))
+    base = [word() for _ in range(40)]
+    made = {" ".join(base)}
+    while len(made) < 600:
+        words = list(base)
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randrange(len(words))
+            words[k] = word() if rng.random() < 0.8 else words[k] + rng.choice("xyz")
+        made.add(" ".join(words))
+    made = sorted(made)
+    rng.shuffle(made)
+    flat, starts = points(made)
+    a, b = np.triu_indices(len(made), 1)
+    size = np.diff(starts)
+    a, b = a[np.abs(size[a] - size[b]) <= 2], b[np.abs(size[a] - size[b]) <= 2]
+    near = lines.within(flat, starts, a, b)
+    assert near.sum() > 20
+    decided = []
+    whole = lines.within
+    monkeypatch.setattr(lines, "within", lambda points, starts, a, b, edits: decided.append(len(a)) or whole(points, starts, a, b, edits))
+    assert np.array_equal(lines.classes_in(flat, starts, graded=True), roots(len(made), a[near], b[near]))
+    # every one of them shares a segment with hundreds
+    assert sum(decided) < 5 * len(made)
