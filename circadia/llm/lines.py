@@ -40,8 +40,51 @@ EDITS = 2
 MIN_LENGTH = 20
 #: Code points in a block of a cluster.
 BLOCK_CHARS = 1 << 20
+#: White bytes at an end of a line that are passed one by one.
+STEPS = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Code points whose running hash is made at a time, so that it stays in the cache; powers up to there, and the commoner code points mixed.
+_STEP = 1 << 16
+_POWERS, _LIFTS = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_STEP, b)])) for b in (_BASE, _INVERSE))
+_MIXED = mixed(np.arange(1 << 16))
+
+
+def _inked(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the lines without white space at their ends; where all is white both are equal."""
+    start, stop = begin.copy(), end.copy()
+    ink = None
+    for at, step in ((start, 1), (stop, -1)):
+        live = np.flatnonzero(start < stop)
+        for _ in range(STEPS):
+            live = live[WHITE[data[at[live] - (step < 0)]]]
+            at[live] += step
+            live = live[start[live] < stop[live]]
+        live = live[WHITE[data[at[live] - (step < 0)]]]
+        if len(live):  # the next byte that is not white is looked up
+            ink = np.flatnonzero(~WHITE[data]) if ink is None else ink
+            place = np.searchsorted(ink, at[live])
+            if step > 0:
+                at[live] = np.minimum(np.append(ink, len(data))[place], stop[live])
+            else:
+                at[live] = np.maximum(np.append(0, ink + 1)[place], start[live])
+    return start, stop
+
+
+def _running(points: np.ndarray) -> np.ndarray:
+    """Sums of mixed code points by powers of their places."""
+    out = np.zeros(len(points) + 1, np.uint64)
+    scales = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(points) // _STEP, _POWERS[_STEP])]))
+    for low, scale in zip(range(0, len(points), _STEP), scales):
+        part = points[low : low + _STEP]
+        common = part.max() < len(_MIXED)
+        terms = np.take(_MIXED, part.astype(np.int64), mode="clip") if common else mixed(part)
+        terms *= _POWERS[: len(part)]
+        to = out[low + 1 : low + 1 + len(part)]
+        np.cumsum(terms, out=to)
+        to *= scale
+        to += out[low]
+    return out
 
 
 class Lines:
@@ -55,29 +98,25 @@ class Lines:
         begin = np.unique(np.concatenate([breaks + 1, places[:-1][filled]])) if len(data) else np.empty(0, np.int64)
         begin = begin[begin < len(data)]
         end = np.append(begin[1:], len(data))[: len(begin)]
-        # the first and last byte of each line that is not white
-        ink = np.flatnonzero(~WHITE[data])
-        low, high = np.searchsorted(ink, begin), np.searchsorted(ink, end)
-        worded = low < high
-        begin, low, high = begin[worded], low[worded], high[worded]
-        start, stop = (ink[low], ink[high - 1] + 1) if len(begin) else (begin, begin)
-        letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        self.length = letters[stop] - letters[start]
-        long_enough = self.length >= min_length
-        self.begin, self.start, self.stop = begin[long_enough], start[long_enough], stop[long_enough]
-        self.length = self.length[long_enough]
+        start, stop = _inked(data, begin, end)
+        inner = np.flatnonzero(data.view(np.int8) < -64)  # bytes that begin no code point
+        length = stop - start - (np.searchsorted(inner, stop) - np.searchsorted(inner, start))
+        chosen = (start < stop) & (length >= min_length)
+        self.begin, self.start, self.stop, self.length = begin[chosen], start[chosen], stop[chosen], length[chosen]
         self.text = np.searchsorted(places, self.begin, "right") - 1
         line_starts = np.searchsorted(breaks, places[:-1])
         self.number = np.searchsorted(breaks, self.begin) - line_starts[self.text]
-        raw = data.tobytes()
-        digests = b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(self.start.tolist(), self.stop.tolist()))
+        self.raw = data.tobytes()
+        digests = b"".join(xxhash.xxh3_128_digest(self.raw[a:b]) for a, b in zip(self.start.tolist(), self.stop.tolist()))
         self.keys = np.frombuffer(digests, np.dtype([("k1", "<i8"), ("k2", "<i8")]))
 
     def code_points(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code points of the chosen lines in a row, and where each begins."""
-        size = (self.stop - self.start)[rows]
-        packed = self.data[ranges(self.start[rows], size)].tobytes()
-        points = np.frombuffer(packed.decode().encode("utf-32-le"), np.uint32)
+        packed = b"".join([self.raw[a:b] for a, b in zip(self.start[rows].tolist(), self.stop[rows].tolist())])
+        if packed.isascii():
+            points = np.frombuffer(packed, np.uint8).astype(np.uint32)
+        else:
+            points = np.frombuffer(packed.decode().encode("utf-32-le"), np.uint32)
         return points, np.concatenate([[0], np.cumsum(self.length[rows])])
 
 
@@ -92,18 +131,13 @@ def signatures(points: np.ndarray, starts: np.ndarray, edits: int = EDITS, min_l
     start, length = starts[:-1], np.diff(starts)
     rows = np.arange(len(length))
     with np.errstate(over="ignore"):
-        longest = int(length.max()) if len(length) else 0
-        power, lift = np.ones(longest + 1, np.uint64), np.ones(longest + 1, np.uint64)
-        power[1:], lift[1:] = _BASE, _INVERSE
-        power, lift = np.cumprod(power), np.cumprod(lift)
-        # running hashes: each line is short against the powers, so all lines share one running sum
-        place = np.arange(len(points)) - np.repeat(start, length)
-        terms = mixed(points.astype(np.uint64)) * power[place]
-        running = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
+        running = _running(points)
+        far = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(points) // _STEP, _LIFTS[_STEP])]))
 
         def hashed(of: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
             # brought back to the first power, so that equal substrings at different places agree
-            return (running[start[of] + at + size] - running[start[of] + at]) * lift[at]
+            low = start[of] + at
+            return (running[low + size] - running[low]) * (_LIFTS[low % _STEP] * far[low // _STEP])
 
         out, owner = [], []
         for lowest, highest, edits in budgets(edits, min_length, graded):
@@ -116,12 +150,12 @@ def signatures(points: np.ndarray, starts: np.ndarray, edits: int = EDITS, min_l
                     piece = base + (k >= pieces - extra)
                     offset = k * base + np.maximum(0, k - (pieces - extra))
                     low, high = max(-k, shorter - (edits - k)), min(k, shorter + (edits - k))
+                    salt = mixed(size * (pieces + 1) + k)
                     for shift in range(low, high + 1):
                         at = offset + shift
                         inside = (at >= 0) & (at + piece <= length[fits])
                         of, where, span = fits[inside], at[inside], piece[inside]
-                        salt = mixed((size[inside] * (pieces + 1) + k).astype(np.uint64))
-                        out.append(mixed(hashed(of, where, span) ^ salt))
+                        out.append(mixed(hashed(of, where, span) ^ salt[inside]))
                         owner.append(of)
     return (np.concatenate(out), np.concatenate(owner)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
@@ -444,10 +478,11 @@ def _packed(docs: DataFrame, numbers: np.ndarray, edits: int, min_length: int, g
             if not len(rows):
                 continue
             sig, owner = signatures(*found.code_points(rows), edits, min_length, graded)
-            bucket = ((sig >> np.uint64(32)) % np.uint64(len(numbers))).astype(np.int64)
+            # small numbers are sorted in one pass
+            bucket = ((sig >> np.uint64(32)) % np.uint64(len(numbers))).astype(np.min_scalar_type(len(numbers)))
             order = np.argsort(bucket, kind="stable")
             sig, ids, bucket = sig[order], found.keys["k1"][rows][owner[order]], bucket[order]
-            line = np.flatnonzero(np.diff(bucket, prepend=-1))
+            line = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             ends = np.append(line, len(sig)) * 8
             yield pa.RecordBatch.from_arrays(
                 [pa.array(numbers[bucket[line]], pa.int32()), binary_column(ids, ends), binary_column(sig, ends)],
