@@ -8,8 +8,11 @@ shorter one, and by ``EDITS`` at most, so the shortest ones must be equal. Witho
 many edits, l <= L <= l + edits, holds one of them unchanged, and at few possible places, given the
 lengths (the substrings that a left-to-right and a right-to-left alignment both allow). So every line
 indexes its own segments and probes those substrings for each shorter length. Lines that meet are
-gathered into clusters; a cluster's lines meet again in blocks of bounded size, where each pair that is
-not yet connected is decided by a banded bit-parallel edit distance, many pairs at a time.
+gathered into clusters; a cluster's lines meet again in blocks of bounded size. Copies of a paragraph with
+a word changed here and there all meet by segments, yet few pairs of them are near. So within a block
+lines meet once more by variants: what a line becomes after up to two edits at the few places where it
+leaves others of its family. Each pair with a variant in common that is not yet connected is decided by a
+banded bit-parallel edit distance, many pairs at a time.
 
 Lines linked directly or through others are one class. The first line of a class (smallest doc_id,
 then its text's checksum, then line number) stays, all later ones go.

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from circadia.llm import lines
@@ -216,3 +217,23 @@ def test_copies_with_changed_words_are_not_all_compared(monkeypatch):
     assert np.array_equal(lines.classes_in(flat, starts, graded=True), roots(len(made), a[near], b[near]))
     # every one of them shares a segment with hundreds
     assert sum(decided) < 5 * len(made)
+
+
+def test_ends_and_lengths_of_lines():
+    texts = ["a" + " " * 40 + "\n" + "\t " * 20 + "é 日🙂 b" + "\r" * 20, None, " " * 50 + "\n\n" + " " * 9 + "x", "", "\n" * 3, "y"]
+    found = lines.Lines(pa.array(texts, pa.string()), 1)
+    want = [(t, n, line.strip(WHITE)) for t, text in enumerate(texts) for n, line in enumerate((text or "").split("\n")) if line.strip(WHITE)]
+    flat, starts = found.code_points(np.arange(len(want)))
+    got = ["".join(map(chr, flat[a:b])) for a, b in zip(starts, starts[1:])]
+    assert list(zip(found.text.tolist(), found.number.tolist(), got)) == want
+    assert found.length.tolist() == [len(w[2]) for w in want]
+
+
+def test_a_line_has_the_same_signatures_behind_many_code_points():
+    rng = random.Random(3)
+    made = ["".join(rng.choice("abé🙂") for _ in range(n)) for n in (70_000, 31, 60_000, 25, 150_000)]
+    flat, starts = points(made)
+    sig, owner = lines.signatures(flat, starts, graded=True)
+    for i, line in enumerate(made):
+        alone, _ = lines.signatures(*points([line]), graded=True)
+        assert sorted(sig[owner == i].tolist()) == sorted(alone.tolist())
